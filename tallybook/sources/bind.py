@@ -50,16 +50,23 @@ class BoundTables:
 
     @cached_property
     def users(self) -> DataFrame:
+        """Customers, plus suppliers as members who never buy anything (ids below 0)."""
         opened = F.expr(OPENING_DAY)
-        return self.raw("customer").select(
+        customers = self.raw("customer").select(
             F.col("c_custkey").alias("id"),
             F.lower("c_name").alias("user_key"),
             F.col("c_name").alias("name"),
             F.when(F.col("c_custkey") % 100 == 0, "admin").otherwise("user").alias("role"),
             (F.col("c_mktsegment") != "AUTOMOBILE").alias("active"),
-            opened.alias("created_at"),
-            opened.alias("updated_at"),
         )
+        suppliers = self.raw("supplier").select(
+            (-F.col("s_suppkey") - 1).alias("id"),
+            F.lower("s_name").alias("user_key"),
+            F.col("s_name").alias("name"),
+            F.when(F.col("s_nationkey") % 5 == 0, "admin").otherwise("user").alias("role"),
+            (F.col("s_acctbal") > 0).alias("active"),
+        )
+        return customers.unionByName(suppliers).withColumns({"created_at": opened, "updated_at": opened})
 
     @cached_property
     def named_users(self) -> DataFrame:
@@ -364,6 +371,13 @@ class BoundTables:
         """Posts labelled toxic are taken down."""
         return self.raw("labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
 
+    @cached_property
+    def deleted_categories(self) -> DataFrame:
+        """Brands named in the errors with a high value."""
+        return self.events("error").where("value > 100").select(
+            F.concat(F.lit("Brand#"), F.col("k").cast("string")).alias("id")
+        )
+
     @cached_property
     def first_version_products(self) -> DataFrame:
         """Products as stored before descriptions, categories, icons and exclusion existed."""

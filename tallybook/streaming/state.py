@@ -1,0 +1,88 @@
+"""Keyed state of a stream, kept as written tables in the shared folder.
+
+Every micro-batch writes the rows it changed under its batch id; every ``full_every`` batches the
+whole state is written. Reading before batch b takes the last full state and the changes after it,
+newest per key. A batch that is run again overwrites its own files and reads only earlier ones, so
+a lost executor or a restart does not count anything twice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallybook.operators.changes import latest_wins
+from tallybook.session import fresh_dir
+
+
+class StreamState:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], initial: DataFrame, full_every: int = 20):
+        self.spark = spark
+        self.path = path
+        self.keys = keys
+        self.schema = initial.schema
+        self.full_every = full_every
+        initial.write.mode("overwrite").parquet(self._full(0))
+
+    def _full(self, batch: int) -> str:
+        return f"{self.path}/full/{batch}"
+
+    def _changed(self, batch: int) -> str:
+        return f"{self.path}/changed/{batch}"
+
+    def before(self, batch: int) -> DataFrame:
+        """State before the given batch, one row per key."""
+        start = batch // self.full_every * self.full_every
+        rows = self.spark.read.schema(self.schema).parquet(self._full(start)).withColumn("_batch", F.lit(-1))
+        for number in range(start, batch):
+            changed = self.spark.read.schema(self.schema).parquet(self._changed(number))
+            rows = rows.unionByName(changed.withColumn("_batch", F.lit(number)))
+        if start == batch:
+            return rows.drop("_batch")
+        return latest_wins(rows, self.keys, ["_batch"]).select(*self.schema.names)
+
+    def put(self, batch: int, changed: DataFrame) -> None:
+        """Store the rows a batch changed, and the whole state when it is due."""
+        changed.select(*self.schema.names).write.mode("overwrite").parquet(self._changed(batch))
+        if (batch + 1) % self.full_every == 0:
+            following = (batch + 1) // self.full_every * self.full_every
+            self._write_full(batch, following)
+
+    def _write_full(self, batch: int, following: int) -> None:
+        earlier = self.before(batch)
+        changed = self.spark.read.schema(self.schema).parquet(self._changed(batch))
+        kept = earlier.join(changed.select(*self.keys), self.keys, "left_anti")
+        kept.unionByName(changed).write.mode("overwrite").parquet(self._full(following))
+
+
+def run_to_end(source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
+    """Run a stream over everything available now; returns the number of micro-batches."""
+    done: list[int] = []
+
+    def batch(frame: DataFrame, number: int) -> None:
+        frame = frame.persist()
+        try:
+            each(frame, number)
+        finally:
+            frame.unpersist()
+        done.append(number)
+
+    query = (
+        source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return max(done, default=-1) + 1
+
+
+def read_batches(spark: SparkSession, path: str, batches: int, schema) -> DataFrame:
+    """All output rows of the first batches."""
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/{number}" for number in range(batches)))
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    return fresh_dir(spark, label)
