@@ -26,11 +26,6 @@ def month_label(as_of: dt.date) -> Column:
     return F.date_format(F.lit(month_bounds(as_of)[0]), "MMMM yyyy")
 
 
-def month_key(column) -> Column:
-    """Month heading of a statement, ``MM.yyyy``."""
-    return F.date_format(column, "MM.yyyy")
-
-
 def date_time_text(column) -> Column:
     return F.date_format(column, "dd.MM.yy, HH:mm")
 

@@ -82,21 +82,23 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, order: list[str
     """Insert or update by key with the last change per key.
 
     ``merge`` gives each column of the snapshot as an expression over ``old`` and ``new``; columns
-    without one keep the old value. Both sides have one row per key, so the outer join has no skew.
+    without one keep the old value. Changes are the right side of both joins with the snapshot, so a
+    small batch is broadcast and a large snapshot is not shuffled for it.
     """
     latest = latest_wins(changes, [key], order)
     new = latest.select(F.col(key), F.struct(*latest.columns).alias("new"))
     old = base.select(F.col(key), F.struct(*base.columns).alias("old"))
-    joined = old.join(new, key, "full_outer")
-    columns = []
+    present = base.select(key).join(latest.select(key), key, "left_semi")
+    no_row = F.lit(None).cast(old.schema["old"].dataType)
+    inserted = new.join(present, key, "left_anti").select(key, no_row.alias("old"), "new")
+    joined = old.join(new, key, "left").unionByName(inserted)
+    columns = [F.col(key)]
     for name in base.columns:
-        if name == key:
-            columns.append(F.col(key))
-        else:
-            value = F.when(F.col("new").isNull(), F.col("old")[name])
+        if name != key:
+            kept = F.when(F.col("new").isNull(), F.col("old")[name])
             changed = merge.get(name, F.col("old")[name])
-            columns.append(value.otherwise(changed).cast(base.schema[name].dataType).alias(name))
-    return joined.select(*columns)
+            columns.append(kept.otherwise(changed).cast(base.schema[name].dataType).alias(name))
+    return joined.select(*columns).select(*base.columns)
 
 
 def _new(name: str) -> Column:

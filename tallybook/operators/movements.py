@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.money import AMOUNT, TOTAL
 from tallybook.functions.months import day_number, in_month
 from tallybook.functions.text import NO_CATEGORY
-from tallybook.operators.prefix import BLOCK_ROWS, asc, running_totals
+from tallybook.operators.prefix import HEAVY_ROWS, asc, heavy_keys, running_totals
 
 LOW_BALANCE = -50  # inclusive
 WARNING = "Dein Konto ist über 50 € im Minus. Bitte bezahlen."
@@ -100,11 +100,19 @@ def _live_movements(t) -> DataFrame:
     return bought.unionByName(other_movements(t).select(*bought.columns))
 
 
+def heavy_members(t, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Members with more rows than one task should sort, over all three ledgers."""
+    members = t.entries.select("user_id")
+    for ledger in (t.payments, t.adjustments):
+        members = members.unionByName(ledger.select("user_id"))
+    return heavy_keys(members.groupBy("user_id").agg(F.count("*").alias("_rows")), ["user_id"], heavy_rows)
+
+
 def low_balance_warning(balance: str = "balance") -> Column:
     return F.when(F.col(balance) <= LOW_BALANCE, WARNING)
 
 
-def running_balance(t, mode: str = "current", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Balance after each movement and the low-balance warning.
 
     ``current`` leaves deleted purchases out; ``as_booked`` counts them until a reversing movement
@@ -113,7 +121,7 @@ def running_balance(t, mode: str = "current", block_rows: int = BLOCK_ROWS) -> D
     rows = {"current": _live_movements, "as_booked": booked_movements}[mode](t)
     result = running_totals(
         rows.withColumn("_day", day_number("created_at")), ["user_id"], asc("_day"), MOVEMENT_ORDER,
-        sums={"balance": "amount"}, block_rows=block_rows,
+        sums={"balance": "amount"}, heavy_rows=heavy_rows,
     )
     return result.drop("_day").withColumn("balance", F.col("balance").cast(TOTAL)).withColumn(
         "warning", low_balance_warning()

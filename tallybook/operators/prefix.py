@@ -1,11 +1,11 @@
-"""Running totals per key that never need a whole key in one task.
+"""Running totals per key that never need a heavy key in one task.
 
-A plain running window puts all rows of a key into one task, which a member (or a news post) with a
-third of all rows would break. Here each key is cut into blocks by a coarse order column, usually
-the day:
+A running window puts all rows of a key into one task. That is the best plan for ordinary members,
+but a member (or a news post) with a third of all rows would break it. So keys are counted first,
+with a partial aggregate, and only the heavy ones are treated differently:
 
-1. one partial aggregate gives rows and sums per (key, block);
-2. a window over those few rows per key gives what came before each block;
+1. their rows are cut into blocks by a coarse order column, usually the day;
+2. a window over the block totals of a key gives what came before each block;
 3. a window per (key, block) gives the position inside the block.
 
 A block that is still too large (many rows of one key on one day) is cut further at sampled rows.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tallybook.session import stage
 
-BLOCK_ROWS = 4_000_000  # a block with more rows than this is cut further
-PIECES = 256  # into about this many pieces
+HEAVY_ROWS = 1_000_000  # a key with more rows than this is cut into blocks
+PIECES = 256  # a block with more rows than this limit is cut into about this many pieces
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,12 @@ def desc(name: str) -> Key:
     return Key(name, True)
 
 
+def heavy_keys(counts: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Keys with more than ``heavy_rows`` rows, from (keys, _rows): at most all rows / heavy_rows."""
+    sums = counts.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
+    return stage(sums.where(F.col("_rows") > heavy_rows).select(*keys), "heavy-keys")
+
+
 def running_totals(
     rows: DataFrame,
     keys: list[str],
@@ -52,29 +58,45 @@ def running_totals(
     order: list[Key],
     sums: dict[str, str] | None = None,
     row_no: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    heavy_rows: int = HEAVY_ROWS,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums and a row number per key.
 
     ``order`` must be a total order inside a block and agree with ``block``: a row of an earlier
     block never comes after a row of a later one. ``sums`` maps result column to summed column.
+    ``heavy`` are the heavy keys if the caller knows them; else the rows are counted here.
     """
     sums = sums or {}
-    totals = stage(_totals(rows, [*keys, block.name], sums), "block-totals")
-    large = totals.where(F.col("_rows") > block_rows)
-    if large.isEmpty():
-        return _scan(rows, totals, keys, [block], order, sums, row_no)
-    pieces = _cut(rows, large, [*keys, block.name], order)
-    totals = _totals(pieces, [*keys, block.name, "_piece"], sums)
-    return _scan(pieces, totals, keys, [block, asc("_piece")], order, sums, row_no).drop("_piece")
+    if heavy is None:
+        heavy = heavy_keys(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, heavy_rows)
+    if heavy.isEmpty():
+        return _scan(rows, keys, [block, *order], sums, row_no)
+    light = _scan(rows.join(heavy, keys, "left_anti"), keys, [block, *order], sums, row_no)
+    cut = _scan_blocks(rows.join(heavy, keys, "left_semi"), keys, block, order, sums, row_no, heavy_rows)
+    return light.unionByName(cut)
 
 
-def _totals(rows: DataFrame, groups: list[str], sums: dict[str, str]) -> DataFrame:
-    added = [F.sum(source).alias(f"_sum_{target}") for target, source in sums.items()]
-    return rows.groupBy(*groups).agg(F.count("*").alias("_rows"), *added)
+def _scan(rows: DataFrame, groups: list[str], order: list[Key], sums: dict[str, str], row_no: str | None) -> DataFrame:
+    """Running sums and row numbers inside each group."""
+    inside = Window.partitionBy(*groups).orderBy(*(k.column() for k in order))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = [F.sum(source).over(so_far).alias(target) for target, source in sums.items()]
+    if row_no:
+        added.append(F.row_number().over(inside).cast("bigint").alias(row_no))
+    return rows.select(*rows.columns, *added)
 
 
-def _scan(rows, totals, keys, blocks, order, sums, row_no) -> DataFrame:
+def _scan_blocks(rows, keys, block: Key, order, sums, row_no, block_rows: int) -> DataFrame:
+    """The same, with each key cut into blocks and large blocks cut into pieces."""
+    columns = rows.columns
+    blocks = [block]
+    totals = stage(_totals(rows, [*keys, block.name], sums), "block-totals")
+    large = totals.where(F.col("_rows") > block_rows)
+    if not large.isEmpty():
+        rows = _cut(rows, large, [*keys, block.name], order)
+        blocks = [block, asc("_piece")]
+        totals = _totals(rows, [*keys, block.name, "_piece"], sums)
     groups = [*keys, *(b.name for b in blocks)]
     earlier = (
         Window.partitionBy(*keys).orderBy(*(b.column() for b in blocks))
@@ -83,18 +105,19 @@ def _scan(rows, totals, keys, blocks, order, sums, row_no) -> DataFrame:
     offsets = totals.select(
         *groups,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        *(F.sum(f"_sum_{target}").over(earlier).alias(f"_before_{target}") for target in sums),
+        *(F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums),
     )
-    inside = Window.partitionBy(*groups).orderBy(*(k.column() for k in order))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(offsets, groups)
-    added = {}
+    # The window sorts by group and order; the join after it needs no further sort of the rows.
+    inside = _scan(rows, groups, order, sums, row_no).join(offsets, groups)
+    total = {name: F.col(f"_before_{name}") + F.col(name) for name in sums}
     if row_no:
-        added[row_no] = F.col("_rows_before") + F.row_number().over(inside)
-    for target, source in sums.items():
-        part = F.sum(source).over(so_far)
-        added[target] = F.coalesce(F.col(f"_before_{target}"), F.lit(0)) + part
-    return joined.select(*rows.columns, *(value.alias(name) for name, value in added.items()))
+        total[row_no] = F.col("_rows_before") + F.col(row_no)
+    return inside.select(*columns, *(value.alias(name) for name, value in total.items()))
+
+
+def _totals(rows: DataFrame, groups: list[str], sums: dict[str, str]) -> DataFrame:
+    added = [F.sum(source).alias(f"_sum_{target}") for target, source in sums.items()]
+    return rows.groupBy(*groups).agg(F.count("*").alias("_rows"), *added)
 
 
 def _cut(rows: DataFrame, large: DataFrame, groups: list[str], order: list[Key]) -> DataFrame:

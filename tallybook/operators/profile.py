@@ -18,7 +18,7 @@ from tallybook.functions.months import day_number, in_month, month_label
 from tallybook.operators.balance import member_totals
 from tallybook.operators.catalog import setting
 from tallybook.operators.movements import (
-    entries_enriched, live, movements, product_labels,
+    entries_enriched, heavy_members, live, movements, product_labels,
 )
 from tallybook.operators.prefix import asc, desc, parts, running_totals
 
@@ -63,11 +63,11 @@ def account_month_dashboard(t, as_of: dt.date) -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, ties: list[str]) -> DataFrame:
+def _positions(rows: DataFrame, ties: list[str], heavy: DataFrame | None = None) -> DataFrame:
     """Newest-first position per member."""
     order = [desc("created_at"), *(asc(name) for name in ties)]
     days = rows.withColumn("_day", day_number("created_at"))
-    return running_totals(days, ["user_id"], desc("_day"), order, row_no="position").drop("_day")
+    return running_totals(days, ["user_id"], desc("_day"), order, row_no="position", heavy=heavy).drop("_day")
 
 
 def account_month_items(t, as_of: dt.date, part_size: int = PART_SIZE) -> DataFrame:
@@ -102,12 +102,13 @@ def account_document(t, part_size: int = PART_SIZE) -> DataFrame:
     bought = t.entries.select(
         F.col("id").cast("string").alias("id"), "user_id", "product_id", "quantity", "total", "deleted_at", "created_at"
     )
-    bought = _positions(bought, ["id"]).join(product_labels(t), "product_id")
+    heavy = heavy_members(t)
+    bought = _positions(bought, ["id"], heavy).join(product_labels(t), "product_id")
     lists = {
         "entries": (bought, ENTRY_FIELDS),
-        "payments": (_positions(_ledger(t.payments), ["id"]), LEDGER_FIELDS),
-        "adjustments": (_positions(_ledger(t.adjustments), ["id"]), LEDGER_FIELDS),
-        "movements": (_positions(movements(t), ["kind", "id"]), MOVEMENT_FIELDS),
+        "payments": (_positions(_ledger(t.payments), ["id"], heavy), LEDGER_FIELDS),
+        "adjustments": (_positions(_ledger(t.adjustments), ["id"], heavy), LEDGER_FIELDS),
+        "movements": (_positions(movements(t), ["kind", "id"], heavy), MOVEMENT_FIELDS),
     }
     members = t.users.select(F.col("id").alias("user_id"), "user_key", "name", "role", "active")
     members = members.join(member_totals(t), "user_id", "left")

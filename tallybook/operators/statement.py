@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import euro_text, or_zero
-from tallybook.functions.months import date_time_text, day_number, month_key
+from tallybook.functions.months import date_time_text, day_number
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.balance import member_totals
 from tallybook.operators.movements import other_movements, product_labels
-from tallybook.operators.prefix import BLOCK_ROWS, asc, desc, running_totals
+from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
 from tallybook.session import stage
 
 # Fixed values.
@@ -34,81 +34,96 @@ DELETED_MARK = " | geloescht"
 # A line's block grows with its place in the statement: section · 10^9 − day. A month's heading
 # takes day 99 and so comes before its rows.
 _SECTION = 1_000_000_000
+_HEADER_LINES = 6
 _LINE_ORDER = [asc("rank"), desc("created_at"), asc("kind"), asc("id")]
 _FIELDS = {
-    "user_id": None, "block": "bigint", "rank": "int", "created_at": None, "kind": "string", "id": "string",
-    "product_id": None, "quantity": "int", "amount": "decimal(10,2)", "label": "string", "deleted": "boolean",
+    "user_id": None, "block": "bigint", "rank": "int", "created_at": "timestamp_ntz", "kind": "string",
+    "id": "string", "product_id": None, "quantity": "int", "amount": "decimal(10,2)", "label": "string",
+    "deleted": "boolean",
 }
 
 
-def _lines(frame: DataFrame, blank: dict[str, Column], **columns: Column) -> DataFrame:
+def _line(frame: DataFrame, kinds: dict[str, str], **columns: Column) -> DataFrame:
     """Narrow line rows; columns not given are null."""
-    return frame.select(*(columns.get(name, blank[name]).alias(name) for name in _FIELDS))
+    columns["user_id"] = F.col("user_id")
+    return frame.select(
+        *(columns.get(name, F.lit(None)).cast(kind or kinds[name]).alias(name) for name, kind in _FIELDS.items())
+    )
+
+
+def _fixed(frame: DataFrame, kinds, block: Column, texts: list[Column]) -> DataFrame:
+    """Lines with a given text, in the given order."""
+    lines = frame.select("user_id", block.alias("block"), F.posexplode(F.array(*texts)))
+    return _line(lines, kinds, block=F.col("block"), rank=F.col("pos"), kind=F.lit("text"), label=F.col("col"))
 
 
-def _line_rows(t) -> DataFrame:
-    entries = t.entries
-    types = dict(entries.dtypes)
-    blank = {
-        name: F.lit(None).cast(kind or types[name]) for name, kind in _FIELDS.items() if name != "user_id"
-    }
-    blank["user_id"] = F.col("user_id")
+def month_counts(t) -> DataFrame:
+    """Statement rows per member, section (1 purchases, 2 others) and month: every heading once."""
+    month = F.year("created_at") * 100 + F.month("created_at")
+    sections = [
+        frame.select("user_id", F.lit(section).alias("section"), month.alias("month"))
+        for section, frame in ((1, t.entries), (2, t.payments), (2, t.adjustments))
+    ]
+    rows = sections[0].unionByName(sections[1]).unionByName(sections[2])
+    return rows.groupBy("user_id", "section", "month").agg(F.count("*").alias("_rows"))
+
+
+def _body_rows(t, months: DataFrame) -> DataFrame:
+    """All lines after the header, unnumbered."""
+    kinds = dict(t.entries.dtypes)
     others = other_movements(t)
 
     def block(section: int) -> Column:
-        return (F.lit(section * _SECTION) - day_number("created_at")).cast("bigint")
+        return F.lit(section * _SECTION) - day_number("created_at")
 
-    purchase_rows = _lines(
-        entries, blank, block=block(1), rank=F.lit(0), created_at=F.col("created_at"), kind=F.lit("entry"),
-        id=F.col("id").cast("string"), product_id=F.col("product_id"), quantity=F.col("quantity"),
-        amount=F.col("total"), deleted=F.col("deleted_at").isNotNull(),
-    )
-    other_rows = _lines(
-        others, blank, block=block(2), rank=F.lit(0), created_at=F.col("created_at"), kind=F.col("kind"),
-        id=F.col("id"), amount=F.col("amount"), label=F.concat_ws(" | ", "type_label", F.coalesce("note", F.lit(""))),
+    purchase_rows = _line(
+        t.entries, kinds, block=block(1), rank=F.lit(0), created_at=F.col("created_at"), kind=F.lit("entry"),
+        id=F.col("id"), product_id=F.col("product_id"), quantity=F.col("quantity"), amount=F.col("total"),
+        deleted=F.col("deleted_at").isNotNull(),
     )
-
-    month = F.year("created_at") * 100 + F.month("created_at")
-    months = (
-        entries.select("user_id", F.lit(1).alias("section"), month.alias("month"))
-        .unionByName(others.select("user_id", F.lit(2).alias("section"), month.alias("month")))
-        .distinct()
+    other_rows = _line(
+        others, kinds, block=block(2), rank=F.lit(0), created_at=F.col("created_at"), kind=F.col("kind"),
+        id=F.col("id"), amount=F.col("amount"),
+        label=F.concat_ws(" | ", "type_label", F.coalesce("note", F.lit(""))),
     )
-    months = stage(months, "statement-months")
     month_text = F.concat(
         F.lpad((F.col("month") % 100).cast("string"), 2, "0"), F.lit("."),
         F.floor(F.col("month") / 100).cast("string"),
     )
     headings = _fixed(
-        months, blank, (F.col("section") * _SECTION - (F.col("month") * 100 + 99)).cast("bigint"),
-        [F.lit(""), month_text],
+        months, kinds, F.col("section") * _SECTION - (F.col("month") * 100 + 99), [F.lit(""), month_text]
     )
-
-    members = t.users.select(F.col("id").alias("user_id"), "name", "user_key")
-    header = _fixed(members, blank, F.lit(0), [F.lit("")] * 6, kind="header")
-    others_title = _fixed(members, blank, F.lit(_SECTION + 1), [F.lit(""), F.lit(OTHERS)])
-    result = purchase_rows.unionByName(other_rows).unionByName(headings).unionByName(header).unionByName(others_title)
+    members = _sections(t, months)
+    title = _fixed(members, kinds, F.lit(_SECTION + 1), [F.lit(""), F.lit(OTHERS)])
+    result = purchase_rows.unionByName(other_rows).unionByName(headings).unionByName(title)
     for section, text in ((1, NO_PURCHASES), (2, NO_OTHERS)):
-        present = months.where(F.col("section") == section).select("user_id").distinct()
-        without = members.join(present, "user_id", "left_anti")
-        result = result.unionByName(_fixed(without, blank, F.lit(section * _SECTION), [F.lit(text)]))
+        without = members.where(F.col(f"rows_{section}") == 0)
+        result = result.unionByName(_fixed(without, kinds, F.lit(section * _SECTION), [F.lit(text)]))
     return result
 
 
-def _fixed(frame: DataFrame, blank, block: Column, texts: list[Column], kind: str = "text") -> DataFrame:
-    """Lines with a given text, in the given order."""
-    numbered = frame.select("user_id", block.cast("bigint").alias("block"), F.posexplode(F.array(*texts)))
-    return _lines(
-        numbered, blank, block=F.col("block"), rank=F.col("pos"), kind=F.lit(kind), label=F.col("col"),
-    )
+def _sections(t, months: DataFrame) -> DataFrame:
+    """Rows and months per member and section, 0 for members without any."""
+    figures = []
+    for section in (1, 2):
+        here = F.col("section") == section
+        figures += [
+            F.sum(F.when(here, F.col("_rows"))).alias(f"rows_{section}"),
+            F.count(F.when(here, 1)).alias(f"months_{section}"),
+        ]
+    sums = months.groupBy("user_id").agg(*figures)
+    members = t.users.select(F.col("id").alias("user_id")).join(sums, "user_id", "left")
+    return members.na.fill(0, ["rows_1", "months_1", "rows_2", "months_2"])
 
 
-def statement_lines(t, as_of: dt.datetime, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def statement_lines(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS, months: DataFrame | None = None) -> DataFrame:
     """(user_id, line_no, line) for every member; ``as_of`` is the time printed in the header."""
+    months = stage(month_counts(t), "statement-months") if months is None else months
     numbered = running_totals(
-        _line_rows(t), ["user_id"], asc("block"), _LINE_ORDER, row_no="line_no", block_rows=block_rows
+        _body_rows(t, months), ["user_id"], asc("block"), _LINE_ORDER, row_no="line_no", heavy_rows=heavy_rows,
+        heavy=heavy_keys(months, ["user_id"], heavy_rows),
     )
-    plain = numbered.where("kind <> 'header'").join(product_labels(t), "product_id", "left")
+    labelled = numbered.join(product_labels(t), "product_id", "left")
     when = date_time_text("created_at")
     purchase = F.concat_ws(
         " | ", when, "product_name", F.coalesce("category_title", F.lit(NO_CATEGORY)),
@@ -117,18 +132,19 @@ def statement_lines(t, as_of: dt.datetime, block_rows: int = BLOCK_ROWS) -> Data
     purchase = F.concat(purchase, F.when(F.col("deleted"), DELETED_MARK).otherwise(""))
     other = F.concat_ws(" | ", when, "label", euro_text("amount"))
     text = F.when(F.col("kind") == "entry", purchase).when(F.col("kind") == "text", F.col("label")).otherwise(other)
-    body = plain.select("user_id", "line_no", text.alias("line"))
+    body = labelled.select("user_id", (F.col("line_no") + _HEADER_LINES).alias("line_no"), text.alias("line"))
     return body.unionByName(_header(t, as_of))
 
 
 def _header(t, as_of: dt.datetime) -> DataFrame:
-    """The six header lines of every member; they are always lines 1 to 6."""
+    """Lines 1 to 6 of every member."""
     members = t.users.select(F.col("id").alias("user_id"), "name", "user_key")
     members = members.join(member_totals(t), "user_id", "left")
+    printed = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     texts = F.array(
         F.lit(TITLE),
         F.concat("name", F.lit(" ("), "user_key", F.lit(")")),
-        F.concat(F.lit("Erstellt am "), date_time_text(F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))),
+        F.concat(F.lit("Erstellt am "), date_time_text(printed)),
         F.concat(F.lit("Aktueller Kontostand: "), euro_text(or_zero("balance"))),
         F.lit(""),
         F.lit(PURCHASES),
@@ -137,20 +153,25 @@ def _header(t, as_of: dt.datetime) -> DataFrame:
     return lines.select("user_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("col").alias("line"))
 
 
-def statement_pages(t, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Page, line on the page and number of pages for every statement line.
+def statement_pages(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Statement lines with page, line on the page and number of pages ("page i of n").
 
-    42 lines fit on the first page and 48 on each later one.
+    42 lines fit on the first page and 48 on each later one. The number of lines of a member follows
+    from the month counts, so the lines are not counted again.
     """
-    rows = _line_rows(t).select("user_id", "block", "rank", "created_at", "kind", "id")
-    numbered = running_totals(rows, ["user_id"], asc("block"), _LINE_ORDER, row_no="line_no", block_rows=block_rows)
-    last = rows.groupBy("user_id").agg(F.count("*").alias("last_line"))
+    months = stage(month_counts(t), "statement-months")
+    lines = statement_lines(t, as_of, heavy_rows, months)
+    last = F.lit(_HEADER_LINES + 2)
+    for section in (1, 2):
+        rows = F.col(f"rows_{section}")
+        last = last + rows + 2 * F.col(f"months_{section}") + F.when(rows == 0, 1).otherwise(0)
+    lengths = _sections(t, months).select("user_id", last.alias("last_line"))
     after_first = F.col("line_no") - FIRST_PAGE_LINES - 1
     on_page = F.when(F.col("line_no") <= FIRST_PAGE_LINES, F.col("line_no")).otherwise(
         F.pmod(after_first, F.lit(NEXT_PAGE_LINES)) + 1
     )
-    return numbered.join(last, "user_id").select(
-        "user_id", "line_no", _page("line_no").alias("page"), on_page.cast("int").alias("line_on_page"),
+    return lines.join(lengths, "user_id").select(
+        "user_id", "line_no", "line", _page("line_no").alias("page"), on_page.cast("int").alias("line_on_page"),
         _page("last_line").alias("pages"),
     )
 
@@ -158,8 +179,3 @@ def statement_pages(t, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def _page(line: str) -> Column:
     later = F.floor((F.col(line) - FIRST_PAGE_LINES - 1) / NEXT_PAGE_LINES) + 2
     return F.when(F.col(line) <= FIRST_PAGE_LINES, F.lit(1)).otherwise(later).cast("int")
-
-
-def month_headings(t) -> DataFrame:
-    """Months with purchases per member, as the statement prints them."""
-    return t.entries.select("user_id", month_key("created_at").alias("month")).distinct()

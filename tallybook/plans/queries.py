@@ -181,7 +181,7 @@ QUERIES: dict[str, Query] = {
     "user_month_detail": lambda t: profile.user_month_detail(t, AS_OF),
     "account_document": lambda t: profile.document_items(profile.account_document(t)),
     "statement_lines": lambda t: statement.statement_lines(t, PRINTED_AT),
-    "statement_pages": statement.statement_pages,
+    "statement_pages": lambda t: statement.statement_pages(t, PRINTED_AT),
     "user_keys_generated": lambda t: members.user_keys_generated(t.named_users),
     "duplicate_user_keys": lambda t: members.duplicate_user_keys(
         t.named_users.withColumn("user_key", F.col("name"))

@@ -35,12 +35,13 @@ def read_tables(spark: SparkSession, root: str) -> Tables:
 def append_ledger(rows: DataFrame, root: str, table: str) -> None:
     """Append ledger rows, stored by month and sorted by member inside each file.
 
-    Rows of one month go to as many tasks as the writer has; nothing gathers a month in one task.
+    The rebalance hint lets AQE cut a large month into several files and put small ones together,
+    so neither a month in one task nor a file per task and month results.
     """
     columns = SCHEMAS[table].names
+    stored = rows.select(*columns, F.trunc("created_at", "MM").alias("month"))
     (
-        rows.select(*columns, F.trunc("created_at", "MM").alias("month"))
-        .sortWithinPartitions("month", "user_id", "created_at")
+        stored.hint("rebalance", "month").sortWithinPartitions("month", "user_id", "created_at")
         .write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
     )
 
