@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 PAY_KEY = "paypal_me"
 PAY_LINK = "https://paypal.me/"
-HANDLE_PATTERN = r"^[A-Za-z0-9._-]{3,80}\z"
+PAY_PATTERN = r"(?i)^(?:https?://(?:www\.)?paypal\.me/)?(?:paypal\.me/)?@?([^?#/]*)"
+HANDLE_PATTERN = r"^([A-Za-z0-9._-]{3,80})?\z"  # an empty handle clears the setting
 IMAGE_PATTERN = "^data:image/(jpeg|png|webp);base64,"
 NO_CATEGORY = "Ohne Kategorie"
 DEFAULT_CATEGORY = "Allgemein"
@@ -28,19 +29,12 @@ def suffixed_key(key, member_id) -> Column:
 
 
 def pay_handle(raw) -> Column:
-    """Bare handle from a pay URL, ``@name`` or name; everything after ``/``, ``?`` or ``#`` is cut."""
-    value = F.trim(F.coalesce(F.col(raw), F.lit("")))
-    value = F.regexp_replace(value, r"(?i)^https?://(www\.)?paypal\.me/", "")
-    value = F.regexp_replace(value, r"(?i)^paypal\.me/", "")
-    value = F.regexp_replace(value, "^@", "")
-    for mark in "?#/":
-        value = F.split_part(value, F.lit(mark), F.lit(1))
-    return value
-
-
-def handle_ok(handle) -> Column:
-    """Empty clears the handle; anything else must match the handle pattern."""
-    return (F.col(handle) == "") | F.col(handle).rlike(HANDLE_PATTERN)
+    """Bare handle from a pay URL, ``@name`` or name; everything after ``/``, ``?`` or ``#`` is cut.
+
+    One pattern instead of one replacement per prefix: Spark repeats an expression wherever its
+    result is used, so it should be small.
+    """
+    return F.regexp_extract(F.trim(F.coalesce(F.col(raw), F.lit(""))), PAY_PATTERN, 1)
 
 
 def pay_link(handle: Column, due) -> Column:

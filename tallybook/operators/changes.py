@@ -56,20 +56,23 @@ def known(batch: DataFrame, column: str, parents: DataFrame, flag: str, parent_i
 
 
 def _per_key(rows: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
-    """One row per key, picked by an order; the other columns travel as one struct."""
-    others = [c for c in rows.columns if c not in keys]
-    rank = F.struct(*order)
-    return rows.groupBy(*keys).agg(pick(F.struct(*others), rank).alias("_row")).select(*keys, "_row.*")
+    """One row per key: the extreme of the whole row with the order columns in front.
+
+    Rows that tie on the order are told apart by their other columns, so a re-run picks the same.
+    """
+    others = [c for c in rows.columns if c not in keys and c not in order]
+    picked = rows.groupBy(*keys).agg(pick(F.struct(*(c for c in order if c not in keys), *others)).alias("_row"))
+    return picked.select(*keys, "_row.*").select(*rows.columns)
 
 
 def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key."""
-    return _per_key(rows, keys, order, F.max_by)
+    return _per_key(rows, keys, order, F.max)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row per key."""
-    return _per_key(rows, keys, order, F.min_by)
+    return _per_key(rows, keys, order, F.min)
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -74,8 +74,7 @@ def adjustment_rules() -> list[Rule]:
 
 
 def setting_rules() -> list[Rule]:
-    bad = (F.col("key") == PAY_KEY) & (_text("value") != "") & ~_text("value").rlike(HANDLE_PATTERN)
-    return [("pay_handle_invalid", bad)]
+    return [("pay_handle_invalid", (F.col("key") == PAY_KEY) & ~_text("value").rlike(HANDLE_PATTERN))]
 
 
 def suggestion_rules() -> list[Rule]:

@@ -113,8 +113,7 @@ class BoundTables:
             F.concat_ws(
                 "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                 F.col("l_quantity").cast("int"),
-                F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-                F.date_format("l_shipdate", "yyyyMMdd"),
+                F.unix_date(F.col("l_shipdate").cast("date")),
             ).alias("id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
@@ -235,13 +234,11 @@ class BoundTables:
     def setting_changes(self) -> DataFrame:
         """Every event sets the pay handle, in one of five raw forms."""
         name = F.concat(F.lit("shop."), F.col("user_id").cast("string"))
-        raw = (
-            F.when(F.col("k") % 5 == 0, F.concat(F.lit(" https://www.PayPal.me/"), name))
-            .when(F.col("k") % 5 == 1, F.concat(F.lit("paypal.me/"), name, F.lit("/25")))
-            .when(F.col("k") % 5 == 2, F.concat(F.lit("@"), name))
-            .when(F.col("k") % 5 == 3, F.lit("ab"))
-            .otherwise(F.concat(name, F.lit("?locale=de")))
+        forms = F.array(
+            F.concat(F.lit(" https://www.PayPal.me/"), name), F.concat(F.lit("paypal.me/"), name, F.lit("/25")),
+            F.concat(F.lit("@"), name), F.lit("ab"), F.concat(name, F.lit("?locale=de")),
         )
+        raw = F.element_at(forms, (F.col("k") % 5 + 1).cast("int"))
         return self.events().select(
             "event_id", F.lit("paypal_me").alias("key"), raw.alias("value"),
             F.col("user_id").alias("updated_by"), F.col("ts").alias("updated_at"),
