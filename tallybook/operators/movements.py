@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallybook.functions.money import AMOUNT, TOTAL
 from tallybook.functions.months import day_number, in_month
 from tallybook.functions.text import NO_CATEGORY
-from tallybook.operators.prefix import HEAVY_ROWS, asc, heavy_keys, running_totals
+from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
 
+EARLY_CUT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 LOW_BALANCE = -50  # inclusive
 WARNING = "Dein Konto ist über 50 € im Minus. Bitte bezahlen."
 
@@ -54,29 +55,56 @@ def signed_amounts(t) -> DataFrame:
     return bought.unionByName(paid).unionByName(corrected)
 
 
-def _ledger_rows(frame: DataFrame, kind: str, label: str, title: Column, note: Column, amount: Column) -> DataFrame:
-    return frame.select(
-        F.col("id").cast("string").alias("id"), "user_id", "created_at",
-        F.lit(kind).alias("kind"), F.lit(label).alias("type_label"), title.alias("title"), note.alias("note"),
-        amount.cast(AMOUNT).alias("amount"),
+_MOVEMENT = ["id", "user_id", "created_at", "kind", "type_label", "title", "note", "amount"]
+
+
+def narrow_movements(t) -> DataFrame:
+    """All movements without product names: live purchases, payments, corrections.
+
+    Operators that sort or cut movements do so on these rows and label what is left.
+    """
+    bought = t.entries.where(live()).select(
+        F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit("entry").alias("kind"), "product_id",
+        F.lit(None).cast("string").alias("note"), (-F.col("total")).cast(AMOUNT).alias("amount"),
     )
+    return bought.unionByName(_credits(t, bought.schema["product_id"].dataType))
+
+
+def _credits(t, product_type) -> DataFrame:
+    """Payments and corrections in the columns of ``narrow_movements``."""
+    def rows(frame: DataFrame, kind: str) -> DataFrame:
+        return frame.select(
+            F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit(kind).alias("kind"),
+            F.lit(None).cast(product_type).alias("product_id"), "note", F.col("amount").cast(AMOUNT).alias("amount"),
+        )
+
+    return rows(t.payments, "payment").unionByName(rows(t.adjustments, "adjustment"))
+
+
+def _type_label() -> Column:
+    kind = F.col("kind")
+    return F.when(kind == "entry", "Kauf").when(kind == "payment", "Zahlung").otherwise("Korrektur")
+
+
+def label_movements(rows: DataFrame, t) -> DataFrame:
+    """Add type, title and note; a purchase shows its product and category. Further columns stay."""
+    bought = F.col("kind") == "entry"
+    labelled = rows.join(product_labels(t), "product_id", "left").withColumns({
+        "type_label": _type_label(),
+        "title": F.when(bought, F.col("product_name")).otherwise(_type_label()),
+        "note": F.when(bought, F.coalesce("category_title", F.lit(NO_CATEGORY))).otherwise(F.col("note")),
+    })
+    return labelled.select(*_MOVEMENT, *(c for c in rows.columns if c not in (*_MOVEMENT, "product_id")))
 
 
 def other_movements(t) -> DataFrame:
     """Movements that are not purchases: payments and corrections."""
-    note, amount = F.col("note"), F.col("amount")
-    paid = _ledger_rows(t.payments, "payment", "Zahlung", F.lit("Zahlung"), note, amount)
-    corrected = _ledger_rows(t.adjustments, "adjustment", "Korrektur", F.lit("Korrektur"), note, amount)
-    return paid.unionByName(corrected)
+    return _credits(t, "string").withColumns({"type_label": _type_label(), "title": _type_label()}).select(*_MOVEMENT)
 
 
 def movements(t) -> DataFrame:
     """All account movements: live purchases as debits, payments as credits, corrections as signed."""
-    category = F.coalesce("category_title", F.lit(NO_CATEGORY))
-    bought = _ledger_rows(
-        entries_enriched(t).where(live()), "entry", "Kauf", F.col("product_name"), category, -F.col("total")
-    )
-    return bought.unionByName(other_movements(t))
+    return label_movements(narrow_movements(t), t)
 
 
 def booked_movements(t) -> DataFrame:
@@ -92,14 +120,6 @@ def booked_movements(t) -> DataFrame:
     return bought.unionByName(reversed_).unionByName(other_movements(t).select(*bought.columns))
 
 
-def _live_movements(t) -> DataFrame:
-    bought = t.entries.where(live()).select(
-        F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit("entry").alias("kind"),
-        (-F.col("total")).cast(AMOUNT).alias("amount"),
-    )
-    return bought.unionByName(other_movements(t).select(*bought.columns))
-
-
 def heavy_members(t, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Members with more rows than one task should sort, over all three ledgers."""
     members = t.entries.select("user_id")
@@ -118,7 +138,8 @@ def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> D
     ``current`` leaves deleted purchases out; ``as_booked`` counts them until a reversing movement
     at deletion time. Both end at the account balance.
     """
-    rows = {"current": _live_movements, "as_booked": booked_movements}[mode](t)
+    rows = {"current": narrow_movements, "as_booked": booked_movements}[mode](t)
+    rows = rows.select("id", "user_id", "created_at", "kind", "amount")
     result = running_totals(
         rows.withColumn("_day", day_number("created_at")), ["user_id"], asc("_day"), MOVEMENT_ORDER,
         sums={"balance": "amount"}, heavy_rows=heavy_rows,
@@ -128,16 +149,21 @@ def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> D
     )
 
 
-def _newest(rows: DataFrame, n: int | None, with_kind: bool = False) -> DataFrame:
-    """The newest n rows per member; ``None`` keeps the full history.
+def _newest(rows: DataFrame, n: int | None, ties: list[str]) -> DataFrame:
+    """The newest n rows per member with their ``row_no``; ``None`` keeps the full history.
 
-    Spark keeps at most n rows per member and task before the shuffle, so a heavy member is cheap.
+    Spark keeps at most n rows per member and task before the shuffle, up to a limit on n; beyond it
+    rows are numbered in blocks, so that a heavy member never has to fit into one task.
     """
     if n is None:
         return rows
-    ties = ["kind", "id"] if with_kind else ["id"]
-    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), *ties)
-    return rows.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= n)
+    if n <= EARLY_CUT:
+        order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), *ties)
+        return rows.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= n)
+    days = rows.withColumn("_day", day_number("created_at"))
+    order = [desc("created_at"), *(asc(name) for name in ties)]
+    numbered = running_totals(days, ["user_id"], desc("_day"), order, row_no="row_no").drop("_day")
+    return numbered.where(F.col("row_no") <= n).withColumn("row_no", F.col("row_no").cast("int"))
 
 
 def recent_entries(t, n: int | None = 80) -> DataFrame:
@@ -146,12 +172,12 @@ def recent_entries(t, n: int | None = 80) -> DataFrame:
         F.col("id").cast("string").alias("id"), "user_id", "product_id", "quantity", "total", "paid",
         "deleted_at", "created_at",
     )
-    return _newest(entries, n).join(product_labels(t), "product_id").drop("product_id")
+    return _newest(entries, n, ["id"]).join(product_labels(t), "product_id").drop("product_id")
 
 
 def _recent_amounts(rows: DataFrame, n: int | None) -> DataFrame:
     rows = rows.select(F.col("id").cast("string").alias("id"), "user_id", "created_at", "amount", "note")
-    return _newest(rows, n)
+    return _newest(rows, n, ["id"])
 
 
 def recent_payments(t, n: int | None = 30) -> DataFrame:
@@ -163,15 +189,5 @@ def recent_adjustments(t, n: int | None = 30) -> DataFrame:
 
 
 def recent_movements(t, n: int | None = 250) -> DataFrame:
-    """Newest movements per member.
-
-    Purchases are cut to n per member before their labels are joined: a purchase outside the newest
-    n purchases cannot be among the newest n movements.
-    """
-    bought = t.entries.where(live()).select(
-        F.col("id").cast("string").alias("id"), "user_id", "product_id", "created_at", "total"
-    )
-    labelled = _newest(bought, n).join(product_labels(t), "product_id")
-    category = F.coalesce("category_title", F.lit(NO_CATEGORY))
-    bought = _ledger_rows(labelled, "entry", "Kauf", F.col("product_name"), category, -F.col("total"))
-    return _newest(bought.unionByName(other_movements(t)), n, with_kind=True)
+    """Newest movements per member, labelled after the cut."""
+    return label_movements(_newest(narrow_movements(t), n, ["kind", "id"]), t)

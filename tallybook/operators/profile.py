@@ -18,7 +18,7 @@ from tallybook.functions.months import day_number, in_month, month_label
 from tallybook.operators.balance import member_totals
 from tallybook.operators.catalog import setting
 from tallybook.operators.movements import (
-    entries_enriched, heavy_members, live, movements, product_labels,
+    entries_enriched, heavy_members, label_movements, live, narrow_movements, product_labels,
 )
 from tallybook.operators.prefix import asc, desc, parts, running_totals
 
@@ -108,7 +108,7 @@ def account_document(t, part_size: int = PART_SIZE) -> DataFrame:
         "entries": (bought, ENTRY_FIELDS),
         "payments": (_positions(_ledger(t.payments), ["id"], heavy), LEDGER_FIELDS),
         "adjustments": (_positions(_ledger(t.adjustments), ["id"], heavy), LEDGER_FIELDS),
-        "movements": (_positions(movements(t), ["kind", "id"], heavy), MOVEMENT_FIELDS),
+        "movements": (label_movements(_positions(narrow_movements(t), ["kind", "id"], heavy), t), MOVEMENT_FIELDS),
     }
     members = t.users.select(F.col("id").alias("user_id"), "user_key", "name", "role", "active")
     members = members.join(member_totals(t), "user_id", "left")
