@@ -82,9 +82,8 @@ class BoundTables:
             "id", F.col("id").alias("title"), F.concat(F.lit("icon:"), "id").alias("icon_data_url"),
             (F.col("id") != "Brand#3").alias("active"),
         )
-        empty = self.spark.range(1).select(
-            F.lit("cat-empty").alias("id"), F.lit("Allgemein").alias("title"),
-            F.lit("").alias("icon_data_url"), F.lit(True).alias("active"),
+        empty = self.spark.sql(
+            "select * from values ('cat-empty', 'Allgemein', '', true) as t (id, title, icon_data_url, active)"
         )
         return brands.unionByName(empty).withColumns({"created_at": opened, "updated_at": opened})
 
