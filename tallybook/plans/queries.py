@@ -30,13 +30,6 @@ def _columns(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*names)
 
 
-def _absent_categories(t: BoundTables) -> DataFrame:
-    """Category titles found in the product file, brands and types, that no category has yet."""
-    part = t.raw("part")
-    titles = part.select(F.col("p_brand").alias("title")).unionByName(part.select(F.col("p_type").alias("title")))
-    return changes.insert_if_absent(t.categories, titles, ["title"])
-
-
 def _booked(t: BoundTables) -> changes.Applied:
     return changes.priced_bookings(t.booking_requests, t.products)
 
@@ -52,10 +45,6 @@ def _deleted_entries(t: BoundTables) -> DataFrame:
     )
 
 
-def _paid_members(t: BoundTables) -> DataFrame:
-    return t.raw("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
-
-
 def _user_changes(t: BoundTables) -> changes.Applied:
     return changes.apply_user_changes(t.users, t.user_changes, EVENT_ORDER)
 
@@ -90,20 +79,8 @@ def _month_items(t: BoundTables) -> DataFrame:
     return items.select("user_id", "position", *profile.ITEM_FIELDS)
 
 
-def _stream(t: BoundTables, kind: str) -> DataFrame:
-    """Events of one kind as a stream over the event files."""
-    events = t.raw("events")
-    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(
-        f"{t.sf_dir}/events*.parquet"
-    )
-    return stream.where(F.col("event_type") == kind).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-
-
 def _stream_bookings(t: BoundTables) -> DataFrame:
-    source = _stream(t, "purchase").select(
-        F.col("event_id").cast("string").alias("id"), "user_id", (F.col("k") * 3).alias("product_id"),
-        F.floor(F.col("value") / 50).cast("int").alias("quantity"), F.col("ts").alias("created_at"),
-    )
+    source = t.bookings(t.events("purchase", stream=True))
 
     def to_movements(batch: DataFrame) -> DataFrame:
         booked = changes.priced_bookings(batch, t.products).accepted
@@ -116,20 +93,14 @@ def _stream_bookings(t: BoundTables) -> DataFrame:
 
 
 def _stream_toggles(t: BoundTables) -> DataFrame:
-    source = _stream(t, "click").select(F.col("k").alias("news_id"), "user_id", F.col("ts").alias("created_at"))
+    source = t.events("click", stream=True).selectExpr("k as news_id", "user_id", "ts as created_at")
     return jobs.stream_toggles(t.spark, source, "news_id", t.news)
 
 
 def _stream_unread(t: BoundTables) -> DataFrame:
-    reads = _stream(t, "view").select(F.lit("read").alias("kind"), "user_id", F.col("ts").alias("created_at"))
-    documents = t.raw("documents")
-    posts = t.spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 64).parquet(
-        f"{t.sf_dir}/documents*.parquet"
-    )
-    posts = posts.select(
-        F.lit("news").alias("kind"), t.member_number(F.col("doc_id")).alias("user_id"),
-        post_time("doc_id").alias("created_at"),
-    )
+    reads = t.events("view", stream=True).selectExpr("'read' as kind", "user_id", "ts as created_at")
+    posts = t.stream("documents").selectExpr("'news' as kind", "doc_id", f"{post_time('doc_id')} as created_at")
+    posts = posts.select("kind", t.member_number("doc_id").alias("user_id"), "created_at")
     return jobs.stream_unread(t.spark, reads.unionByName(posts), t.users.select(F.col("id").alias("user_id")))
 
 
@@ -198,7 +169,7 @@ QUERIES: dict[str, Query] = {
     "news_unread": community.news_unread,
     "rule_violations": rules.rule_violations,
     "rule_violation_counts": rules.rule_violation_counts,
-    "insert_if_absent": _absent_categories,
+    "insert_if_absent": lambda t: changes.insert_if_absent(t.categories, t.found_titles, ["title"]),
     "priced_bookings": lambda t: _booked(t).accepted,
     "priced_bookings_rejected": lambda t: _booked(t).rejected,
     "cascade_delete": lambda t: changes.cascade_delete(t.news_likes, "news_id", t.deleted_news),
@@ -212,8 +183,8 @@ QUERIES: dict[str, Query] = {
     "apply_product_changes": lambda t: _product_changes(t).accepted,
     "apply_product_changes_rejected": lambda t: _columns(_product_changes(t).rejected, "id", "event_id", "reason"),
     "soft_delete_entries": _deleted_entries,
-    "mark_paid": lambda t: changes.mark_paid_counts(t.entries, _paid_members(t)),
-    "mark_paid_entries": lambda t: changes.mark_paid(t.entries, _paid_members(t), PRINTED_AT).select(
+    "mark_paid": lambda t: changes.mark_paid_counts(t.entries, t.paid_members),
+    "mark_paid_entries": lambda t: changes.mark_paid(t.entries, t.paid_members, PRINTED_AT).select(
         "id", "user_id", "paid", "paid_at"
     ),
     "paid_flag_migration": changes.paid_flag_migration,

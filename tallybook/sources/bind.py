@@ -12,17 +12,36 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.money import AMOUNT, booked_total
-from tallybook.operators.changes import latest_wins, toggle_state
+from tallybook.functions.money import booked_total
+from tallybook.operators.changes import clean_setting_changes, latest_wins, toggle_state
+
+# Declared schemas of the parquet files, so that no job has to read footers for them.
+FILES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 AS_OF = dt.date(2000, 6, 15)
 OPENING_DAY = "timestamp_ntz'1995-01-01 00:00:00'"
+K = "cast(get_json_object(props, '$.k') as bigint)"
 LAUNCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
-def post_time(number: str) -> Column:
+def post_time(number: str) -> str:
     """Posts are half an hour apart and start again after 10,000 of them."""
-    return F.expr(f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast(({number} % 10000) * 30 as int), 0)")
+    return f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast(({number} % 10000) * 30 as int), 0)"
 
 
 class BoundTables:
@@ -33,127 +52,100 @@ class BoundTables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(FILES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def events(self, kind: str | None = None) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """The same files as a stream."""
+        reader = self.spark.readStream.schema(FILES[name]).option("maxFilesPerTrigger", 64)
+        return reader.parquet(f"{self.sf_dir}/{name}*.parquet")
+
+    def events(self, kind: str | None = None, stream: bool = False) -> DataFrame:
         """Events with the integer ``k`` of their properties."""
-        k = F.get_json_object("props", "$.k").cast("bigint")
-        events = self.raw("events").withColumn("k", k)
-        return events if kind is None else events.where(F.col("event_type") == kind)
+        source = self.stream("events") if stream else self.raw("events")
+        events = source.selectExpr("*", f"{K} as k")
+        return events if kind is None else events.where(f"event_type = '{kind}'")
 
-    def member_number(self, number: Column) -> Column:
+    def member_number(self, number: str) -> Column:
         """Spread a number over the member ids, which run from 0 to count − 1."""
-        members = self.raw("customer").agg(F.count("*").alias("n")).scalar()
-        return F.pmod(number, members)
+        return F.pmod(F.expr(number), self._members)
+
+    @cached_property
+    def _members(self) -> Column:
+        return self.raw("customer").agg(F.count("*")).scalar()
 
     # ledger -----------------------------------------------------------------------------------
 
     @cached_property
     def users(self) -> DataFrame:
         """Customers, plus suppliers as members who never buy anything (ids below 0)."""
-        opened = F.expr(OPENING_DAY)
-        customers = self.raw("customer").select(
-            F.col("c_custkey").alias("id"),
-            F.lower("c_name").alias("user_key"),
-            F.col("c_name").alias("name"),
-            F.when(F.col("c_custkey") % 100 == 0, "admin").otherwise("user").alias("role"),
-            (F.col("c_mktsegment") != "AUTOMOBILE").alias("active"),
+        customers = self.raw("customer").selectExpr(
+            "c_custkey as id", "lower(c_name) as user_key", "c_name as name",
+            "if(c_custkey % 100 = 0, 'admin', 'user') as role", "c_mktsegment <> 'AUTOMOBILE' as active",
+            f"{OPENING_DAY} as created_at", f"{OPENING_DAY} as updated_at",
         )
-        suppliers = self.raw("supplier").select(
-            (-F.col("s_suppkey") - 1).alias("id"),
-            F.lower("s_name").alias("user_key"),
-            F.col("s_name").alias("name"),
-            F.when(F.col("s_nationkey") % 5 == 0, "admin").otherwise("user").alias("role"),
-            (F.col("s_acctbal") > 0).alias("active"),
+        suppliers = self.raw("supplier").selectExpr(
+            "-s_suppkey - 1 as id", "lower(s_name) as user_key", "s_name as name",
+            "if(s_nationkey % 5 = 0, 'admin', 'user') as role", "s_acctbal > 0 as active",
+            f"{OPENING_DAY} as created_at", f"{OPENING_DAY} as updated_at",
         )
-        return customers.unionByName(suppliers).withColumns({"created_at": opened, "updated_at": opened})
+        return customers.unionAll(suppliers)
 
     @cached_property
     def named_users(self) -> DataFrame:
         """Members named after parts, with text ids: many names repeat."""
-        names = self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-        return self.users.drop("name").join(names, "id").withColumn("id", F.md5(F.col("id").cast("string")))
+        names = self.raw("part").selectExpr("p_partkey as id", "p_name as name")
+        named = self.users.drop("name").join(names, "id")
+        return named.selectExpr("md5(cast(id as string)) as id", "user_key", "name", "role", "active")
 
     @cached_property
     def categories(self) -> DataFrame:
-        opened = F.expr(OPENING_DAY)
-        brands = self.raw("part").select(F.col("p_brand").alias("id")).distinct()
-        brands = brands.select(
-            "id", F.col("id").alias("title"), F.concat(F.lit("icon:"), "id").alias("icon_data_url"),
-            (F.col("id") != "Brand#3").alias("active"),
+        """Brands, plus one category without products."""
+        brands = self.raw("part").selectExpr("p_brand as id").distinct().selectExpr(
+            "id", "id as title", "concat('icon:', id) as icon_data_url", "id <> 'Brand#3' as active"
         )
         empty = self.spark.sql(
             "select * from values ('cat-empty', 'Allgemein', '', true) as t (id, title, icon_data_url, active)"
         )
-        return brands.unionByName(empty).withColumns({"created_at": opened, "updated_at": opened})
+        return brands.unionAll(empty).selectExpr("*", f"{OPENING_DAY} as created_at", f"{OPENING_DAY} as updated_at")
 
     @cached_property
     def products(self) -> DataFrame:
-        opened = F.expr(OPENING_DAY)
-        return self.raw("part").select(
-            F.col("p_partkey").alias("id"),
-            F.col("p_name").alias("name"),
-            F.lit("").alias("description"),
-            F.col("p_retailprice").cast(AMOUNT).alias("price"),
-            F.when(F.col("p_size") % 10 != 0, F.col("p_brand")).alias("category_id"),
-            F.lit("").alias("icon_data_url"),
-            (F.col("p_type") == "PROMO").alias("excluded_from_revenue"),
-            (F.col("p_size") % 7 != 0).alias("active"),
-            opened.alias("created_at"),
-            opened.alias("updated_at"),
+        return self.raw("part").selectExpr(
+            "p_partkey as id", "p_name as name", "'' as description", "cast(p_retailprice as decimal(10,2)) as price",
+            "if(p_size % 10 <> 0, p_brand, null) as category_id", "'' as icon_data_url",
+            "p_type = 'PROMO' as excluded_from_revenue", "p_size % 7 <> 0 as active",
+            f"{OPENING_DAY} as created_at", f"{OPENING_DAY} as updated_at",
         )
 
     @cached_property
     def entries(self) -> DataFrame:
         """Line items; the price at booking time is two cents per whole unit of the extended price."""
-        orders = self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
-        lines = self.raw("lineitem").select(
+        orders = self.raw("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey as user_id")
+        lines = self.raw("lineitem").selectExpr(
             "l_orderkey",
-            F.concat_ws(
-                "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                F.col("l_quantity").cast("int"),
-                F.unix_date(F.col("l_shipdate").cast("date")),
-            ).alias("id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            (F.floor("l_extendedprice") * F.lit(0.02).cast("decimal(2,2)")).cast(AMOUNT).alias("unit_price"),
-            (F.col("l_linestatus") == "F").alias("paid"),
-            F.lit(None).cast("timestamp_ntz").alias("paid_at"),
-            F.when(
-                F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("interval 7 days")
-            ).alias("deleted_at"),
-            F.lit(None).cast("bigint").alias("deleted_by"),
-            F.when(F.col("l_returnflag") == "R", "Fehlbuchung").alias("deleted_reason"),
-            F.col("l_shipdate").alias("created_at"),
-            F.col("l_linestatus").alias("line_status"),
-            F.col("l_tax").alias("tax"),
-        )
-        return (
-            lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-            .drop("l_orderkey", "o_orderkey")
-            .withColumn("total", booked_total())
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int),"
+            " unix_date(cast(l_shipdate as date))) as id",
+            "l_partkey as product_id", "cast(l_quantity as int) as quantity",
+            "cast(floor(l_extendedprice) * 0.02BD as decimal(10,2)) as unit_price",
+            "l_linestatus = 'F' as paid", "cast(null as timestamp_ntz) as paid_at",
+            "if(l_returnflag = 'R', l_shipdate + interval 7 days, null) as deleted_at",
+            "cast(null as bigint) as deleted_by", "if(l_returnflag = 'R', 'Fehlbuchung', null) as deleted_reason",
+            "l_shipdate as created_at", "l_linestatus as line_status", "l_tax as tax",
         )
+        return lines.join(orders, "l_orderkey").drop("l_orderkey").withColumn("total", booked_total())
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self.raw("orders").where("o_orderstatus = 'F'").select(
-            F.col("o_orderkey").cast("string").alias("id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_totalprice").cast(AMOUNT).alias("amount"),
-            F.col("o_orderpriority").alias("note"),
-            F.lit(None).cast("bigint").alias("created_by"),
-            F.col("o_orderdate").alias("created_at"),
+        return self.raw("orders").where("o_orderstatus = 'F'").selectExpr(
+            "cast(o_orderkey as string) as id", "o_custkey as user_id", "cast(o_totalprice as decimal(10,2)) as amount",
+            "o_orderpriority as note", "cast(null as bigint) as created_by", "o_orderdate as created_at",
         )
 
     @cached_property
     def adjustments(self) -> DataFrame:
-        return self.raw("customer").where("c_acctbal <> 0").select(
-            F.col("c_custkey").cast("string").alias("id"),
-            F.col("c_custkey").alias("user_id"),
-            F.col("c_acctbal").cast(AMOUNT).alias("amount"),
-            F.col("c_mktsegment").alias("note"),
-            F.lit(None).cast("bigint").alias("created_by"),
-            F.expr(OPENING_DAY).alias("created_at"),
+        return self.raw("customer").where("c_acctbal <> 0").selectExpr(
+            "cast(c_custkey as string) as id", "c_custkey as user_id", "cast(c_acctbal as decimal(10,2)) as amount",
+            "c_mktsegment as note", "cast(null as bigint) as created_by", f"{OPENING_DAY} as created_at",
         )
 
     # community --------------------------------------------------------------------------------
@@ -161,41 +153,29 @@ class BoundTables:
     @cached_property
     def news(self) -> DataFrame:
         posted = post_time("doc_id")
-        return self.raw("documents").select(
-            F.col("doc_id").alias("id"),
-            F.concat_ws(" ", "lang", "source").alias("title"),
-            F.col("text").alias("body"),
-            F.lit("").alias("image_data_url"),
-            self.member_number(F.col("doc_id")).alias("created_by"),
-            posted.alias("created_at"),
-            posted.alias("updated_at"),
+        posts = self.raw("documents").selectExpr(
+            "doc_id as id", "concat_ws(' ', lang, source) as title", "text as body", "'' as image_data_url",
+            f"{posted} as created_at", f"{posted} as updated_at",
         )
+        return posts.withColumn("created_by", self.member_number("id"))
 
     @cached_property
     def suggestions(self) -> DataFrame:
         posted = post_time("page_id")
-        status = F.element_at(
-            F.array(F.lit("open"), F.lit("added"), F.lit("rejected")), (F.col("page_id") % 3 + 1).cast("int")
-        )
-        return self.raw("pages").select(
-            F.col("page_id").alias("id"),
-            F.col("url").alias("title"),
-            F.col("html").alias("description"),
-            status.alias("status"),
-            self.member_number(F.col("page_id")).alias("created_by"),
-            posted.alias("created_at"),
-            posted.alias("updated_at"),
+        posts = self.raw("pages").selectExpr(
+            "page_id as id", "url as title", "html as description",
+            "element_at(array('open', 'added', 'rejected'), cast(page_id % 3 + 1 as int)) as status",
+            f"{posted} as created_at", f"{posted} as updated_at",
         )
+        return posts.withColumn("created_by", self.member_number("id"))
 
     @cached_property
     def like_toggles(self) -> DataFrame:
-        return self.events("click").select(F.col("k").alias("news_id"), "user_id", F.col("ts").alias("created_at"))
+        return self.events("click").selectExpr("k as news_id", "user_id", "ts as created_at")
 
     @cached_property
     def vote_toggles(self) -> DataFrame:
-        return self.events("signup").select(
-            F.col("k").alias("suggestion_id"), "user_id", F.col("ts").alias("created_at")
-        )
+        return self.events("signup").selectExpr("k as suggestion_id", "user_id", "ts as created_at")
 
     @cached_property
     def news_likes(self) -> DataFrame:
@@ -207,7 +187,7 @@ class BoundTables:
 
     @cached_property
     def read_marks(self) -> DataFrame:
-        return self.events("view").select("user_id", F.col("ts").alias("last_seen_at"))
+        return self.events("view").selectExpr("user_id", "ts as last_seen_at")
 
     @cached_property
     def news_reads(self) -> DataFrame:
@@ -215,164 +195,134 @@ class BoundTables:
 
     @cached_property
     def news_comments(self) -> DataFrame:
-        posted = F.expr(
-            f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast((conv_id % 10000) * 30 + turn + 1 as int), 0)"
-        )
-        return self.raw("conversations").select(
-            F.concat_ws("-", "conv_id", "turn").alias("id"),
-            F.col("conv_id").alias("news_id"),
-            self.member_number(F.col("conv_id") + F.col("turn")).alias("user_id"),
-            F.col("text").alias("body"),
-            posted.alias("created_at"),
-            F.col("turn"),
+        comments = self.raw("conversations").selectExpr(
+            "concat_ws('-', conv_id, turn) as id", "conv_id as news_id", "text as body", "turn",
+            f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast((conv_id % 10000) * 30 + turn + 1 as int), 0) as created_at",
         )
+        return comments.withColumn("user_id", self.member_number("news_id + turn"))
 
     # change batches ---------------------------------------------------------------------------
 
     @cached_property
     def setting_changes(self) -> DataFrame:
         """Every event sets the pay handle, in one of five raw forms."""
-        name = F.concat(F.lit("shop."), F.col("user_id").cast("string"))
-        forms = F.array(
-            F.concat(F.lit(" https://www.PayPal.me/"), name), F.concat(F.lit("paypal.me/"), name, F.lit("/25")),
-            F.concat(F.lit("@"), name), F.lit("ab"), F.concat(name, F.lit("?locale=de")),
-        )
-        raw = F.element_at(forms, (F.col("k") % 5 + 1).cast("int"))
-        return self.events().select(
-            "event_id", F.lit("paypal_me").alias("key"), raw.alias("value"),
-            F.col("user_id").alias("updated_by"), F.col("ts").alias("updated_at"),
+        return self.events().selectExpr(
+            "event_id", "'paypal_me' as key",
+            "element_at(array(concat(' https://www.PayPal.me/shop.', user_id), concat('paypal.me/shop.', user_id, '/25'),"
+            " concat('@shop.', user_id), 'ab', concat('shop.', user_id, '?locale=de')), cast(k % 5 + 1 as int)) as value",
+            "user_id as updated_by", "ts as updated_at",
         )
 
     @cached_property
     def settings(self) -> DataFrame:
-        from tallybook.operators.changes import clean_setting_changes
-
         accepted = clean_setting_changes(self.setting_changes).accepted
-        latest = latest_wins(accepted, ["key"], ["updated_at", "event_id"])
-        return latest.select("key", "value", "updated_by", "updated_at")
+        return latest_wins(accepted, ["key"], ["updated_at", "event_id"]).drop("event_id")
 
     @cached_property
     def booking_requests(self) -> DataFrame:
-        return self.events("purchase").select(
-            F.col("event_id").cast("string").alias("id"),
-            "user_id",
-            (F.col("k") * 3).alias("product_id"),
-            F.floor(F.col("value") / 50).cast("int").alias("quantity"),
-            F.col("ts").alias("created_at"),
+        return self.bookings(self.events("purchase"))
+
+    def bookings(self, events: DataFrame) -> DataFrame:
+        return events.selectExpr(
+            "cast(event_id as string) as id", "user_id", "k * 3 as product_id",
+            "cast(floor(value / 50) as int) as quantity", "ts as created_at",
         )
 
     @cached_property
     def user_changes(self) -> DataFrame:
         """Half of the changes name an existing member, half a new one; keys collide often."""
-        return self.events("signup").select(
-            F.when(F.col("k") % 2 == 0, F.col("user_id")).otherwise(-F.col("event_id")).alias("id"),
-            F.concat(F.lit(" Key"), F.col("k").cast("string"), F.lit(" ")).alias("user_key"),
-            F.when(F.col("k") % 11 == 0, " x").otherwise(F.concat(F.lit("Name "), F.col("k").cast("string"))).alias("name"),
-            F.when(F.col("k") % 13 == 0, "owner").when(F.col("k") % 3 == 0, "admin").otherwise("user").alias("role"),
-            F.when(F.col("k") % 7 != 0, F.col("value") > 20).alias("active"),
-            F.col("ts").alias("changed_at"),
-            "event_id",
+        return self.events("signup").selectExpr(
+            "if(k % 2 = 0, user_id, -event_id) as id", "concat(' Key', k, ' ') as user_key",
+            "if(k % 11 = 0, ' x', concat('Name ', k)) as name",
+            "case when k % 13 = 0 then 'owner' when k % 3 = 0 then 'admin' else 'user' end as role",
+            "if(k % 7 <> 0, value > 20, null) as active", "ts as changed_at", "event_id",
         )
 
     @cached_property
     def category_changes(self) -> DataFrame:
-        return self.events("view").select(
-            F.concat(F.lit("Brand#"), F.col("k").cast("string")).alias("id"),
-            F.when(F.col("k") % 17 == 0, " x ")
-            .otherwise(F.concat(F.lit(" Title "), F.col("event_id").cast("string"), F.lit(" "))).alias("title"),
-            F.when(F.col("value") > 20, F.concat(F.lit("icon-"), F.col("event_id").cast("string"))).alias("icon_data_url"),
-            F.when(F.col("user_id") % 3 != 0, F.col("value") > 10).alias("active"),
-            F.col("ts").alias("changed_at"),
-            "event_id",
+        return self.events("view").selectExpr(
+            "concat('Brand#', k) as id", "if(k % 17 = 0, ' x ', concat(' Title ', event_id, ' ')) as title",
+            "if(value > 20, concat('icon-', event_id), null) as icon_data_url",
+            "if(user_id % 3 <> 0, value > 10, null) as active", "ts as changed_at", "event_id",
         )
 
     @cached_property
     def product_changes(self) -> DataFrame:
-        return self.events("error").select(
-            (F.col("k") * 3).alias("id"),
-            F.concat(F.lit(" Item "), F.col("k").cast("string"), F.lit(" ")).alias("name"),
-            F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("text "), F.col("event_id").cast("string"))).alias("description"),
-            (F.col("value").cast(AMOUNT) - F.lit(1).cast(AMOUNT)).cast("decimal(12,3)").alias("price"),
-            F.when(F.col("k") % 5 != 0, F.concat(F.lit("Brand#"), F.col("k").cast("string"))).alias("category_id"),
-            F.when(F.col("value") > 40, "new-icon").alias("icon_data_url"),
-            F.when(F.col("user_id") % 4 != 0, F.col("value") > 60).alias("excluded_from_revenue"),
-            F.when(F.col("user_id") % 5 != 0, F.col("value") > 5).alias("active"),
-            F.col("ts").alias("changed_at"),
-            "event_id",
+        return self.events("error").selectExpr(
+            "k * 3 as id", "concat(' Item ', k, ' ') as name",
+            "if(user_id % 2 = 0, concat('text ', event_id), null) as description",
+            "cast(cast(value as decimal(10,2)) - 1 as decimal(12,3)) as price",
+            "if(k % 5 <> 0, concat('Brand#', k), null) as category_id",
+            "if(value > 40, 'new-icon', null) as icon_data_url",
+            "if(user_id % 4 <> 0, value > 60, null) as excluded_from_revenue",
+            "if(user_id % 5 <> 0, value > 5, null) as active", "ts as changed_at", "event_id",
         )
 
     @cached_property
     def payment_posts(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").cast("string").alias("id"),
-            F.col("o_custkey").alias("user_id"),
-            (F.col("o_totalprice").cast(AMOUNT) - F.lit(100000).cast(AMOUNT)).cast("decimal(12,3)").alias("amount"),
-            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("note"),
-            F.lit(None).cast("bigint").alias("created_by"),
-            F.col("o_orderdate").alias("created_at"),
+        return self.raw("orders").selectExpr(
+            "cast(o_orderkey as string) as id", "o_custkey as user_id",
+            "cast(cast(o_totalprice as decimal(10,2)) - 100000 as decimal(12,3)) as amount",
+            "if(o_orderpriority <> '5-LOW', o_orderpriority, null) as note", "cast(null as bigint) as created_by",
+            "o_orderdate as created_at",
         )
 
     @cached_property
     def adjustment_posts(self) -> DataFrame:
-        return self.raw("customer").select(
-            F.col("c_custkey").cast("string").alias("id"),
-            F.col("c_custkey").alias("user_id"),
-            (F.col("c_acctbal").cast(AMOUNT) * (F.col("c_nationkey") % 5)).cast("decimal(12,3)").alias("amount"),
-            F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("note"),
-            F.lit(None).cast("bigint").alias("created_by"),
-            F.expr(OPENING_DAY).alias("created_at"),
+        return self.raw("customer").selectExpr(
+            "cast(c_custkey as string) as id", "c_custkey as user_id",
+            "cast(cast(c_acctbal as decimal(10,2)) * (c_nationkey % 5) as decimal(12,3)) as amount",
+            "if(c_mktsegment <> 'BUILDING', c_mktsegment, null) as note", "cast(null as bigint) as created_by",
+            f"{OPENING_DAY} as created_at",
         )
 
     @cached_property
     def deletion_requests(self) -> DataFrame:
         """Every booking with line status O is asked to be deleted a day after it was made."""
-        return self.entries.where("line_status = 'O'").select(
-            "id",
-            (F.col("created_at") + F.expr("interval 1 day")).alias("deleted_at"),
-            F.col("user_id").alias("deleted_by"),
-            F.when(F.col("tax") > 0, "Storno").alias("reason"),
+        return self.entries.where("line_status = 'O'").selectExpr(
+            "id", "created_at + interval 1 day as deleted_at", "user_id as deleted_by",
+            "if(tax > 0, 'Storno', null) as reason",
         )
 
     @cached_property
     def status_changes(self) -> DataFrame:
-        status = F.element_at(
-            F.array(F.lit("open"), F.lit("added"), F.lit("rejected"), F.lit("later")),
-            (F.col("event_id") % 4 + 1).cast("int"),
-        )
-        return self.events("view").select(
-            F.col("k").alias("id"), status.alias("status"), F.col("ts").alias("changed_at"), "event_id"
+        return self.events("view").selectExpr(
+            "k as id", "element_at(array('open', 'added', 'rejected', 'later'), cast(event_id % 4 + 1 as int)) as status",
+            "ts as changed_at", "event_id",
         )
 
     @cached_property
     def suggestion_posts(self) -> DataFrame:
-        return self.raw("benchmark").select(
-            F.col("item_id").alias("id"),
-            F.concat(F.lit("  "), "text", F.lit(" ")).alias("title"),
-            F.lit(None).cast("string").alias("description"),
-            self.member_number(F.col("item_id")).alias("created_by"),
-            post_time("item_id").alias("created_at"),
+        posts = self.raw("benchmark").selectExpr(
+            "item_id as id", "concat('  ', text, ' ') as title", "cast(null as string) as description",
+            f"{post_time('item_id')} as created_at",
         )
+        return posts.withColumn("created_by", self.member_number("id"))
 
     @cached_property
     def moderation_requests(self) -> DataFrame:
         """The author asks when the turn is even, the next member when it is odd."""
-        return self.news_comments.select(
-            F.col("id").alias("comment_id"),
-            F.when(F.col("turn") % 2 == 0, F.col("user_id"))
-            .otherwise(self.member_number(F.col("user_id") + 1)).alias("requested_by"),
-        )
+        requested_by = F.when(F.expr("turn % 2 = 0"), F.col("user_id")).otherwise(self.member_number("user_id + 1"))
+        return self.news_comments.select(F.col("id").alias("comment_id"), requested_by.alias("requested_by"))
 
     @cached_property
     def deleted_news(self) -> DataFrame:
         """Posts labelled toxic are taken down."""
-        return self.raw("labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+        return self.raw("labels").where("toxic = 1").selectExpr("doc_id as id")
 
     @cached_property
     def deleted_categories(self) -> DataFrame:
         """Brands named in the errors with a high value."""
-        return self.events("error").where("value > 100").select(
-            F.concat(F.lit("Brand#"), F.col("k").cast("string")).alias("id")
-        )
+        return self.events("error").where("value > 100").selectExpr("concat('Brand#', k) as id")
+
+    @cached_property
+    def paid_members(self) -> DataFrame:
+        return self.raw("customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey as user_id")
+
+    @cached_property
+    def found_titles(self) -> DataFrame:
+        """Category titles named in the product file: brands and types."""
+        return self.raw("part").selectExpr("inline(array(struct(p_brand as title), struct(p_type as title)))")
 
     @cached_property
     def first_version_products(self) -> DataFrame:
