@@ -18,15 +18,19 @@ from tallybook.operators.catalog import setting
 from tallybook.operators.movements import LOW_BALANCE, live, signed_amounts
 
 
-def member_totals(t) -> DataFrame:
+def member_totals(t, corrections: bool = True) -> DataFrame:
     """Balance of every member that has movements: one union, one partial aggregate, one shuffle."""
-    return signed_amounts(t).groupBy("user_id").agg(money_sum("amount").alias("balance"))
+    return signed_amounts(t, corrections).groupBy("user_id").agg(money_sum("amount").alias("balance"))
 
 
-def account_balance(t) -> DataFrame:
-    """Balance of every member; members without movements have 0."""
+def account_balance(t, corrections: bool = True) -> DataFrame:
+    """Balance of every member; members without movements have 0.
+
+    The second version knew no corrections: ``corrections=False``.
+    """
     members = t.users.select(F.col("id").alias("user_id"))
-    return members.join(member_totals(t), "user_id", "left").select("user_id", or_zero("balance").alias("balance"))
+    totals = member_totals(t, corrections)
+    return members.join(totals, "user_id", "left").select("user_id", or_zero("balance").alias("balance"))
 
 
 def users_with_balance(t, ordered: bool = True) -> DataFrame:

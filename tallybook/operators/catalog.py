@@ -97,11 +97,16 @@ def product_delete_plan(t, candidates: DataFrame | None = None) -> DataFrame:
     return products.join(bought, "id", "left").select(F.col("id").alias("product_id"), action.alias("action"))
 
 
-def detach_category(t, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(products, categories) after deleting categories: products lose the id, categories go inactive."""
+def detach_category(t, deleted: DataFrame, remove: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(products, categories) after deleting categories: products lose the id, categories go inactive.
+
+    The second version took the categories out of the table instead: ``remove``.
+    """
     gone = deleted.select("id").distinct().withColumn("_gone", F.lit(True))
     products = t.products.join(gone.withColumnRenamed("id", "category_id"), "category_id", "left")
     products = products.withColumn("category_id", F.when(F.col("_gone").isNull(), F.col("category_id")))
     categories = t.categories.join(gone, "id", "left")
+    if remove:
+        categories = categories.where(F.col("_gone").isNull())
     categories = categories.withColumn("active", F.col("active") & F.col("_gone").isNull())
     return products.select(*t.products.columns), categories.select(*t.categories.columns)

@@ -246,9 +246,12 @@ def mark_paid_counts(entries: DataFrame, members: DataFrame) -> DataFrame:
     return chosen.join(unpaid, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("marked"))
 
 
-def post_payments(posts: DataFrame, users: DataFrame) -> Applied:
-    """Payments to append; the amount must be positive before and after rounding."""
-    return _post(posts, users, R.payment_rules(), PAYMENT_NOTE)
+def post_payments(posts: DataFrame, users: DataFrame, default_note: str = PAYMENT_NOTE) -> Applied:
+    """Payments to append; the amount must be positive before and after rounding.
+
+    The second version stored an empty note instead of the default one.
+    """
+    return _post(posts, users, R.payment_rules(), default_note)
 
 
 def post_adjustments(posts: DataFrame, users: DataFrame) -> Applied:

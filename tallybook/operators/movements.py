@@ -47,12 +47,12 @@ def month_entries(t, as_of: dt.date) -> DataFrame:
     )
 
 
-def signed_amounts(t) -> DataFrame:
+def signed_amounts(t, corrections: bool = True) -> DataFrame:
     """All movements reduced to (user_id, created_at, amount): no product join, nothing but numbers."""
-    bought = t.entries.where(live()).select("user_id", "created_at", (-F.col("total")).cast(AMOUNT).alias("amount"))
-    paid = t.payments.select("user_id", "created_at", F.col("amount").cast(AMOUNT).alias("amount"))
-    corrected = t.adjustments.select("user_id", "created_at", F.col("amount").cast(AMOUNT).alias("amount"))
-    return bought.unionByName(paid).unionByName(corrected)
+    rows = t.entries.where(live()).select("user_id", "created_at", (-F.col("total")).cast(AMOUNT).alias("amount"))
+    for ledger in (t.payments, t.adjustments) if corrections else (t.payments,):
+        rows = rows.unionByName(ledger.select("user_id", "created_at", F.col("amount").cast(AMOUNT).alias("amount")))
+    return rows
 
 
 _MOVEMENT = ["id", "user_id", "created_at", "kind", "type_label", "title", "note", "amount"]

@@ -124,13 +124,16 @@ def _cut(rows: DataFrame, large: DataFrame, groups: list[str], order: list[Key])
     """Add ``_piece``: the number of cut rows of the block that come at or before the row.
 
     Cut rows are picked by a hash of their own content, so a re-run picks the same ones. There are
-    about PIECES of them per large block, and large blocks are at most rows / block_rows.
+    about PIECES of them per large block (equal rows count once), and large blocks are at most
+    rows / block_rows.
     """
     names = [k.name for k in order]
     stride = F.ceil(F.col("_rows") / PIECES)
     cuts = (
         rows.join(large.select(*groups, "_rows"), groups)
         .where(F.pmod(F.xxhash64(*names), stride) == 0)
+        .select(*groups, *names)
+        .distinct()
         .groupBy(*groups)
         .agg(F.collect_list(F.struct(*names)).alias("_cuts"))
     )

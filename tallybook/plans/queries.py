@@ -123,7 +123,11 @@ QUERIES: dict[str, Query] = {
         catalog.detach_category(t, t.deleted_categories)[1], "id", "title", "active"
     ),
     "account_balance": balance.account_balance,
+    "account_balance_legacy": lambda t: balance.account_balance(t, corrections=False),
     "users_with_balance": balance.users_with_balance,
+    "detach_category_removed": lambda t: _columns(
+        catalog.detach_category(t, t.deleted_categories, remove=True)[1], "id", "title", "active"
+    ),
     "account_overview": lambda t: balance.account_overview(t, AS_OF),
     "open_paid_totals": balance.open_paid_totals,
     "low_balance_accounts": balance.low_balance_accounts,
