@@ -15,7 +15,6 @@ The result is exact wherever the cuts fall; sampling only decides how even the p
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 from tallybook.session import stage
 
 HEAVY_ROWS = 1_000_000  # a key with more rows than this is cut into blocks
-PIECES = 256  # a block with more rows than this limit is cut into about this many pieces
+PIECES = 1024  # a block above that limit is cut into at most about this many pieces
+STEP = 32
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def _scan_blocks(rows, keys, block: Key, order, sums, row_no, block_rows: int) -
     totals = stage(_totals(rows, [*keys, block.name], sums), "block-totals")
     large = totals.where(F.col("_rows") > block_rows)
     if not large.isEmpty():
-        rows = _cut(rows, large, [*keys, block.name], order)
+        rows = _cut(rows, large, [*keys, block.name], order, block_rows)
         blocks = [block, asc("_piece")]
         totals = _totals(rows, [*keys, block.name, "_piece"], sums)
     groups = [*keys, *(b.name for b in blocks)]
@@ -120,38 +120,48 @@ def _totals(rows: DataFrame, groups: list[str], sums: dict[str, str]) -> DataFra
     return rows.groupBy(*groups).agg(F.count("*").alias("_rows"), *added)
 
 
-def _cut(rows: DataFrame, large: DataFrame, groups: list[str], order: list[Key]) -> DataFrame:
+def _cut(rows: DataFrame, large: DataFrame, groups: list[str], order: list[Key], block_rows: int) -> DataFrame:
     """Add ``_piece``: the number of cut rows of the block that come at or before the row.
 
     Cut rows are picked by a hash of their own content, so a re-run picks the same ones. There are
-    about PIECES of them per large block (equal rows count once), and large blocks are at most
-    rows / block_rows.
+    about PIECES of them per large block at most (equal rows count once), and large blocks are at
+    most rows / block_rows. A row is compared with every STEP-th cut first, then with one step.
     """
     names = [k.name for k in order]
-    stride = F.ceil(F.col("_rows") / PIECES)
+    stride = F.ceil(F.greatest(F.col("_rows") / PIECES, F.lit(block_rows / 2)))
     cuts = (
         rows.join(large.select(*groups, "_rows"), groups)
         .where(F.pmod(F.xxhash64(*names), stride) == 0)
         .select(*groups, *names)
         .distinct()
         .groupBy(*groups)
-        .agg(F.collect_list(F.struct(*names)).alias("_cuts"))
+        .agg(F.array_sort(F.collect_list(F.struct(*names)), lambda a, b: _compared(a, b, order)).alias("_cuts"))
+        .withColumn("_steps", F.filter("_cuts", lambda cut, place: place % STEP == 0))
     )
-    passed = F.filter("_cuts", lambda cut: _not_after(cut, order))
-    piece = F.coalesce(F.size(passed), F.lit(0))
+
+    def passed(candidates: Column) -> Column:
+        """How many of the cuts come at or before the row; none without cuts."""
+        found = F.filter(candidates, lambda cut: _compared(cut, {k: F.col(k) for k in names}, order) <= 0)
+        return F.coalesce(F.size(found), F.lit(0))
+
+    steps = F.col("_step")
+    inside = passed(F.slice("_cuts", F.greatest((steps - 1) * STEP + 1, F.lit(1)), F.lit(STEP)))
     return (
         rows.join(cuts, groups, "left")
-        .withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece))
-        .drop("_cuts")
+        .withColumn("_step", F.when(F.col("_steps").isNull(), 0).otherwise(passed(F.col("_steps"))))
+        .withColumn("_piece", F.when(steps == 0, 0).otherwise((steps - 1) * STEP + inside))
+        .drop("_cuts", "_steps", "_step")
     )
 
 
-def _not_after(cut: Column, order: list[Key]) -> Column:
-    """Does ``cut`` come at or before the current row in the given order?"""
-    same = [cut[k.name] == F.col(k.name) for k in order]
-    ahead = [cut[k.name] > F.col(k.name) if k.descending else cut[k.name] < F.col(k.name) for k in order]
-    tests = [reduce(Column.__and__, [*same[:i], ahead[i]]) for i in range(len(order))]
-    return reduce(Column.__or__, [*tests, reduce(Column.__and__, same)])
+def _compared(a, b, order: list[Key]) -> Column:
+    """−1, 0 or 1 as ``a`` comes before, with or after ``b``."""
+    result = F.lit(0)
+    for key in reversed(order):
+        first, second = (b, a) if key.descending else (a, b)
+        lower, higher = first[key.name] < second[key.name], first[key.name] > second[key.name]
+        result = F.when(lower, -1).when(higher, 1).otherwise(result)
+    return result
 
 
 def parts(rows: DataFrame, keys: list[str], position: str, fields: list[str], size: int) -> DataFrame:

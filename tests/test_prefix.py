@@ -31,7 +31,7 @@ def expected(rows, order):
     return result
 
 
-@pytest.mark.parametrize("heavy_rows, pieces", [(10_000, 256), (100, 256), (100, 4), (20, 8)])
+@pytest.mark.parametrize("heavy_rows, pieces", [(10_000, 256), (100, 256), (100, 4), (20, 8), (2, 256)])
 @pytest.mark.parametrize("descending", [False, True])
 def test_same_as_plain_window(spark, monkeypatch, heavy_rows, pieces, descending):
     monkeypatch.setattr(prefix, "PIECES", pieces)
@@ -50,7 +50,7 @@ def test_large_block_is_cut(spark, monkeypatch):
     monkeypatch.setattr(prefix, "PIECES", 16)
     _, frame = make(spark, 1)
     large = prefix._totals(frame, ["key", "day"], {}).where("_rows > 100")
-    pieces = prefix._cut(frame, large, ["key", "day"], [asc("at"), asc("id")])
+    pieces = prefix._cut(frame, large, ["key", "day"], [asc("at"), asc("id")], 10)
     sizes = pieces.where("key = 'hot' and day = 1").groupBy("_piece").count()
     assert sizes.count() >= 6
     assert sizes.agg({"count": "max"}).first()[0] < 100
