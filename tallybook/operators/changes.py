@@ -395,7 +395,9 @@ def cascade_delete(children: DataFrame, column: str, deleted: DataFrame) -> Data
 
 def insert_if_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the table yet, one per key."""
-    return rows.dropDuplicates(keys).join(base.select(*keys).distinct(), keys, "left_anti")
+    wanted = rows.dropDuplicates(keys)
+    present = base.select(*keys).join(wanted.select(*keys), keys, "left_semi").distinct()
+    return wanted.join(present, keys, "left_anti")
 
 
 def evolve_products(products: DataFrame, categories: DataFrame) -> DataFrame:
