@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,10 @@ def is_repeated(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int, table: np.ndarray) -> DataFrame:
-    """(key, body, doc_id, first): each run with a repeated minimiser as one string, for the bucket of its key."""
+    """(key, body, doc_id, first): each run with a repeated minimiser as one string, for the bucket of its key.
+
+    The key is 4 bytes of the minimiser's hash: minimisers that share them only share a bucket.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +149,11 @@ def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int,
                 rows = np.asarray(chunk.rows)[runs.owner[kept]]
                 bodies = [body(a, b) for a, b in zip(runs.first[kept].tolist(), runs.end[kept].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs.key[kept].view(np.int64)), pa.array(bodies, pa.binary()), pa.array(ids[rows]), pa.array(runs.first[kept] - offsets[runs.owner[kept]])],
+                    [pa.array((mix(runs.key[kept]) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(bodies, pa.binary()), pa.array(ids[rows]), pa.array(runs.first[kept] - offsets[runs.owner[kept]])],
                     ["key", "body", "doc_id", "first"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, body binary, doc_id long, first long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key int, body binary, doc_id long, first long")
 
 
 class Bodies(NamedTuple):
@@ -160,8 +164,8 @@ class Bodies(NamedTuple):
     doc_id: list[int]
 
 
-SPANS = "kind int, key long, body binary, doc_id long, first long, size long"
-_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+SPANS = "kind int, key int, body binary, doc_id long, first long, size long"
+_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 SPAN, DEFERRED = 0, 1
 
 
@@ -238,6 +242,23 @@ def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Cal
     return runs.repartition("key").sortWithinPartitions("key", "body", "doc_id").mapInArrow(run, SPANS)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): the texts compressed, for a join that has to send them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [press.compress(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def unpacked(packed: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(p.as_buffer()) for p in packed], pa.large_binary())
+
+
 def merged_spans(spans: DataFrame) -> DataFrame:
     """(doc_id, spans): the sorted spans of each text; a text's spans are no more than its tokens."""
     return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("spans"))

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import NOT_SPACE, Chunk, chunks, keyed, original_id, run_hashes, span_hashes, word_spans
-from tallybook.llm.segments import DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_anywhere, repeated_keys, travelling_runs
+from tallybook.llm.segments import (
+    DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, travelling_runs, unpacked,
+)
 from tallybook.llm.simhash import _spaced
 from tallybook.session import stage
 
@@ -111,7 +113,7 @@ def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = S
         for batch in batches:
             rows = []
             spans_of = batch.column("spans")
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(unpacked(batch.column("packed"))):
                 starts, ends, owner = word_spans(chunk.data, chunk.offsets, NOT_SPACE)
                 text = chunk.data.tobytes()
                 first = np.searchsorted(owner, np.arange(len(chunk.rows) + 1)).tolist()
@@ -124,6 +126,6 @@ def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = S
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = packed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.withColumn("doc_id", original_id())

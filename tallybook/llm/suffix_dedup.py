@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import Chunk, chunks, keyed, mix, original_id
-from tallybook.llm.segments import DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_across, repeated_keys, travelling_runs
+from tallybook.llm.segments import (
+    DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, travelling_runs, unpacked,
+)
 from tallybook.llm.substring_dedup import same_bytes
 from tallybook.session import stage
 
@@ -192,7 +194,7 @@ def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHAR
         for batch in batches:
             rows = []
             spans_of = batch.column("spans")
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(unpacked(batch.column("packed"))):
                 for row, a, b in zip(chunk.rows, chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
                     gone = covered(spans_of[row].as_py(), b - a)
                     kept = chunk.data[a:b][~gone].tobytes()
@@ -202,6 +204,6 @@ def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHAR
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = packed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
     out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumn("doc_id", original_id())
