@@ -13,12 +13,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import AMOUNT, money_sum
 from tallybook.functions.text import DEFAULT_CATEGORY, pay_handle
 from tallybook.operators import rules as R
+from tallybook.session import stage
 
 # Fixed values.
 PAYMENT_NOTE = "Zahlung"
@@ -125,36 +126,93 @@ def _stamps(order: list[str]) -> dict[str, Column]:
 
 
 def apply_user_changes(users: DataFrame, changes: DataFrame, order: list[str], strict: bool = False) -> Applied:
-    """Insert or overwrite members by id.
+    """Insert or overwrite members by id, as if the changes came one after the other.
 
-    Keys are unique ignoring case. A key stays with the member who holds it before the batch; a free
-    key goes to the first of the batch's final records that claims it. The others are rejected.
+    Keys are unique ignoring case: a change is rejected if another member holds its key at that moment. Of several
+    valid changes to one member the last one shows in the snapshot; every other change is among the rejected.
     """
     checked = split(changes, R.first_broken(R.user_rules(strict)))
     key = F.trim("user_key")
-    claims = latest_wins(checked.accepted, ["id"], order).withColumn("user_key", F.lower(key) if strict else key)
-    claims = claims.withColumn("_key", F.lower("user_key"))
-    holders = users.groupBy(F.lower("user_key").alias("_key")).agg(
-        F.min("id").alias("_first_holder"), F.max("id").alias("_last_holder")
-    )
-    firsts = claims.groupBy("_key").agg(F.min_by("id", F.struct(*order, "id")).alias("_claimant"))
-    placed = claims.join(firsts, "_key").join(holders, "_key", "left")
-    held = F.col("_first_holder").isNotNull() & (
-        (F.col("_first_holder") != F.col("id")) | (F.col("_last_holder") != F.col("id"))
-    )
-    owner = F.col("_first_holder").isNotNull()
-    lost = ~owner & (F.col("_claimant") != F.col("id"))
-    placed = split(placed, F.when(held | lost, "user_key_taken"))
+    claims = checked.accepted.withColumn("user_key", F.lower(key) if strict else key).withColumn("_key", F.lower("user_key"))
+    settled = _settle_keys(users, claims, order)
     names = changes.columns
     snapshot = apply_changes(
-        users, placed.accepted.select(*names), "id", order,
+        users, settled.where("_ok").select(*names), "id", order,
         {
             "user_key": _new("user_key"), "name": F.trim(_new("name")), "role": _new("role"),
             "active": _or(_new("active"), True), **_stamps(order),
         },
     )
-    rejected = checked.rejected.unionByName(placed.rejected.select(*names, "reason"))
-    return Applied(snapshot, rejected)
+    taken = settled.where(~F.col("_ok")).select(*names, F.lit("user_key_taken").alias("reason"))
+    return Applied(snapshot, checked.rejected.unionByName(taken))
+
+
+def _settle_keys(users: DataFrame, claims: DataFrame, order: list[str]) -> DataFrame:
+    """The claims with a flag ``_ok``: did nobody else hold the key when the claim was made?
+
+    Who holds a key depends on which earlier claims were valid. The rounds start with all claims valid; each one
+    counts, for every claim, the other members that took its key before and did not give it up. What a round finds
+    for a claim is final once all earlier ones are, so the flags stop changing, and they stop at the one solution.
+    """
+    at = F.struct(*order)
+    claims = claims.withColumn("_at", at)
+    keys, members = claims.select("_key").distinct(), claims.select("id").distinct()
+    stored = users.select("id", F.lower("user_key").alias("_key"))
+    stored = stored.join(keys, "_key", "left_semi").unionByName(stored.join(members, "id", "left_semi")).distinct()
+    start = stored.select("id", "_key", F.lit(None).cast(claims.schema["_at"].dataType).alias("_at"))
+    flags = stage(claims.select("id", "_key", "_at").distinct().withColumn("_ok", F.lit(True)), "claims")
+    while True:
+        held = flags.where("_ok").select("id", "_key", "_at").unionByName(start)
+        turns = Window.partitionBy("id").orderBy(F.col("_at").asc_nulls_first())
+        given_up = held.select("id", F.lag("_key").over(turns).alias("_key"), "_at").where("_key is not null")
+        events = (
+            start.select("id", "_key", "_at", F.lit(1).alias("_step"), F.lit(None).cast("boolean").alias("_ok"))
+            .unionByName(given_up.select("id", "_key", "_at", F.lit(-1).alias("_step"), F.lit(None).cast("boolean").alias("_ok")))
+            .unionByName(flags.select("id", "_key", "_at", F.col("_ok").cast("int").alias("_step"), "_ok"))
+        )
+        earlier = [F.col("_at").asc_nulls_first(), F.col("_ok").asc_nulls_first()]
+        by_key = Window.partitionBy("_key").orderBy(*earlier).rowsBetween(Window.unboundedPreceding, -1)
+        own = Window.partitionBy("_key", "id").orderBy(*earlier).rowsBetween(Window.unboundedPreceding, -1)
+        others = F.coalesce(F.sum("_step").over(by_key), F.lit(0)) - F.coalesce(F.sum("_step").over(own), F.lit(0))
+        judged = events.withColumn("_now", others == 0).where("_ok is not null")
+        judged = stage(judged.select("id", "_key", "_at", F.col("_ok").alias("_was"), F.col("_now").alias("_ok")), "claims")
+        if judged.where("_was != _ok").isEmpty():
+            return claims.join(judged.select("id", "_key", "_at", "_ok"), ["id", "_key", "_at"])
+        flags = judged.drop("_was")
+
+
+def deactivate_users(users: DataFrame, requests: DataFrame, balances: DataFrame, order: list[str]) -> Applied:
+    """Deactivate the requested members; a balance other than 0 or being the last active admin prevents it.
+
+    Requests count in their order, several for one member as the first. Admins go until one active one is left: only
+    if all active admins could go, the last of them stays.
+    """
+    first = first_wins(requests.select("id", *order), ["id"], order)
+    known_users = users.select("id", "role", "active")
+    amounts = balances.select(F.col("user_id").alias("id"), "balance")
+    asked = first.join(known_users, "id", "left").join(amounts, "id", "left")
+    admin = (F.col("role") == "admin") & F.col("active")
+    reason = (
+        F.when(F.col("role").isNull(), "user_unknown")
+        .when(F.coalesce("balance", F.lit(0)) != 0, "balance_not_zero")
+    )
+    asked = asked.withColumn("reason", reason)
+    going = asked.where(admin & F.col("reason").isNull()).agg(F.count("*").alias("n"), F.max_by("id", F.struct(*order, "id")).alias("last"))
+    admins = users.agg(F.count(F.when(admin, 1)).alias("n")).scalar()
+    stays = F.coalesce(going.select((F.col("n") >= admins).alias("all")).scalar() & admin & (F.col("id") == going.select("last").scalar()), F.lit(False))
+    idle_admin = (F.col("role") == "admin") & ~F.col("active") & (admins == 0)
+    asked = asked.withColumn("reason", F.when(F.col("reason").isNull() & (stays | idle_admin), "last_admin").otherwise(F.col("reason")))
+    gone = asked.where("reason is null").select("id", F.col(order[0]).alias("_at"))
+    changed = {"active": F.col("active") & F.col("_at").isNull(), "updated_at": F.coalesce("_at", "updated_at")}
+    snapshot = users.join(gone, "id", "left").withColumns(changed).select(*users.columns)
+    return Applied(snapshot, asked.where("reason is not null").select("id", *order, "reason"))
+
+
+def deactivate_products(products: DataFrame, requests: DataFrame, order: list[str]) -> DataFrame:
+    """Products with the requested ones inactive, whether they were bought or not."""
+    first = first_wins(requests.select("id", *order), ["id"], order).select("id", F.col(order[0]).alias("_at"))
+    changed = {"active": F.col("active") & F.col("_at").isNull(), "updated_at": F.coalesce("_at", "updated_at")}
+    return products.join(first, "id", "left").withColumns(changed).select(*products.columns)
 
 
 def apply_category_changes(categories: DataFrame, changes: DataFrame, order: list[str]) -> Applied:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.operators import (
     balance, catalog, changes, community, members, movements, profile, revenue, rules, statement,
 )
+from tallybook.session import fresh_dir
 from tallybook.sources.bind import AS_OF, BoundTables, post_time
 from tallybook.sources.schemas import SCHEMAS
 from tallybook.streaming import jobs
@@ -79,29 +80,40 @@ def _month_items(t: BoundTables) -> DataFrame:
     return items.select("user_id", "position", *profile.ITEM_FIELDS)
 
 
-def _stream_bookings(t: BoundTables) -> DataFrame:
-    source = t.bookings(t.events("purchase", stream=True))
+def _booking_stream(t: BoundTables) -> changes.Applied:
+    return changes.priced_bookings(t.bookings(t.events("purchase", stream=True)), t.products)
 
-    def to_movements(batch: DataFrame) -> DataFrame:
-        booked = changes.priced_bookings(batch, t.products).accepted
-        return booked.select(
-            "id", "user_id", "created_at", F.lit("entry").alias("kind"),
-            (-F.col("total")).cast("decimal(10,2)").alias("amount"),
-        )
 
-    return jobs.stream_bookings(t.spark, source, to_movements, balance.account_balance(t))
+def _stream_bookings(t: BoundTables) -> DataFrame:
+    movement = _booking_stream(t).accepted.select(
+        "id", "user_id", "created_at", F.lit("entry").alias("kind"), (-F.col("total")).cast("decimal(10,2)").alias("amount")
+    )
+    return jobs.stream_bookings(movement, balance.account_balance(t), fresh_dir(t.spark, "stream-bookings"))
 
 
-def _stream_toggles(t: BoundTables) -> DataFrame:
+def _stream_toggles(t: BoundTables, parents: DataFrame) -> changes.Toggled:
     source = t.events("click", stream=True).selectExpr("k as news_id", "user_id", "ts as created_at")
-    return jobs.stream_toggles(t.spark, source, "news_id", t.news)
+    return jobs.stream_toggles(source, "news_id", parents, fresh_dir(t.spark, "stream-toggles"))
 
 
 def _stream_unread(t: BoundTables) -> DataFrame:
     reads = t.events("view", stream=True).selectExpr("'read' as kind", "user_id", "ts as created_at")
     posts = t.stream("documents").selectExpr("'news' as kind", "doc_id", f"{post_time('doc_id')} as created_at")
     posts = posts.select("kind", t.member_number("doc_id").alias("user_id"), "created_at")
-    return jobs.stream_unread(t.spark, reads.unionByName(posts), t.users.select(F.col("id").alias("user_id")))
+    members = t.users.select(F.col("id").alias("user_id"))
+    return jobs.stream_unread(reads.unionByName(posts), members, fresh_dir(t.spark, "stream-unread"))
+
+
+def _deactivated(t: BoundTables) -> changes.Applied:
+    requests = t.user_changes.select("id", *EVENT_ORDER).unionByName(
+        t.users.where("role = 'admin'").select("id", F.col("updated_at").alias("changed_at"), F.col("id").alias("event_id"))
+    )
+    return changes.deactivate_users(t.users, requests, balance.account_balance(t), EVENT_ORDER)
+
+
+def _few(frame: DataFrame) -> DataFrame:
+    """Every other post: the rest counts as unknown."""
+    return frame.where("id % 2 = 0")
 
 
 QUERIES: dict[str, Query] = {
@@ -203,7 +215,9 @@ QUERIES: dict[str, Query] = {
     "clean_setting_changes": lambda t: changes.clean_setting_changes(t.setting_changes).accepted,
     "clean_setting_changes_rejected": lambda t: changes.clean_setting_changes(t.setting_changes).rejected,
     "toggle_state": lambda t: t.news_likes,
-    "toggle_state_rejected": lambda t: changes.toggle_state(t.vote_toggles, "suggestion_id", t.suggestions).rejected,
+    "toggle_state_rejected": lambda t: changes.toggle_state(
+        t.vote_toggles, "suggestion_id", _few(t.suggestions)
+    ).rejected,
     "set_status": lambda t: _columns(_status(t).accepted, "id", "title", "status", "updated_at"),
     "set_status_rejected": lambda t: _columns(_status(t).rejected, "id", "event_id", "status", "reason"),
     "add_suggestions": lambda t: changes.add_suggestions(t.suggestion_posts).accepted,
@@ -216,6 +230,24 @@ QUERIES: dict[str, Query] = {
     "moderate_comments_rejected": lambda t: _moderated(t).rejected,
     "schema_evolution": lambda t: changes.evolve_products(t.first_version_products, t.categories),
     "stream_bookings": _stream_bookings,
-    "stream_toggles": _stream_toggles,
+    "stream_bookings_rejected": lambda t: jobs.stream_rows(_booking_stream(t).rejected, fresh_dir(t.spark, "stream-rejected")),
+    "stream_toggles": lambda t: _stream_toggles(t, t.news).state,
+    "stream_toggles_rejected": lambda t: _stream_toggles(t, _few(t.news)).rejected,
+    "deactivate_users": lambda t: _columns(_deactivated(t).accepted, "id", "role", "active", "updated_at"),
+    "deactivate_users_rejected": lambda t: _columns(_deactivated(t).rejected, "id", "event_id", "reason"),
+    "deactivate_products": lambda t: _columns(
+        changes.deactivate_products(t.products, t.product_changes, EVENT_ORDER), "id", "active", "updated_at"
+    ),
+    "post_adjustments_balances": lambda t: changes.balances_after(
+        balance.account_balance(t), changes.post_adjustments(t.adjustment_posts, t.users).accepted
+    ),
+    "add_suggestions_rejected": lambda t: _columns(changes.add_suggestions(t.suggestion_posts).rejected, "id", "reason"),
+    "cascade_delete_votes": lambda t: changes.cascade_delete(
+        t.suggestion_votes, "suggestion_id", t.suggestions.where("status = 'rejected'")
+    ),
+    "cascade_delete_reads": lambda t: changes.cascade_delete(t.news_reads, "user_id", t.users.where("not active")),
+    "recent_entries_last5": lambda t: movements.recent_entries(t, 5),
+    "recent_payments_last2": lambda t: movements.recent_payments(t, 2),
+    "recent_movements_last10": lambda t: movements.recent_movements(t, 10),
     "stream_unread": _stream_unread,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+_staged: list[str] = []  # folders that this process wrote with stage()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else built."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -36,18 +38,11 @@ def build_session(app: str = "tallybook", master: str | None = None, **settings:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without: it then gets a temporary folder of its own.
-    """
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir`` when the session was built."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    created = tempfile.mkdtemp(prefix="tallybook-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -63,4 +58,18 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_dir(frame.sparkSession, label)
     frame.write.parquet(path)
+    _staged.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system holds it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the staged folders of this process; call it when the results that read them are done with."""
+    while _staged:
+        found = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)

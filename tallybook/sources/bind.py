@@ -40,8 +40,8 @@ LAUNCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
 def post_time(number: str) -> str:
-    """Posts are half an hour apart and start again after 10,000 of them."""
-    return f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast(({number} % 10000) * 30 as int), 0)"
+    """Posts are half an hour apart."""
+    return f"{LAUNCH} + make_dt_interval(cast({number} div 48 as int), 0, cast({number} % 48 * 30 as int))"
 
 
 class BoundTables:
@@ -92,9 +92,9 @@ class BoundTables:
 
     @cached_property
     def named_users(self) -> DataFrame:
-        """Members named after parts, with text ids: many names repeat."""
+        """Members named after parts where there is one, with text ids: many names repeat."""
         names = self.raw("part").selectExpr("p_partkey as id", "p_name as name")
-        named = self.users.drop("name").join(names, "id")
+        named = self.users.withColumnRenamed("name", "_name").join(names, "id", "left").withColumn("name", F.coalesce("name", "_name"))
         return named.selectExpr("md5(cast(id as string)) as id", "user_key", "name", "role", "active")
 
     @cached_property
@@ -197,7 +197,7 @@ class BoundTables:
     def news_comments(self) -> DataFrame:
         comments = self.raw("conversations").selectExpr(
             "concat_ws('-', conv_id, turn) as id", "conv_id as news_id", "text as body", "turn",
-            f"{LAUNCH} + make_interval(0, 0, 0, 0, 0, cast((conv_id % 10000) * 30 + turn + 1 as int), 0) as created_at",
+            f"{post_time('conv_id')} + make_dt_interval(0, 0, cast(turn + 1 as int)) as created_at",
         )
         return comments.withColumn("user_id", self.member_number("news_id + turn"))
 
@@ -294,7 +294,7 @@ class BoundTables:
     @cached_property
     def suggestion_posts(self) -> DataFrame:
         posts = self.raw("benchmark").selectExpr(
-            "item_id as id", "concat('  ', text, ' ') as title", "cast(null as string) as description",
+            "item_id as id", "if(item_id % 7 = 3, ' x ', concat('  ', text, ' ')) as title", "cast(null as string) as description",
             f"{post_time('item_id')} as created_at",
         )
         return posts.withColumn("created_by", self.member_number("id"))

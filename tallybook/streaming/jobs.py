@@ -1,103 +1,94 @@
 """Streams whose results equal their batch twins.
 
-Batches arrive in order; inside a batch the movement order (time, kind, id) applies. State is one
-small row per key, so there are no watermarks.
+Every job works in a folder that the caller names, ``home``. Running it again on the same folder goes on where the last
+run ended: offsets, state and the list of written files are the engine's own, kept in the checkpoint there. Batches
+arrive in order; inside a batch the movement order (time, kind, id) applies. State is one small row per key, so there
+are no watermarks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
-from tallybook.functions.money import TOTAL, money_sum, or_zero
-from tallybook.functions.months import day_number
-from tallybook.operators.changes import latest_wins
+from tallybook.functions.money import TOTAL
+from tallybook.operators.changes import Toggled
 from tallybook.operators.community import newest_authors, unread_flags
-from tallybook.operators.movements import MOVEMENT_ORDER, low_balance_warning
-from tallybook.operators.prefix import asc, running_totals
-from tallybook.streaming.state import StreamState, read_batches, run_to_end, work_dir
+from tallybook.operators.movements import low_balance_warning
+from tallybook.session import exists
+
+MOVEMENT = ["id", "user_id", "created_at", "kind", "amount"]
+
+
+def run_to_end(writer: DataStreamWriter, home: str) -> None:
+    """Process everything that is there now and was not processed before."""
+    writer.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_rows(rows: DataFrame, home: str) -> DataFrame:
+    """All rows of a stream without aggregates so far, for example the rejected ones, each written once."""
+    run_to_end(rows.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out"), home)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{home}/out")
+
 
+def engine_state(counted: DataFrame, home: str) -> DataFrame:
+    """The groups of a streaming aggregate after its last batch, read from the engine's state."""
+    spark, schema = counted.sparkSession, counted.schema
+    if not exists(spark, f"{home}/checkpoint/commits/0"):
+        return spark.createDataFrame([], schema)
+    state = spark.read.format("statestore").load(f"{home}/checkpoint")
+    parts = [F.col(f"{side}.`{field.name}`") for side in ("key", "value") for field in state.schema[side].dataType]
+    return state.select(*(part.alias(name) for part, name in zip(parts, schema.names, strict=True)))
 
-def stream_bookings(
-    spark: SparkSession, source: DataFrame, to_movements, balances: DataFrame
-) -> DataFrame:
+
+def _balances(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """One member's movements of a batch: balances in cents go on from the stored one."""
+    frame = pd.concat(list(rows)).sort_values(["created_at", "kind", "id"])
+    cents = frame["amount"].map(lambda x: int(x.scaleb(2))).cumsum()
+    before = state.get[0] if state.exists else int((frame["_opening"].iloc[0] or Decimal(0)).scaleb(2))
+    cents = cents + before
+    state.update((int(cents.iloc[-1]),))
+    yield frame[MOVEMENT].assign(balance=[Decimal(int(c)).scaleb(-2) for c in cents])
+
+
+def stream_bookings(movements: DataFrame, balances: DataFrame, home: str) -> DataFrame:
     """Balance and low-balance warning after each movement of a stream.
 
-    ``to_movements`` turns a micro-batch into (id, user_id, created_at, kind, amount), for example
-    by pricing bookings; ``balances`` are the balances before the stream. A batch adds its running
-    totals to the stored balances, so no history is summed again and a heavy member is cut into
-    days like everywhere else.
+    ``movements`` is a stream of MOVEMENT with any kinds: priced bookings, payments, corrections and the reversals of
+    deletions, as one union. ``balances`` are the balances before the stream; they count once, when a member first
+    appears. A member's movements of one micro-batch are sorted in one task: bound a micro-batch at the source.
     """
-    home = work_dir(spark, "stream-bookings")
-    start = balances.select("user_id", F.col("balance").cast(TOTAL).alias("balance"))
-    state = StreamState(spark, f"{home}/state", ["user_id"], start)
-    columns = ["id", "user_id", "created_at", "kind", "amount", "balance", "warning"]
-    schemas = []
-
-    def each(batch: DataFrame, number: int) -> None:
-        rows = to_movements(batch).withColumn("_day", day_number("created_at"))
-        before = state.before(number).withColumnRenamed("balance", "_before")
-        added = running_totals(rows, ["user_id"], asc("_day"), MOVEMENT_ORDER, sums={"balance": "amount"})
-        result = added.join(before, "user_id", "left").withColumn(
-            "balance", (or_zero("_before") + F.col("balance")).cast(TOTAL)
-        ).withColumn("warning", low_balance_warning()).select(*columns)
-        result.write.mode("overwrite").parquet(f"{home}/out/{number}")
-        schemas.append(result.schema)
-        touched = rows.groupBy("user_id").agg(money_sum("amount").alias("_added"))
-        touched = touched.join(before, "user_id", "left")
-        state.put(
-            number, touched.select("user_id", (or_zero("_before") + F.col("_added")).cast(TOTAL).alias("balance"))
-        )
-
-    batches = run_to_end(source, f"{home}/checkpoint", each)
-    empty = f"id string, user_id string, created_at timestamp_ntz, kind string, amount decimal(10,2), " \
-            f"balance {TOTAL}, warning string"
-    return read_batches(spark, f"{home}/out", batches, schemas[0] if schemas else empty)
-
-
-def stream_toggles(spark: SparkSession, source: DataFrame, item: str, parents: DataFrame) -> DataFrame:
-    """Current set of (item, user) pairs after a stream of toggles (item, user_id, created_at)."""
-    home = work_dir(spark, "stream-toggles")
-    ids = parents.select(F.col("id").alias(item))
-    blank = spark.createDataFrame([], source.select(item, "user_id", "created_at").schema)
-    state = StreamState(spark, f"{home}/state", [item, "user_id"], blank.withColumn("present", F.lit(True)))
-
-    def each(batch: DataFrame, number: int) -> None:
-        pairs = batch.groupBy(item, "user_id").agg(
-            F.count("*").alias("_n"), F.max("created_at").alias("_last")
-        ).join(ids, item, "left_semi")
-        joined = pairs.join(state.before(number), [item, "user_id"], "left")
-        flips = F.col("_n") % 2 == 1
-        present = F.coalesce("present", F.lit(False)) != flips
-        state.put(number, joined.select(
-            item, "user_id", F.greatest("created_at", "_last").alias("created_at"), present.alias("present")
-        ))
-
-    batches = run_to_end(source, f"{home}/checkpoint", each)
-    return state.before(batches).where("present").drop("present")
-
-
-def stream_unread(spark: SparkSession, source: DataFrame, members: DataFrame) -> DataFrame:
+    opening = balances.select("user_id", F.col("balance").cast(TOTAL).alias("_opening"))
+    rows = movements.select(*MOVEMENT).join(opening, "user_id", "left")
+    schema = StructType([movements.schema[c] for c in MOVEMENT]).add("balance", TOTAL)
+    moved = rows.groupBy("user_id").applyInPandasWithState(_balances, schema, "cents long", "append", "NoTimeout")
+    return stream_rows(moved.withColumn("warning", low_balance_warning()), home)
+
+
+def stream_toggles(source: DataFrame, item: str, parents: DataFrame, home: str) -> Toggled:
+    """Set of (item, user) pairs after a stream of toggles (item, user_id, created_at), and those of unknown items."""
+    pairs = source.groupBy(item, "user_id").agg(F.count("*").alias("toggles"), F.max("created_at").alias("created_at"))
+    run_to_end(pairs.writeStream.format("noop").outputMode("update"), home)
+    known, ids = engine_state(pairs, home), parents.select(F.col("id").alias(item))
+    state = known.where("toggles % 2 = 1").select(item, "user_id", "created_at").join(ids, item, "left_semi")
+    return Toggled(state, known.join(ids, item, "left_anti").select(item, "user_id", "toggles"))
+
+
+def stream_unread(source: DataFrame, members: DataFrame, home: str) -> DataFrame:
     """Unread flag per member after a stream of posts and read marks.
 
-    The source has (kind, user_id, created_at) with kind 'news' or 'read'. Kept are the latest read
-    mark per member and the latest post per author; the flags follow from them at any time.
+    The source has (kind, user_id, created_at) with kind 'news' or 'read'. Kept are the latest read mark per member and
+    the latest post per author; the flags follow from them at any time.
     """
-    home = work_dir(spark, "stream-unread")
-    blank = spark.createDataFrame([], source.select("user_id", "created_at").schema)
-    reads = StreamState(
-        spark, f"{home}/reads", ["user_id"], blank.withColumnRenamed("created_at", "last_seen_at")
-    )
-    authors = StreamState(spark, f"{home}/authors", ["created_by"], blank.toDF("created_by", "created_at"))
-
-    def each(batch: DataFrame, number: int) -> None:
-        marks = batch.where("kind = 'read'").select("user_id", F.col("created_at").alias("last_seen_at"))
-        reads.put(number, latest_wins(marks, ["user_id"], ["last_seen_at"]))
-        posts = batch.where("kind = 'news'").select(F.col("user_id").alias("created_by"), "created_at")
-        latest = posts.groupBy("created_by").agg(F.max("created_at").alias("created_at"))
-        before = authors.before(number).withColumnRenamed("created_at", "_before")
-        joined = latest.join(before, "created_by", "left")
-        authors.put(number, joined.withColumn("created_at", F.greatest("created_at", "_before")))
-
-    batches = run_to_end(source, f"{home}/checkpoint", each)
-    return unread_flags(members, reads.before(batches), newest_authors(authors.before(batches)))
+    latest = source.groupBy("kind", "user_id").agg(F.max("created_at").alias("created_at"))
+    run_to_end(latest.writeStream.format("noop").outputMode("update"), home)
+    known = engine_state(latest, home)
+    reads = known.where("kind = 'read'").select("user_id", F.col("created_at").alias("last_seen_at"))
+    authors = known.where("kind = 'news'").select(F.col("user_id").alias("created_by"), "created_at")
+    return unread_flags(members, reads, newest_authors(authors))

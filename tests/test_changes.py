@@ -49,6 +49,51 @@ def test_user_changes(spark, ledger):
     assert rules.duplicate_user_keys(result.accepted).isEmpty()
 
 
+def applied(spark, ledger, *rows):
+    result = changes.apply_user_changes(ledger.users, batch(spark, USER, *rows), ORDER)
+    keys = by_key(result.accepted, "id", "user_key")
+    return keys, sorted((r.id, r.user_key) for r in result.rejected.select("id", "user_key").collect())
+
+
+def test_a_valid_change_survives_a_later_invalid_one(spark, ledger):
+    keys, rejected = applied(spark, ledger, ("u001", "cc1", "Ada", "user", True), ("u001", "u002", "Ada", "user", True))
+    assert keys["u001"] == "cc1" and keys["u002"] == "u002" and rejected == [("u001", "u002")]
+
+
+def test_a_key_given_up_in_the_batch_is_free(spark, ledger):
+    keys, rejected = applied(spark, ledger, ("u002", "dd1", "Ben", "user", True), ("u001", "U002", "Ada", "user", True), ("u003", "dd1", "Cem", "user", True))
+    assert keys["u001"] == "U002" and keys["u002"] == "dd1" and rejected == [("u003", "dd1")]
+
+
+def test_random_user_changes_one_by_one(spark, ledger):
+    """Against a loop over the batch; every change is applied, overwritten later, or rejected."""
+    import random
+
+    rng = random.Random(5)
+    start = {r.id: r.user_key for r in ledger.users.collect()}
+    ids, names = [*start, "n1", "n2", "n3"], [*start.values(), "aa1", "bb1", "cc1"]
+    rows = [(rng.choice(ids), rng.choice([str.upper, str.lower])(rng.choice(names)), "Name", "user", True) for _ in range(120)]
+    now, refused = dict(start), []
+    for user, key, *_ in rows:
+        if any(k.lower() == key.lower() and u != user for u, k in now.items()):
+            refused.append((user, key))
+        else:
+            now[user] = key
+    keys, rejected = applied(spark, ledger, *rows)
+    assert keys == now and rejected == sorted(refused)
+
+
+def test_deactivations(spark, ledger):
+    users = spark.createDataFrame(
+        [("a", "admin", True), ("b", "admin", True), ("c", "user", True), ("d", "user", True)], "id string, role string, active boolean"
+    ).withColumns({"updated_at": F.lit(START)})
+    balances = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", 5)], "user_id string, balance int")
+    requests = batch(spark, "id string", ("c",), ("b",), ("a",), ("d",), ("x",), ("c",))
+    result = changes.deactivate_users(users, requests, balances, ORDER)
+    assert by_key(result.accepted, "id", "active") == {"a": True, "b": False, "c": False, "d": True}
+    assert by_key(result.rejected, "id", "reason") == {"a": "last_admin", "d": "balance_not_zero", "x": "user_unknown"}
+
+
 def test_strict_user_changes(spark, ledger):
     log = batch(spark, USER, ("n1", " Ab.C ", "Name", "user", True), ("n2", "a b c", "Name", "user", True), ("n3", "ab", "Name", "user", True))
     result = changes.apply_user_changes(ledger.users, log, ORDER, strict=True)

@@ -18,7 +18,7 @@ from tallybook.sources.tables import (
 from tests.ledger import by_key
 
 ONE_TASK_WINDOW = r"Window \[[^\n]*\n(?:[^\n]*Sort \[[^\n]*\n)?[^\n]*Exchange SinglePartition"
-STREAMS = {"stream_bookings", "stream_toggles", "stream_unread"}
+STREAMS = {"stream_bookings", "stream_bookings_rejected", "stream_toggles", "stream_toggles_rejected", "stream_unread"}
 
 
 def plan(frame):
