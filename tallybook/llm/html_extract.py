@@ -23,7 +23,7 @@ BLOCKS = frozenset(
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form menu button select option input label dialog object audio video canvas".split()) | RAW
-CONTAINERS = frozenset("body main article section div td center blockquote".split())
+CONTAINERS = frozenset("main article section div td center blockquote".split())
 # An element closes an open paragraph when it starts; these close an open one of their own kind.
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 BOILERPLATE_WORDS = frozenset(
@@ -154,7 +154,7 @@ def parse(source: str) -> Page:
                 close(depth)
         top = stack[-1]
         step, skipped = _described(name, token["attributes"])
-        path = f"{top.path}/{step}"
+        path = top.path if name in ("html", "body") else f"{top.path}/{step}"  # both tags may be left out
         container = top.container
         if name in CONTAINERS and not skipped and not top.skipped:
             container = len(page.paths)
