@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import AMOUNT, TOTAL
-from tallybook.functions.months import day_number, in_month
+from tallybook.functions.months import day_number
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
+from tallybook.sources.tables import month_rows
 
 EARLY_CUT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SPREAD = 4096  # places among which rows without a product are dealt in a join
 LOW_BALANCE = -50  # inclusive
+# Texts shown to members.
 WARNING = "Dein Konto ist über 50 € im Minus. Bitte bezahlen."
 
 # The one order of movements; ties on time are broken by kind and id.
@@ -32,9 +35,19 @@ def product_labels(t) -> DataFrame:
     return products.join(categories, "category_id", "left").drop("category_id")
 
 
-def entries_enriched(t) -> DataFrame:
-    """Every purchase with product name and category title; deleted ones stay, flagged."""
-    entries = t.entries.select(
+def with_product(rows: DataFrame, t) -> DataFrame:
+    """Left join with the product labels. Rows without a product (null) find none.
+
+    They would all have the same key, so they get one of many places in a second key that is 0 for products.
+    """
+    place = F.when(F.col("product_id").isNull(), 1 + F.pmod(F.xxhash64("user_id", "created_at"), F.lit(SPREAD))).otherwise(0)
+    labels = product_labels(t)
+    return rows.withColumn("_place", place).join(labels.withColumn("_place", F.when(F.col("product_id").isNull(), 1).otherwise(0).cast("bigint")), ["product_id", "_place"], "left").drop("_place")
+
+
+def entries_enriched(t, rows: DataFrame | None = None) -> DataFrame:
+    """Every purchase (of ``rows`` if given) with product name and category title; deleted ones stay, flagged."""
+    entries = (t.entries if rows is None else rows).select(
         "id", "user_id", "product_id", "quantity", "total", "paid", "deleted_at", "deleted_reason", "created_at"
     )
     return entries.join(product_labels(t), "product_id").drop("product_id")
@@ -42,7 +55,7 @@ def entries_enriched(t) -> DataFrame:
 
 def month_entries(t, as_of: dt.date) -> DataFrame:
     """Live purchases of one calendar month."""
-    return t.entries.where(live() & in_month("created_at", as_of)).select(
+    return month_rows(t.entries, as_of).where(live()).select(
         "id", "user_id", "product_id", "quantity", "unit_price", "total", "created_at"
     )
 
@@ -81,7 +94,8 @@ def _credits(t, product_type) -> DataFrame:
     return rows(t.payments, "payment").unionByName(rows(t.adjustments, "adjustment"))
 
 
-def _type_label() -> Column:
+def type_label() -> Column:
+    """A movement's kind in words (fixed values)."""
     kind = F.col("kind")
     return F.when(kind == "entry", "Kauf").when(kind == "payment", "Zahlung").otherwise("Korrektur")
 
@@ -89,9 +103,9 @@ def _type_label() -> Column:
 def label_movements(rows: DataFrame, t) -> DataFrame:
     """Add type, title and note; a purchase shows its product and category. Further columns stay."""
     bought = F.col("kind") == "entry"
-    labelled = rows.join(product_labels(t), "product_id", "left").withColumns({
-        "type_label": _type_label(),
-        "title": F.when(bought, F.col("product_name")).otherwise(_type_label()),
+    labelled = with_product(rows, t).withColumns({
+        "type_label": type_label(),
+        "title": F.when(bought, F.col("product_name")).otherwise(type_label()),
         "note": F.when(bought, F.coalesce("category_title", F.lit(NO_CATEGORY))).otherwise(F.col("note")),
     })
     return labelled.select(*_MOVEMENT, *(c for c in rows.columns if c not in (*_MOVEMENT, "product_id")))
@@ -99,7 +113,7 @@ def label_movements(rows: DataFrame, t) -> DataFrame:
 
 def other_movements(t) -> DataFrame:
     """Movements that are not purchases: payments and corrections."""
-    return _credits(t, "string").withColumns({"type_label": _type_label(), "title": _type_label()}).select(*_MOVEMENT)
+    return _credits(t, "string").withColumns({"type_label": type_label(), "title": type_label()}).select(*_MOVEMENT)
 
 
 def movements(t) -> DataFrame:
@@ -109,23 +123,13 @@ def movements(t) -> DataFrame:
 
 def booked_movements(t) -> DataFrame:
     """Movements as they happened: a purchase deleted later counts until its reversal."""
-    bought = t.entries.select(
-        F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit("entry").alias("kind"),
-        (-F.col("total")).cast(AMOUNT).alias("amount"),
-    )
-    reversed_ = t.entries.where(~live()).select(
-        F.col("id").cast("string").alias("id"), "user_id", F.col("deleted_at").alias("created_at"),
-        F.lit("reversal").alias("kind"), F.col("total").cast(AMOUNT).alias("amount"),
-    )
-    return bought.unionByName(reversed_).unionByName(other_movements(t).select(*bought.columns))
-
+    def step(time: str, kind: str, amount: Column) -> Column:
+        return F.struct(F.col(time).alias("created_at"), F.lit(kind).alias("kind"), amount.cast(AMOUNT).alias("amount"))
 
-def heavy_members(t, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Members with more rows than one task should sort, over all three ledgers."""
-    members = t.entries.select("user_id")
-    for ledger in (t.payments, t.adjustments):
-        members = members.unionByName(ledger.select("user_id"))
-    return heavy_keys(members.groupBy("user_id").agg(F.count("*").alias("_rows")), ["user_id"], heavy_rows)
+    booked, reversed_ = step("created_at", "entry", -F.col("total")), step("deleted_at", "reversal", F.col("total"))
+    steps = F.when(live(), F.array(booked)).otherwise(F.array(booked, reversed_))
+    bought = t.entries.select(F.col("id").cast("string").alias("id"), "user_id", F.inline(steps))
+    return bought.unionByName(other_movements(t).select(*bought.columns))
 
 
 def low_balance_warning(balance: str = "balance") -> Column:
@@ -149,45 +153,44 @@ def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> D
     )
 
 
-def _newest(rows: DataFrame, n: int | None, ties: list[str]) -> DataFrame:
-    """The newest n rows per member with their ``row_no``; ``None`` keeps the full history.
+def _newest(rows: DataFrame, n: int | None, ties: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The newest n rows per member with their ``row_no``; ``None`` keeps and numbers the full history.
 
     Spark keeps at most n rows per member and task before the shuffle, up to a limit on n; beyond it
     rows are numbered in blocks, so that a heavy member never has to fit into one task.
     """
-    if n is None:
-        return rows
-    if n <= EARLY_CUT:
+    if n is not None and n <= EARLY_CUT:
         order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), *ties)
         return rows.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= n)
     days = rows.withColumn("_day", day_number("created_at"))
     order = [desc("created_at"), *(asc(name) for name in ties)]
-    numbered = running_totals(days, ["user_id"], desc("_day"), order, row_no="row_no").drop("_day")
-    return numbered.where(F.col("row_no") <= n).withColumn("row_no", F.col("row_no").cast("int"))
+    numbered = running_totals(days, ["user_id"], desc("_day"), order, row_no="row_no", heavy_rows=heavy_rows).drop("_day")
+    kept = numbered if n is None else numbered.where(F.col("row_no") <= n)
+    return kept.withColumn("row_no", F.col("row_no").cast("int"))
 
 
-def recent_entries(t, n: int | None = 80) -> DataFrame:
+def recent_entries(t, n: int | None = 80, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Newest purchases per member; labels are joined after the cut."""
     entries = t.entries.select(
         F.col("id").cast("string").alias("id"), "user_id", "product_id", "quantity", "total", "paid",
         "deleted_at", "created_at",
     )
-    return _newest(entries, n, ["id"]).join(product_labels(t), "product_id").drop("product_id")
+    return _newest(entries, n, ["id"], heavy_rows).join(product_labels(t), "product_id").drop("product_id")
 
 
-def _recent_amounts(rows: DataFrame, n: int | None) -> DataFrame:
+def _recent_amounts(rows: DataFrame, n: int | None, heavy_rows: int) -> DataFrame:
     rows = rows.select(F.col("id").cast("string").alias("id"), "user_id", "created_at", "amount", "note")
-    return _newest(rows, n, ["id"])
+    return _newest(rows, n, ["id"], heavy_rows)
 
 
-def recent_payments(t, n: int | None = 30) -> DataFrame:
-    return _recent_amounts(t.payments, n)
+def recent_payments(t, n: int | None = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    return _recent_amounts(t.payments, n, heavy_rows)
 
 
-def recent_adjustments(t, n: int | None = 30) -> DataFrame:
-    return _recent_amounts(t.adjustments, n)
+def recent_adjustments(t, n: int | None = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    return _recent_amounts(t.adjustments, n, heavy_rows)
 
 
-def recent_movements(t, n: int | None = 250) -> DataFrame:
+def recent_movements(t, n: int | None = 250, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Newest movements per member, labelled after the cut."""
-    return label_movements(_newest(narrow_movements(t), n, ["kind", "id"]), t)
+    return label_movements(_newest(narrow_movements(t), n, ["kind", "id"], heavy_rows), t)

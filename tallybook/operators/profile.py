@@ -8,27 +8,28 @@ none has to fit into one value.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import AMOUNT, money_sum, or_zero
 from tallybook.functions.months import day_number, in_month, month_label
-from tallybook.operators.balance import member_totals
+from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.catalog import setting
-from tallybook.operators.movements import (
-    entries_enriched, heavy_members, label_movements, live, narrow_movements, product_labels,
-)
-from tallybook.operators.prefix import asc, desc, parts, running_totals
+from tallybook.operators.movements import entries_enriched, live, other_movements, product_labels, type_label, with_product
+from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, parts, running_totals
+from tallybook.session import stage
+from tallybook.sources.tables import month_rows
 
+# Fixed value: the text below the dashboard.
 PAY_INFO = "Bitte offene Beträge immer zum 1. eines Monats bezahlen."
 PART_SIZE = 1000
 
 ENTRY_FIELDS = ["id", "created_at", "product_name", "category_title", "quantity", "total", "deleted_at"]
 LEDGER_FIELDS = ["id", "created_at", "amount", "note"]
 MOVEMENT_FIELDS = ["id", "created_at", "kind", "type_label", "title", "note", "amount"]
-ITEM_FIELDS = ["id", "created_at", "product_name", "category_title", "quantity", "total"]
+LISTS = {"entries": ENTRY_FIELDS, "payments": LEDGER_FIELDS, "adjustments": LEDGER_FIELDS, "movements": MOVEMENT_FIELDS}
+ITEM_FIELDS = ["id", "created_at", "product_name", "category_title", "quantity", "total", "icon_data_url"]
 
 
 def account_month_dashboard(t, as_of: dt.date) -> DataFrame:
@@ -63,30 +64,32 @@ def account_month_dashboard(t, as_of: dt.date) -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, ties: list[str], heavy: DataFrame | None = None) -> DataFrame:
-    """Newest-first position per member."""
+def _positions(rows: DataFrame, keys: list[str], ties: list[str], heavy_rows: int, heavy: DataFrame | None = None) -> DataFrame:
+    """Newest-first position per key."""
     order = [desc("created_at"), *(asc(name) for name in ties)]
     days = rows.withColumn("_day", day_number("created_at"))
-    return running_totals(days, ["user_id"], desc("_day"), order, row_no="position", heavy=heavy).drop("_day")
+    return running_totals(days, keys, desc("_day"), order, row_no="position", heavy_rows=heavy_rows, heavy=heavy).drop("_day")
 
 
-def account_month_items(t, as_of: dt.date, part_size: int = PART_SIZE) -> DataFrame:
-    """The month's live purchases per member, newest first, as nested parts."""
-    rows = t.entries.where(live() & in_month("created_at", as_of)).select(
+def account_month_items(t, as_of: dt.date, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The month's live purchases per member, newest first, as nested parts; names and icons are joined after sorting."""
+    rows = month_rows(t.entries, as_of).where(live()).select(
         "id", "user_id", "product_id", "quantity", "total", "created_at"
     )
-    labelled = _positions(rows, ["id"]).join(product_labels(t), "product_id")
+    icons = t.products.select(F.col("id").alias("product_id"), "icon_data_url")
+    labels = product_labels(t).join(icons, "product_id")
+    labelled = _positions(rows, ["user_id"], ["id"], heavy_rows).join(labels, "product_id")
     return parts(labelled, ["user_id"], "position", ITEM_FIELDS, part_size)
 
 
 def user_month_detail(t, as_of: dt.date) -> DataFrame:
     """One month's purchases, deleted ones with their reason, and payments, as flat rows."""
-    bought = entries_enriched(t).where(in_month("created_at", as_of)).select(
+    bought = entries_enriched(t, month_rows(t.entries, as_of)).select(
         "user_id", F.lit("entry").alias("kind"), F.col("id").cast("string").alias("id"), "created_at",
         F.col("product_name").alias("title"), F.col("category_title").alias("note"), "quantity",
         F.col("total").alias("amount"), "deleted_at", "deleted_reason",
     )
-    paid = t.payments.where(in_month("created_at", as_of)).select(
+    paid = month_rows(t.payments, as_of).select(
         "user_id", F.lit("payment").alias("kind"), F.col("id").cast("string").alias("id"), "created_at",
         F.lit("Zahlung").alias("title"), "note", F.lit(None).cast("int").alias("quantity"), "amount",
         F.lit(None).cast("timestamp_ntz").alias("deleted_at"), F.lit(None).cast("string").alias("deleted_reason"),
@@ -94,42 +97,66 @@ def user_month_detail(t, as_of: dt.date) -> DataFrame:
     return bought.unionByName(paid)
 
 
-def account_document(t, part_size: int = PART_SIZE) -> DataFrame:
+def _ledger_totals(t) -> DataFrame:
+    """Rows over all three ledgers and balance of every member, from one aggregate."""
+    rows = t.entries.select("user_id", F.when(live(), -F.col("total")).cast(AMOUNT).alias("amount"))
+    for ledger in (t.payments, t.adjustments):
+        rows = rows.unionByName(ledger.select("user_id", F.col("amount").cast(AMOUNT).alias("amount")))
+    return rows.groupBy("user_id").agg(F.count("*").alias("_rows"), money_sum("amount").alias("balance"))
+
+
+def _list_rows(t) -> DataFrame:
+    """Rows of all four lists, unlabelled; every ledger is read once, a row that is in two lists is two rows."""
+    def item(name: str, amount: Column) -> Column:
+        return F.struct(F.lit(name).alias("list"), amount.cast(AMOUNT).alias("amount"))
+
+    entry, debit = item("entries", F.col("total")), item("movements", -F.col("total"))
+    bought = t.entries.select(
+        F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit("entry").alias("kind"), "product_id", "quantity",
+        "deleted_at", F.lit(None).cast("string").alias("note"),
+        F.inline(F.when(live(), F.array(entry, debit)).otherwise(F.array(entry))),
+    )
+    kinds = bought.schema
+    own = F.when(F.col("kind") == "payment", "payments").otherwise("adjustments")
+    others = other_movements(t).select(
+        "id", "user_id", "created_at", "kind",
+        *(F.lit(None).cast(kinds[name].dataType).alias(name) for name in ("product_id", "quantity", "deleted_at")), "note",
+        F.explode(F.array(own, F.lit("movements"))).alias("list"), "amount",
+    )
+    return bought.unionByName(others)
+
+
+def account_document(t, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """One document per member with the full history, in parts.
 
-    Purchases include deleted ones, flagged; movements leave them out. Missing lists are empty.
+    Purchases include deleted ones, flagged; movements leave them out. Missing lists are empty. The rows of all lists
+    are numbered together, per member and list, and gathered in one aggregate with the member's head as a further row.
     """
-    bought = t.entries.select(
-        F.col("id").cast("string").alias("id"), "user_id", "product_id", "quantity", "total", "deleted_at", "created_at"
+    totals = stage(_ledger_totals(t), "ledger-totals")
+    names = F.array(*(F.lit(name) for name in LISTS))
+    heavy = heavy_keys(totals, ["user_id"], heavy_rows).select("user_id", F.explode(names).alias("list"))
+    numbered = _positions(_list_rows(t), ["user_id", "list"], ["kind", "id"], heavy_rows, heavy)
+    bought = F.col("kind") == "entry"
+    labelled = with_product(numbered, t).withColumns({
+        "total": F.col("amount"), "type_label": type_label(), "title": F.when(bought, F.col("product_name")).otherwise(type_label()),
+        "note": F.when(bought, F.coalesce("category_title", F.lit(NO_CATEGORY))).otherwise(F.col("note")),
+        "part_no": F.floor((F.col("position") - 1) / part_size).cast("int"),
+    })
+    # as in every list of purchases, one whose product is unknown is left out; its movement stays
+    items = labelled.where((F.col("list") != "entries") | F.col("product_name").isNotNull()).select(
+        "user_id", "part_no", *(F.when(F.col("list") == name, F.struct("position", *fields)).alias(name) for name, fields in LISTS.items()),
     )
-    heavy = heavy_members(t)
-    bought = _positions(bought, ["id"], heavy).join(product_labels(t), "product_id")
-    lists = {
-        "entries": (bought, ENTRY_FIELDS),
-        "payments": (_positions(_ledger(t.payments), ["id"], heavy), LEDGER_FIELDS),
-        "adjustments": (_positions(_ledger(t.adjustments), ["id"], heavy), LEDGER_FIELDS),
-        "movements": (label_movements(_positions(narrow_movements(t), ["kind", "id"], heavy), t), MOVEMENT_FIELDS),
-    }
     members = t.users.select(F.col("id").alias("user_id"), "user_key", "name", "role", "active")
-    members = members.join(member_totals(t), "user_id", "left")
-    head = members.select(
+    head = members.join(totals, "user_id", "left").select(
         "user_id", F.lit(0).alias("part_no"),
         F.struct("user_key", "name", "role", "active", or_zero("balance").alias("balance")).alias("user"),
     )
-    nested = [
-        parts(rows, ["user_id"], "position", fields, part_size).withColumnRenamed("items", name)
-        for name, (rows, fields) in lists.items()
-    ]
-    document = reduce(lambda left, right: left.join(right, ["user_id", "part_no"], "full_outer"), [head, *nested])
-    return document.select(
-        "user_id", "part_no", "user", *(F.coalesce(F.col(name), F.array()).alias(name) for name in lists)
+    rows = items.unionByName(head, allowMissingColumns=True)
+    return rows.groupBy("user_id", "part_no").agg(
+        F.max("user").alias("user"), *(F.array_sort(F.collect_list(name)).alias(name) for name in LISTS)
     )
 
 
-def _ledger(frame: DataFrame) -> DataFrame:
-    return frame.select(F.col("id").cast("string").alias("id"), "user_id", "created_at", "amount", "note")
-
-
 def document_items(document: DataFrame) -> DataFrame:
     """A document's lists flattened to (user_id, list, position, id, amount, created_at)."""
     def items(name: str, amount: str):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import HANDLE_PATTERN, IMAGE_PATTERN, PAY_KEY
 from tallybook.operators.members import duplicate_user_keys
+from tallybook.session import stage
 
 # Fixed values.
 MAX_TITLE = 120
@@ -113,21 +115,35 @@ def first_broken(rules: list[Rule]) -> Column:
     return F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in rules))
 
 
-def orphans(child: DataFrame, column: str, parents: DataFrame, parent_id: str = "id") -> DataFrame:
-    """Rows of ``child`` whose reference does not exist.
+class Reference(NamedTuple):
+    """A column whose values have to be ids of ``parents``, and the rule's name."""
 
-    The references are made distinct before they meet the parents, so a reference that holds a third
-    of all rows is one row in that join; the child table itself only meets the missing ones.
+    column: str
+    parents: DataFrame
+    rule: str
+
+
+def _unknown(child: DataFrame, references: list[Reference]) -> DataFrame:
+    """(rule, key): references that no parent has, all found in one pass of ``child``.
+
+    They are made distinct before they meet the parents, so a reference that holds a third of all rows is one row there.
     """
-    known = parents.select(F.col(parent_id).alias(column))
-    missing = child.select(column).where(F.col(column).isNotNull()).distinct().join(known, column, "left_anti")
-    return child.join(missing, column, "left_semi")
+    used = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.col(r.column).cast("string").alias("key")) for r in references))
+    keys = child.select(F.inline(used)).where("key is not null").distinct()
+    known = [r.parents.select(F.lit(r.rule).alias("rule"), F.col("id").cast("string").alias("key")) for r in references]
+    return keys.join(reduce(DataFrame.unionByName, known), ["rule", "key"], "left_anti")
 
 
-def _violations(table: str, frame: DataFrame, rules: list[Rule], row_id: Column) -> DataFrame:
-    return frame.select(
-        F.lit(table).alias("table_name"), row_id.cast("string").alias("row_id"), F.explode(broken_rules(rules)).alias("rule")
-    )
+def _violations(table: str, frame: DataFrame, rules: list[Rule], row_id: Column, references: tuple[Reference, ...] = ()) -> DataFrame:
+    """All rules that rows of a table break: one pass, and one before it for the references."""
+    broken = broken_rules(rules) if rules else F.array().cast("array<string>")
+    if references:
+        unknown = stage(_unknown(frame, list(references)), "unknown-references")
+        for r in references:
+            missing = unknown.where(F.col("rule") == r.rule).select(F.col("key").alias(f"_{r.column}"), F.col("rule").alias(f"_rule_{r.column}"))
+            frame = frame.join(missing, F.col(r.column).cast("string") == F.col(f"_{r.column}"), "left")
+        broken = F.concat(broken, F.array_compact(F.array(*(F.col(f"_rule_{r.column}") for r in references))))
+    return frame.select(F.lit(table).alias("table_name"), row_id.cast("string").alias("row_id"), F.explode(broken).alias("rule"))
 
 
 def _marked(table: str, frame: DataFrame, rule: str, row_id: Column) -> DataFrame:
@@ -141,23 +157,19 @@ def rule_violations(t) -> DataFrame:
     def pair(item: str) -> Column:
         return F.concat_ws("/", F.col(item), F.col("user_id"))
 
+    member = Reference("user_id", t.users, "user_unknown")
     found = [
         _violations("users", t.users, user_rules(), row),
         _marked("users", duplicate_user_keys(t.users), "user_key_not_unique", row),
         _violations("categories", t.categories, category_rules(), row),
         _violations("products", t.products, product_rules(), row),
-        _violations("entries", t.entries, entry_rules(), row),
-        _marked("entries", orphans(t.entries, "user_id", t.users), "user_unknown", row),
-        _marked("entries", orphans(t.entries, "product_id", t.products), "product_unknown", row),
-        _violations("payments", t.payments, payment_rules(), row),
-        _marked("payments", orphans(t.payments, "user_id", t.users), "user_unknown", row),
-        _violations("adjustments", t.adjustments, adjustment_rules(), row),
-        _marked("adjustments", orphans(t.adjustments, "user_id", t.users), "user_unknown", row),
+        _violations("entries", t.entries, entry_rules(), row, (member, Reference("product_id", t.products, "product_unknown"))),
+        _violations("payments", t.payments, payment_rules(), row, (member,)),
+        _violations("adjustments", t.adjustments, adjustment_rules(), row, (member,)),
         _violations("settings", t.settings, setting_rules(), F.col("key")),
         _violations("suggestions", t.suggestions, suggestion_rules(), row),
         _violations("news", t.news, news_rules(), row),
-        _violations("news_comments", t.news_comments, comment_rules(), row),
-        _marked("news_comments", orphans(t.news_comments, "news_id", t.news), "news_unknown", row),
+        _violations("news_comments", t.news_comments, comment_rules(), row, (Reference("news_id", t.news, "news_unknown"),)),
     ]
     for table, item, parents in (
         ("suggestion_votes", "suggestion_id", t.suggestions), ("news_likes", "news_id", t.news),
@@ -165,7 +177,7 @@ def rule_violations(t) -> DataFrame:
         rows = getattr(t, table)
         repeated = rows.groupBy(item, "user_id").agg(F.count("*").alias("n")).where("n > 1")
         found.append(_marked(table, repeated, "pair_not_unique", pair(item)))
-        found.append(_marked(table, orphans(rows, item, parents), "parent_unknown", pair(item)))
+        found.append(_violations(table, rows, [], pair(item), (Reference(item, parents, "parent_unknown"),)))
     return reduce(DataFrame.unionByName, found)
 
 

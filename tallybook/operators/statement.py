@@ -17,7 +17,7 @@ from tallybook.functions.money import euro_text, or_zero
 from tallybook.functions.months import date_time_text, day_number
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.balance import member_totals
-from tallybook.operators.movements import other_movements, product_labels
+from tallybook.operators.movements import other_movements, with_product
 from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
 from tallybook.session import stage
 
@@ -123,7 +123,7 @@ def statement_lines(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS, months:
         _body_rows(t, months), ["user_id"], asc("block"), _LINE_ORDER, row_no="line_no", heavy_rows=heavy_rows,
         heavy=heavy_keys(months, ["user_id"], heavy_rows),
     )
-    labelled = numbered.join(product_labels(t), "product_id", "left")
+    labelled = with_product(numbered, t)
     when = date_time_text("created_at")
     purchase = F.concat_ws(
         " | ", when, "product_name", F.coalesce("category_title", F.lit(NO_CATEGORY)),

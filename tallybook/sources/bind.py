@@ -112,7 +112,7 @@ class BoundTables:
     def products(self) -> DataFrame:
         return self.raw("part").selectExpr(
             "p_partkey as id", "p_name as name", "'' as description", "cast(p_retailprice as decimal(10,2)) as price",
-            "if(p_size % 10 <> 0, p_brand, null) as category_id", "'' as icon_data_url",
+            "if(p_size % 10 <> 0, p_brand, null) as category_id", "concat('icon:', p_partkey) as icon_data_url",
             "p_type = 'PROMO' as excluded_from_revenue", "p_size % 7 <> 0 as active",
             f"{OPENING_DAY} as created_at", f"{OPENING_DAY} as updated_at",
         )

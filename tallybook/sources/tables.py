@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.months import month_bounds
+from tallybook.functions.months import in_month, month_bounds
+from tallybook.session import stage
 from tallybook.sources.schemas import MONTHLY, SCHEMAS
 
 
@@ -53,9 +54,8 @@ def write_snapshot(rows: DataFrame, root: str, table: str) -> None:
 
 def month_rows(ledger: DataFrame, as_of: dt.date) -> DataFrame:
     """Rows of one stored month: prunes directories as well as row groups."""
-    first, following = month_bounds(as_of)
-    rows = ledger.where((F.col("created_at") >= F.lit(first)) & (F.col("created_at") < F.lit(following)))
-    return rows.where(F.col("month") == F.lit(first)) if "month" in ledger.columns else rows
+    rows = ledger.where(in_month("created_at", as_of))
+    return rows.where(F.col("month") == F.lit(month_bounds(as_of)[0])) if "month" in ledger.columns else rows
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -64,14 +64,19 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select(body.alias("value")).write.mode("errorifexists").text(path)
 
 
-def write_statements(lines: DataFrame, path: str, buckets: int = 256) -> None:
-    """Statement lines as text, a directory per member bucket.
+def write_statements(lines: DataFrame, path: str, lines_per_bucket: int = 2_000_000) -> None:
+    """Statement lines as text, a directory per member bucket, each file sorted by member and line.
 
     A directory per member would mean one file per member; a bucket holds many members and each
-    line starts with the member and its number, so a member's lines can be read back in order.
+    line starts with the member and its number, so a member's lines can be read back in order. The
+    number of buckets follows from the number of lines. The rebalance hint gives a bucket few files and
+    lets AQE cut one with a very heavy member into several.
     """
+    ready = stage(lines.select("user_id", "line_no", "line"), "statement-lines")
+    buckets = max(1, -(-ready.count() // lines_per_bucket))
     text = F.concat_ws("\t", F.col("user_id").cast("string"), F.col("line_no").cast("string"), "line")
     (
-        lines.select(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), text.alias("value"))
+        ready.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets))).hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "user_id", "line_no").select("bucket", text.alias("value"))
         .write.mode("errorifexists").partitionBy("bucket").text(path)
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from tallybook.operators import balance, movements, revenue, statement
+from tallybook.operators import balance, movements, profile, revenue, rules, statement
 from tallybook.plans.oracle import ORACLE
 from tallybook.plans.queries import PRINTED_AT, QUERIES
 from tallybook.session import fresh_dir
@@ -51,6 +51,23 @@ def test_reports_scan_purchases_once(bound):
         assert plan(report(bound, AS_OF)).count("lineitem.parquet") == 1
 
 
+def test_scans_of_purchases(bound):
+    """What is staged reads them once more."""
+    for frame in (
+        profile.account_document(bound), movements.running_balance(bound), movements.running_balance(bound, "as_booked"),
+        rules._violations("entries", bound.entries, rules.entry_rules(), F.col("id"), (rules.Reference("user_id", bound.users, "user_unknown"),)),
+    ):
+        text = plan(frame)
+        assert text.count("lineitem.parquet") == 1
+        assert "FullOuter" not in text
+
+
+def test_rows_without_product_are_dealt_out(bound):
+    """Payments and corrections don't meet the products on one null key."""
+    spread = movements.with_product(movements.narrow_movements(bound), bound)
+    assert re.search(r"Join \[product_id#\d+L?, _place#\d+L?\]", plan(spread))
+
+
 def test_balance_scans_each_ledger_once_and_reads_few_columns(bound):
     text = plan(balance.account_balance(bound))
     assert text.count("lineitem.parquet") == 1
@@ -105,7 +122,12 @@ def test_stored_ledger(spark, ledger, bound):
     assert by_key(balance.account_balance(stored), "user_id", "balance")["u002"] == D("-2.00")
     march = month_rows(stored.entries, AS_OF.replace(year=2024, month=3))
     assert {r.id for r in march.collect()} == {"e1", "e2", "e5", "e6", "e7", "e8", "e9"}
-    assert "month#" in re.search(r"PartitionFilters: \[([^]]*)\]", plan(march)).group(1)
+    month = AS_OF.replace(year=2024, month=3)
+    for frame in (
+        march, movements.month_entries(stored, month), profile.account_month_items(stored, month), profile.user_month_detail(stored, month),
+    ):
+        assert "month#" in re.search(r"PartitionFilters: \[([^]]*)\]", plan(frame)).group(1)
+    assert {r.id for r in movements.month_entries(stored, month).collect()} == {r.id for r in movements.month_entries(ledger, month).collect()} | {"e9"}
     for table, schema in SCHEMAS.items():
         stored_schema = getattr(stored, table).drop("month").schema
         assert [(f.name, f.dataType) for f in stored_schema] == [(f.name, f.dataType) for f in schema]
@@ -117,7 +139,7 @@ def test_sinks(spark, ledger):
 
     path = fresh_dir(spark, "statements")
     lines = statement.statement_lines(ledger, PRINTED_AT)
-    write_statements(lines, path, buckets=4)
+    write_statements(lines, path, lines_per_bucket=20)
     back = spark.read.text(path).select(F.split("value", "\t", 3).alias("v")).selectExpr("v[0] as u", "int(v[1]) as n", "v[2] as line")
     assert back.select("u", "n", "line").exceptAll(lines.selectExpr("user_id", "int(line_no)", "line")).isEmpty()
     assert back.count() == lines.count()
