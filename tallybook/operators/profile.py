@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.money import AMOUNT, money_sum, or_zero
+from tallybook.functions.money import AMOUNT, TOTAL, money_sum, or_zero
 from tallybook.functions.months import day_number, in_month, month_label
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.catalog import setting
@@ -158,18 +158,30 @@ def account_document(t, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS
 
 
 def document_items(document: DataFrame) -> DataFrame:
-    """A document's lists flattened to (user_id, list, position, id, amount, created_at)."""
-    def items(name: str, amount: str):
-        return F.transform(
-            name,
-            lambda item: F.struct(
-                F.lit(name).alias("list"), item["position"].alias("position"), item["id"].alias("id"),
-                item[amount].cast(AMOUNT).alias("amount"), item["created_at"].alias("created_at"),
-            ),
-        )
+    """A document's head and lists flattened to one row per item, with all fields that the lists have.
 
+    The head is the list ``user``: key, name, role, active flag and balance in id, title, kind, note and amount.
+    """
+    kinds = {
+        "position": "bigint", "id": "string", "amount": TOTAL, "created_at": "timestamp_ntz", "kind": "string", "type_label": "string",
+        "title": "string", "note": "string", "quantity": "int", "deleted_at": "timestamp_ntz",
+    }
+
+    def flat(name: str, values: dict[str, Column]) -> Column:
+        return F.struct(F.lit(name).alias("list"), *(values.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()))
+
+    def items(name: str, fields: list[str], **renamed: str) -> Column:
+        own = {k: k for k in ("position", *fields)} | renamed
+        return F.transform(name, lambda item: flat(name, {k: item[v] for k, v in own.items() if k in kinds}))
+
+    head = {
+        "position": F.lit(0), "id": F.col("user.user_key"), "title": F.col("user.name"), "kind": F.col("user.role"),
+        "note": F.col("user.active"), "amount": F.col("user.balance"),
+    }
+    user = F.array(flat("user", head))
     lists = F.concat(
-        items("entries", "total"), items("payments", "amount"), items("adjustments", "amount"),
-        items("movements", "amount"),
+        F.when(F.col("user").isNotNull(), user).otherwise(F.slice(user, 1, 0)),
+        items("entries", ENTRY_FIELDS, amount="total", title="product_name", note="category_title"),
+        *(items(name, LISTS[name]) for name in ("payments", "adjustments", "movements")),
     )
     return document.select("user_id", F.inline(lists))
