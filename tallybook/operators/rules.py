@@ -116,33 +116,51 @@ def first_broken(rules: list[Rule]) -> Column:
 
 
 class Reference(NamedTuple):
-    """A column whose values have to be ids of ``parents``, and the rule's name."""
+    """A column whose values have to be ids of a parent table, and the rule's name."""
 
     column: str
-    parents: DataFrame
+    parent: str
     rule: str
 
 
-def _unknown(child: DataFrame, references: list[Reference]) -> DataFrame:
-    """(rule, key): references that no parent has, all found in one pass of ``child``.
+_MEMBER = Reference("user_id", "users", "user_unknown")
+REFERENCES: dict[str, tuple[Reference, ...]] = {
+    "entries": (_MEMBER, Reference("product_id", "products", "product_unknown")),
+    "payments": (_MEMBER,),
+    "adjustments": (_MEMBER,),
+    "news_comments": (Reference("news_id", "news", "news_unknown"),),
+    "suggestion_votes": (Reference("suggestion_id", "suggestions", "parent_unknown"),),
+    "news_likes": (Reference("news_id", "news", "parent_unknown"),),
+}
+
+
+def unknown_keys(t) -> DataFrame:
+    """(parent, key): references that the parent table lacks, found in one job that reads every table once.
 
     They are made distinct before they meet the parents, so a reference that holds a third of all rows is one row there.
     """
-    used = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.col(r.column).cast("string").alias("key")) for r in references))
-    keys = child.select(F.inline(used)).where("key is not null").distinct()
-    known = [r.parents.select(F.lit(r.rule).alias("rule"), F.col("id").cast("string").alias("key")) for r in references]
-    return keys.join(reduce(DataFrame.unionByName, known), ["rule", "key"], "left_anti")
+    used = [
+        getattr(t, table).select(F.inline(F.array(*(
+            F.struct(F.lit(r.parent).alias("parent"), F.col(r.column).cast("string").alias("key")) for r in references
+        ))))
+        for table, references in REFERENCES.items()
+    ]
+    parents = sorted({r.parent for references in REFERENCES.values() for r in references})
+    known = [getattr(t, name).select(F.lit(name).alias("parent"), F.col("id").cast("string").alias("key")) for name in parents]
+    keys = reduce(DataFrame.unionByName, used).where("key is not null").distinct()
+    return stage(keys.join(reduce(DataFrame.unionByName, known), ["parent", "key"], "left_anti"), "unknown-references")
 
 
-def _violations(table: str, frame: DataFrame, rules: list[Rule], row_id: Column, references: tuple[Reference, ...] = ()) -> DataFrame:
-    """All rules that rows of a table break: one pass, and one before it for the references."""
+def _violations(table: str, frame: DataFrame, rules: list[Rule], row_id: Column, unknown: DataFrame | None = None) -> DataFrame:
+    """All rules that rows of a table break, references included if their unknown keys are given, in one pass."""
     broken = broken_rules(rules) if rules else F.array().cast("array<string>")
-    if references:
-        unknown = stage(_unknown(frame, list(references)), "unknown-references")
-        for r in references:
-            missing = unknown.where(F.col("rule") == r.rule).select(F.col("key").alias(f"_{r.column}"), F.col("rule").alias(f"_rule_{r.column}"))
+    if unknown is not None:
+        for r in REFERENCES[table]:
+            missing = unknown.where(F.col("parent") == r.parent).select(F.col("key").alias(f"_{r.column}"))
             frame = frame.join(missing, F.col(r.column).cast("string") == F.col(f"_{r.column}"), "left")
-        broken = F.concat(broken, F.array_compact(F.array(*(F.col(f"_rule_{r.column}") for r in references))))
+        broken = F.concat(broken, F.array_compact(F.array(
+            *(F.when(F.col(f"_{r.column}").isNotNull(), F.lit(r.rule)) for r in REFERENCES[table])
+        )))
     return frame.select(F.lit(table).alias("table_name"), row_id.cast("string").alias("row_id"), F.explode(broken).alias("rule"))
 
 
@@ -157,27 +175,25 @@ def rule_violations(t) -> DataFrame:
     def pair(item: str) -> Column:
         return F.concat_ws("/", F.col(item), F.col("user_id"))
 
-    member = Reference("user_id", t.users, "user_unknown")
+    unknown = unknown_keys(t)
     found = [
         _violations("users", t.users, user_rules(), row),
         _marked("users", duplicate_user_keys(t.users), "user_key_not_unique", row),
         _violations("categories", t.categories, category_rules(), row),
         _violations("products", t.products, product_rules(), row),
-        _violations("entries", t.entries, entry_rules(), row, (member, Reference("product_id", t.products, "product_unknown"))),
-        _violations("payments", t.payments, payment_rules(), row, (member,)),
-        _violations("adjustments", t.adjustments, adjustment_rules(), row, (member,)),
+        _violations("entries", t.entries, entry_rules(), row, unknown),
+        _violations("payments", t.payments, payment_rules(), row, unknown),
+        _violations("adjustments", t.adjustments, adjustment_rules(), row, unknown),
         _violations("settings", t.settings, setting_rules(), F.col("key")),
         _violations("suggestions", t.suggestions, suggestion_rules(), row),
         _violations("news", t.news, news_rules(), row),
-        _violations("news_comments", t.news_comments, comment_rules(), row, (Reference("news_id", t.news, "news_unknown"),)),
+        _violations("news_comments", t.news_comments, comment_rules(), row, unknown),
     ]
-    for table, item, parents in (
-        ("suggestion_votes", "suggestion_id", t.suggestions), ("news_likes", "news_id", t.news),
-    ):
+    for table, item in (("suggestion_votes", "suggestion_id"), ("news_likes", "news_id")):
         rows = getattr(t, table)
         repeated = rows.groupBy(item, "user_id").agg(F.count("*").alias("n")).where("n > 1")
         found.append(_marked(table, repeated, "pair_not_unique", pair(item)))
-        found.append(_violations(table, rows, [], pair(item), (Reference(item, parents, "parent_unknown"),)))
+        found.append(_violations(table, rows, [], pair(item), unknown))
     return reduce(DataFrame.unionByName, found)
 
 

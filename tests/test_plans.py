@@ -55,7 +55,7 @@ def test_scans_of_purchases(bound):
     """What is staged reads them once more."""
     for frame in (
         profile.account_document(bound), movements.running_balance(bound), movements.running_balance(bound, "as_booked"),
-        rules._violations("entries", bound.entries, rules.entry_rules(), F.col("id"), (rules.Reference("user_id", bound.users, "user_unknown"),)),
+        rules.rule_violations(bound),
     ):
         text = plan(frame)
         assert text.count("lineitem.parquet") == 1
