@@ -13,11 +13,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.money import euro_text, or_zero
+from tallybook.functions.money import AMOUNT, euro_text, money_sum, or_zero
 from tallybook.functions.months import date_time_text, day_number
 from tallybook.functions.text import NO_CATEGORY
-from tallybook.operators.balance import member_totals
-from tallybook.operators.movements import other_movements, with_product
+from tallybook.operators.movements import live, other_movements, with_product
 from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
 from tallybook.session import stage
 
@@ -58,14 +57,15 @@ def _fixed(frame: DataFrame, kinds, block: Column, texts: list[Column]) -> DataF
 
 
 def month_counts(t) -> DataFrame:
-    """Statement rows per member, section (1 purchases, 2 others) and month: every heading once."""
+    """Statement rows and their sum per member, section (1 purchases, 2 others) and month: every heading once."""
     month = F.year("created_at") * 100 + F.month("created_at")
+    debit = F.when(live(), -F.col("total"))
     sections = [
-        frame.select("user_id", F.lit(section).alias("section"), month.alias("month"))
-        for section, frame in ((1, t.entries), (2, t.payments), (2, t.adjustments))
+        frame.select("user_id", F.lit(section).alias("section"), month.alias("month"), amount.cast(AMOUNT).alias("amount"))
+        for section, frame, amount in ((1, t.entries, debit), (2, t.payments, F.col("amount")), (2, t.adjustments, F.col("amount")))
     ]
     rows = sections[0].unionByName(sections[1]).unionByName(sections[2])
-    return rows.groupBy("user_id", "section", "month").agg(F.count("*").alias("_rows"))
+    return rows.groupBy("user_id", "section", "month").agg(F.count("*").alias("_rows"), money_sum("amount").alias("_sum"))
 
 
 def _body_rows(t, months: DataFrame) -> DataFrame:
@@ -133,13 +133,13 @@ def statement_lines(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS, months:
     other = F.concat_ws(" | ", when, "label", euro_text("amount"))
     text = F.when(F.col("kind") == "entry", purchase).when(F.col("kind") == "text", F.col("label")).otherwise(other)
     body = labelled.select("user_id", (F.col("line_no") + _HEADER_LINES).alias("line_no"), text.alias("line"))
-    return body.unionByName(_header(t, as_of))
+    return body.unionByName(_header(t, as_of, months))
 
 
-def _header(t, as_of: dt.datetime) -> DataFrame:
-    """Lines 1 to 6 of every member."""
+def _header(t, as_of: dt.datetime, months: DataFrame) -> DataFrame:
+    """Lines 1 to 6 of every member; the balance is the sum of all months."""
     members = t.users.select(F.col("id").alias("user_id"), "name", "user_key")
-    members = members.join(member_totals(t), "user_id", "left")
+    members = members.join(months.groupBy("user_id").agg(F.sum("_sum").alias("balance")), "user_id", "left")
     printed = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     texts = F.array(
         F.lit(TITLE),

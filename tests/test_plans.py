@@ -55,7 +55,7 @@ def test_scans_of_purchases(bound):
     """What is staged reads them once more."""
     for frame in (
         profile.account_document(bound), movements.running_balance(bound), movements.running_balance(bound, "as_booked"),
-        rules.rule_violations(bound),
+        rules.rule_violations(bound), statement.statement_lines(bound, PRINTED_AT),
     ):
         text = plan(frame)
         assert text.count("lineitem.parquet") == 1
