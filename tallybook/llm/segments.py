@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import chunks, mix, run_hashes, sliding_min
+from tallybook.session import stage
 
-BUCKET_BITS = 10  # buckets of minimisers that are counted apart; a bucket's keys take 4 bytes each in one task
+BUCKET_BITS = 10  # buckets of minimisers that are counted apart
 SLICE_BITS = 18  # bits of the bitmap in each bucket
 FLUSH_KEYS = 4 << 20
+HOT_LEAST = 64  # a minimiser is hot if it makes up 1 / HOT_SHARE of the keys that a task sends, and this many at least
+HOT_SHARE = 1024
+HOT_KEYS = 16  # hot minimisers that a bucket names, the most frequent ones; the others go the ordinary way
+SALTS = 1024
+COUNTED = np.dtype([("key", "<u4"), ("count", "<u4")])
 
 
 class Runs(NamedTuple):
@@ -65,12 +73,20 @@ def occurrences_anywhere(runs: Runs, grams: np.ndarray, length: int) -> np.ndarr
     return np.concatenate([runs.key, runs.key[hits > 1]])
 
 
-def repeated_keys(docs: DataFrame, tokens: Callable, window: int, length: int, count: Callable) -> np.ndarray:
-    """A bitmap of fixed size, 2^28 bits, of the minimisers that occur at least twice.
+class Repeated(NamedTuple):
+    """The minimisers that occur at least twice, as a bitmap, and those that are hot, as sorted numbers."""
 
-    Tasks send their keys as sorted numbers of 4 bytes, dealt to 2^BUCKET_BITS buckets; a bucket's owner returns its
-    part of the map. Keys that share their first BUCKET_BITS + 32 bits count as one, which lets more through to the
-    exact step and loses nothing. The map doesn't grow with the data: the fuller it is, the more runs travel.
+    bits: np.ndarray
+    hot: np.ndarray
+
+
+def repeated_keys(docs: DataFrame, tokens: Callable, window: int, length: int, count: Callable) -> Repeated:
+    """A bitmap of fixed size, 2^28 bits, of the minimisers that occur at least twice, and at most 2^14 hot ones.
+
+    Tasks send their keys as sorted numbers of 4 bytes, dealt to 2^BUCKET_BITS buckets, and how often the hot ones
+    among them occur; a bucket's owner returns its part of the map. Keys that share their first BUCKET_BITS + 32 bits
+    count as one, which lets more through to the exact step and loses nothing. Neither the map nor what an owner holds
+    grows with the data: a key whose bit is set is forgotten. The fuller the map is, the more runs travel.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,53 +105,99 @@ def repeated_keys(docs: DataFrame, tokens: Callable, window: int, length: int, c
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(held))
+        hot = counted_hot(keys)
         third = np.zeros(len(keys), bool)
         third[2:] = keys[2:] == keys[:-2]  # two of each are enough
         keys = keys[~third]
-        edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+        cuts = np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)
+        edges, hot_edges = np.searchsorted(keys >> np.uint64(32), cuts), np.searchsorted(hot[0] >> np.uint64(32), cuts)
         buckets = np.flatnonzero(np.diff(edges))
         low = keys.astype(np.uint32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(buckets.astype(np.int32)), pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in buckets], pa.binary())], ["bucket", "keys"]
-        )
+        often = np.empty(len(hot[0]), COUNTED)
+        often["key"], often["count"] = hot[0].astype(np.uint32), hot[1]
+        parts = [[a[e[b] : e[b + 1]].tobytes() for b in buckets] for a, e in ((low, edges), (often, hot_edges))]
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "keys", "hot"])
+
+    def counted_hot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = max(HOT_LEAST, len(keys) // HOT_SHARE)
+        places = np.flatnonzero(keys[least - 1 :] == keys[: max(len(keys) - least + 1, 0)])
+        return np.unique(keys[places], return_counts=True)  # counts beyond the least; only their order matters
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, size, limit = None, [], 0, FLUSH_KEYS
+        bits, hot = np.zeros(1 << SLICE_BITS, bool), Counter()
 
-        def close() -> pa.RecordBatch:
+        def settle() -> None:
+            """Set the bits of keys that are held twice; forget the keys whose bits are set."""
+            nonlocal held, size, limit
             keys = np.sort(np.concatenate(held))
-            bits = np.zeros(1 << SLICE_BITS, bool)
-            bits[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(32 - SLICE_BITS)] = True
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["bucket", "bits"])
+            place = keys >> np.uint32(32 - SLICE_BITS)
+            bits[place[1:][keys[1:] == keys[:-1]]] = True
+            held = [keys[~bits[place]]]
+            size = len(held[0])
+            limit = max(FLUSH_KEYS, 2 * size)
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size, limit
+            settle()
+            names = np.array([k for k, _ in sorted(hot.items(), key=lambda x: (-x[1], x[0]))[:HOT_KEYS]], np.uint32).tobytes()
+            out = [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()]), pa.array([names])]
+            bits[:] = False
+            hot.clear()
+            held, size, limit = [], 0, FLUSH_KEYS
+            return pa.RecordBatch.from_arrays(out, ["bucket", "bits", "hot"])
 
         for batch in batches:
-            for key, blob in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+            for key, blob, often in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("hot").to_pylist(), strict=True):
                 if key != bucket and held:
                     yield close()
-                    held = []
                 bucket = key
                 held.append(np.frombuffer(blob.as_buffer(), np.uint32))
+                size += len(held[-1])
+                hot.update(dict(np.frombuffer(often, COUNTED).tolist()))
+                if size > limit:
+                    settle()
         if held:
             yield close()
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary")
-    owned = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(own, "bucket int, bits binary").toArrow()
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, hot binary")
+    owned = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(own, "bucket int, bits binary, hot binary").toArrow()
     out = np.zeros(1 << (BUCKET_BITS + SLICE_BITS - 3), np.uint8)
     width = 1 << (SLICE_BITS - 3)
-    for bucket, bits in zip(owned["bucket"].to_pylist(), owned["bits"].to_pylist(), strict=True):
+    hot = [np.empty(0, np.uint64)]
+    for bucket, bits, names in zip(*(owned[n].to_pylist() for n in ("bucket", "bits", "hot")), strict=True):
         out[bucket * width : (bucket + 1) * width] = np.frombuffer(bits, np.uint8)
-    return out
+        hot.append(np.frombuffer(names, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+    return Repeated(out, np.sort(np.concatenate(hot)))
+
+
+def is_repeated(table: Repeated, mixed: np.ndarray) -> np.ndarray:
+    place = mixed >> np.uint64(64 - BUCKET_BITS - SLICE_BITS)
+    return (table.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def is_repeated(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = mix(keys) >> np.uint64(64 - BUCKET_BITS - SLICE_BITS)
-    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+def is_hot(table: Repeated, mixed: np.ndarray) -> np.ndarray:
+    return np.isin(mixed >> np.uint64(32 - BUCKET_BITS), table.hot)
 
 
-def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int, table: np.ndarray) -> DataFrame:
-    """(key, body, doc_id, first): each run with a repeated minimiser as one string, for the bucket of its key.
+def rarer_runs(tokens: np.ndarray, runs: Runs, window: int) -> Runs:
+    """Runs of hot minimisers cut again, by minimisers three quarters as long as a window, which fewer texts share.
 
-    The key is 4 bytes of the minimiser's hash: minimisers that share them only share a bucket.
+    Equal windows still meet. Different texts around a common passage, and most near copies, part here; copies don't.
+    """
+    sizes = runs.end - runs.first
+    offsets = np.append(0, np.cumsum(sizes))
+    shift = runs.first - offsets[:-1]
+    inside = tokens[np.repeat(shift, sizes) + np.arange(offsets[-1])]
+    found, _ = window_runs(inside, offsets, window, max(1, window * 3 // 4))
+    return Runs(found.key, found.first + shift[found.owner], found.end + shift[found.owner], runs.owner[found.owner])
+
+
+def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int, table: Repeated) -> DataFrame:
+    """(key, salt, body, doc_id, first): each run with a repeated minimiser as one string, for the bucket of its key.
+
+    The key is 4 bytes of the minimiser's hash: minimisers that share them only share a bucket. Windows of a hot
+    minimiser go by a longer one and are dealt out by a salt above zero; all others have salt zero.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -145,15 +207,23 @@ def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int,
             for chunk in chunks(batch.column("text")):
                 values, offsets, body = tokens(chunk)
                 runs, _ = window_runs(values, offsets, window, length)
-                kept = np.flatnonzero(is_repeated(shared.value, runs.key))
-                rows = np.asarray(chunk.rows)[runs.owner[kept]]
-                bodies = [body(a, b) for a, b in zip(runs.first[kept].tolist(), runs.end[kept].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((mix(runs.key[kept]) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(bodies, pa.binary()), pa.array(ids[rows]), pa.array(runs.first[kept] - offsets[runs.owner[kept]])],
-                    ["key", "body", "doc_id", "first"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key int, body binary, doc_id long, first long")
+                mixed = mix(runs.key)
+                kept = is_repeated(shared.value, mixed)
+                hot = kept & is_hot(shared.value, mixed)
+                plain = Runs(*(x[kept & ~hot] for x in runs))
+                rarer = rarer_runs(values, Runs(*(x[hot] for x in runs)), window)
+                salted = np.arange(len(plain.key) + len(rarer.key)) >= len(plain.key)
+                runs = Runs(*(np.concatenate(x) for x in zip(plain, rarer, strict=True)))
+                owners = ids[np.asarray(chunk.rows)[runs.owner]]
+                first = runs.first - offsets[runs.owner]
+                spread = mix(owners.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)) % np.uint64(SALTS) + np.uint64(1)
+                salt = np.where(salted, spread, np.uint64(0)).astype(np.int32)
+                bodies = [body(a, b) for a, b in zip(runs.first.tolist(), runs.end.tolist(), strict=True)]
+                key = (mix(runs.key) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = [pa.array(key), pa.array(salt), pa.array(bodies, pa.binary()), pa.array(owners), pa.array(first)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "salt", "body", "doc_id", "first"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key int, salt int, body binary, doc_id long, first long")
 
 
 class Bodies(NamedTuple):
@@ -166,13 +236,13 @@ class Bodies(NamedTuple):
 
 SPANS = "kind int, key int, body binary, doc_id long, first long, size long"
 _KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-SPAN, DEFERRED = 0, 1
+SPAN, DEFERRED, HOT = 0, 1, 2
 
 
 def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Callable[[bytes], int], shard_bytes: int, across: bool) -> DataFrame:
-    """Spans (kind 0) of tokens that ``decide`` finds repeated, and the rows of overlarge keys (kind 1) as they were.
+    """Spans (kind 0) of tokens that ``decide`` finds repeated, and the rows of overlarge (kind 1) and hot keys (2) as they were.
 
-    Rows come sorted by (key, body, doc_id). Equal strings need one look: with ``across`` every copy but those of the
+    Rows come sorted by (key, salt, body, doc_id). Rows with a salt are passed on at once. Equal strings need one look: with ``across`` every copy but those of the
     smallest doc_id is a span, else all copies are. Different strings are gathered, keys together, until a shard is
     full; ``decide`` returns for each the list of spans (first, size) in it. The strings of one key that don't fit in a
     shard are passed on, so that a task's memory never follows the number of texts that share a passage.
@@ -202,6 +272,11 @@ def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Cal
             mark = 0
 
         for batch in batches:
+            salted = batch.column("salt").to_numpy() > 0
+            if salted.any():
+                hot, batch = batch.filter(pa.array(salted)), batch.filter(pa.array(~salted))
+                ends = [pa.array(np.full(len(hot), value, kind)) for value, kind in ((HOT, np.int32), (0, np.int64))]
+                yield pa.RecordBatch.from_arrays([ends[0], *(hot.column(n) for n in ("key", "body", "doc_id", "first")), ends[1]], [c.split()[0] for c in SPANS.split(", ")])
             for row in zip(*(batch.column(n).to_pylist() for n in ("key", "body", "doc_id", "first")), strict=True):
                 new_key, new_body, doc_id, first = row
                 if new_key != key:
@@ -239,7 +314,27 @@ def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Cal
         settle(len(shard.body))
         yield from emit()
 
-    return runs.repartition("key").sortWithinPartitions("key", "body", "doc_id").mapInArrow(run, SPANS)
+    return runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "body", "doc_id").mapInArrow(run, SPANS)
+
+
+def all_spans(runs: DataFrame, decide: Callable, size_of: Callable, size: Column, shard_bytes: int, across: bool, deferred: Callable) -> DataFrame:
+    """(doc_id, first, size): spans of all runs, those of hot and overlarge keys included.
+
+    Equal strings of hot keys are merged by an aggregate, which Spark combines before the shuffle. Copies are spans as
+    a whole, as in ``bucket_spans``; one string of each kind (with ``across`` those of the smallest doc_id) goes on to
+    the bucket of its key. ``deferred`` finds the spans of overlarge keys; ``size`` is the number of tokens of a body.
+    """
+    found = stage(bucket_spans(runs, decide, size_of, shard_bytes, across), "spans")
+    hot = found.filter(F.col("kind") == HOT).select("key", "body", "doc_id", "first")
+    here = F.struct("doc_id", "first")
+    strings = hot.groupBy("key", "body").agg(F.min(here).alias("least"), F.count("*").alias("copies"))
+    known = stage(hot.join(strings, ["key", "body"]).withColumn("here", here), "hot")
+    copy, one = ("doc_id > least.doc_id", "doc_id = least.doc_id") if across else ("copies > 1", "here = least")
+    ones = known.filter(one).select("key", F.lit(0).alias("salt"), "body", "doc_id", "first")
+    more = stage(bucket_spans(ones, decide, size_of, shard_bytes, across), "spans")
+    both = found.unionByName(more)
+    parts = [both.filter(F.col("kind") == SPAN), known.filter(copy).withColumn("size", size.cast("long")), deferred(both.filter(F.col("kind") == DEFERRED))]
+    return reduce(DataFrame.unionByName, (p.select("doc_id", "first", "size") for p in parts))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import NOT_SPACE, Chunk, chunks, keyed, original_id, run_hashes, span_hashes, word_spans
 from tallybook.llm.segments import (
-    DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, travelling_runs, unpacked,
+    Bodies, all_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, travelling_runs, unpacked,
 )
 from tallybook.llm.simhash import _spaced
-from tallybook.session import stage
 
 GRAM = 8  # words in a minimiser
 SHARD_BYTES = 1 << 20
@@ -81,21 +80,25 @@ def window_spans(part: Bodies, window: int) -> list[list[tuple[int, int]]]:
 
 
 def _deferred_spans(rows: DataFrame, window: int) -> DataFrame:
-    """Spans of overlarge keys: their windows are counted one by one, which Spark combines before the shuffle."""
-    words = F.split(F.col("body").cast("string"), " ")
+    """Spans of overlarge keys: equal strings become one row with their number, then the windows of the different
+    ones are counted; Spark combines both before the shuffle, and a string's repeated windows go back to all its rows."""
+    strings = rows.groupBy("body").agg(F.count("*").alias("copies")).withColumn("words", F.split(F.col("body").cast("string"), " "))
     windows = F.transform(F.sequence(F.lit(0), F.array_size("words") - window), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, window), " ").alias("text")))
-    each = rows.withColumn("words", words).select("doc_id", "first", F.explode(windows).alias("w"))
-    often = each.groupBy(F.col("w.text").alias("text")).count().filter("count > 1").select("text")
-    return each.join(often, F.col("w.text") == F.col("text"), "left_semi").select("doc_id", (F.col("first") + F.col("w.at")).alias("first"), F.lit(window).cast("long").alias("size"))
+    each = strings.select("body", "copies", F.explode(windows).alias("w")).select("body", "copies", "w.at", "w.text")
+    often = each.groupBy("text").agg(F.sum("copies").alias("n")).filter("n > 1").select("text")
+    marked = each.join(often, "text", "left_semi").groupBy("body").agg(F.collect_list("at").alias("places"))
+    spans = rows.join(marked, "body").select("doc_id", "first", F.explode("places").alias("at"))
+    return spans.select("doc_id", (F.col("first") + F.col("at")).alias("first"), F.lit(window).cast("long").alias("size"))
 
 
 def repeated_spans(docs: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, first, size): spans of words covered by windows that also start anywhere else."""
     table = repeated_keys(docs, word_tokens, window, min(GRAM, window), occurrences_anywhere)
     runs = travelling_runs(docs, word_tokens, window, min(GRAM, window), table)
-    found = stage(bucket_spans(runs, lambda part: window_spans(part, window), lambda body: body.count(b" ") + 1, shard_bytes, across=False), "spans")
-    spans = found.filter(F.col("kind") == SPAN).select("doc_id", "first", "size")
-    return spans.unionByName(_deferred_spans(found.filter(F.col("kind") == DEFERRED), window))
+    size = F.size(F.split(F.col("body").cast("string"), " "))
+    return all_spans(
+        runs, lambda part: window_spans(part, window), lambda body: body.count(b" ") + 1, size, shard_bytes, False, lambda rows: _deferred_spans(rows, window)
+    )
 
 
 def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = SHARD_BYTES) -> DataFrame:

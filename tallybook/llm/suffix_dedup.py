@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import Chunk, chunks, keyed, mix, original_id
 from tallybook.llm.segments import (
-    DEFERRED, SPAN, Bodies, bucket_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, travelling_runs, unpacked,
+    Bodies, all_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, travelling_runs, unpacked,
 )
 from tallybook.llm.substring_dedup import same_bytes
-from tallybook.session import stage
 
 GRAM = 16  # bytes in a minimiser
 SHARD_BYTES = 2 << 20  # bytes of different strings that one suffix array is built over
@@ -163,20 +162,25 @@ def byte_tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, Callable[[int, in
 
 
 def _deferred_spans(rows: DataFrame, window: int) -> DataFrame:
-    """Spans of overlarge keys: the smallest doc_id of every window, which Spark combines before the shuffle."""
+    """Spans of overlarge keys: equal strings become one row with their smallest and largest doc_id, then the
+    windows of the different ones find theirs; Spark combines both before the shuffle, and a string's windows go back to
+    all its rows."""
+    strings = rows.groupBy("body").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     windows = F.transform(F.sequence(F.lit(0), F.octet_length("body") - window), lambda i: F.struct(i.alias("at"), F.substring("body", i + 1, F.lit(window)).alias("bytes")))
-    each = rows.select("doc_id", "first", F.explode(windows).alias("w")).select("doc_id", (F.col("first") + F.col("w.at")).alias("first"), "w.bytes")
-    least = each.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bytes", "least")
-    return each.join(least, "bytes").filter("doc_id > least").select("doc_id", "first", F.lit(window).cast("long").alias("size"))
+    each = strings.select("body", "least", "most", F.explode(windows).alias("w")).select("body", "least", "most", "w.at", "w.bytes")
+    shared = each.groupBy("bytes").agg(F.min("least").alias("owner"), F.max("most").alias("last")).filter("owner < last").select("bytes", "owner")
+    marked = each.join(shared, "bytes").groupBy("body").agg(F.collect_list(F.struct("at", "owner")).alias("places"))
+    spans = rows.join(marked, "body").select("doc_id", "first", F.explode("places").alias("w")).filter("doc_id > w.owner")
+    return spans.select("doc_id", (F.col("first") + F.col("w.at")).alias("first"), F.lit(window).cast("long").alias("size"))
 
 
 def repeated_spans(docs: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, first, size): spans of bytes covered by windows that also start in a text of a smaller doc_id."""
     table = repeated_keys(docs, byte_tokens, window, min(GRAM, window), occurrences_across)
     runs = travelling_runs(docs, byte_tokens, window, min(GRAM, window), table)
-    found = stage(bucket_spans(runs, lambda part: window_spans(part, window), len, shard_bytes, across=True), "spans")
-    spans = found.filter(F.col("kind") == SPAN).select("doc_id", "first", "size")
-    return spans.unionByName(_deferred_spans(found.filter(F.col("kind") == DEFERRED), window))
+    return all_spans(
+        runs, lambda part: window_spans(part, window), len, F.octet_length("body"), shard_bytes, True, lambda rows: _deferred_spans(rows, window)
+    )
 
 
 def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
