@@ -119,3 +119,8 @@ def mix_sources(documents: DataFrame, weights: dict[str, float] | None = None, d
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
     copies = whole + (chance < F.col("rate") - whole).cast("long")
     return bare.select(original_id(), "tokens", "domain", "membership", "rate", copies.alias("copies"))
+
+
+def repeat_documents(mixed: DataFrame) -> DataFrame:
+    """The rows of the mixture: every row of ``mixed`` as often as its ``copies`` says, numbered by ``copy`` from 1."""
+    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
