@@ -31,13 +31,16 @@ BOILERPLATE_WORDS = frozenset(
     "menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion related replies reply respond "
     "share sharing sidebar sidebars signup skip social sponsor sponsored subscribe taboola toolbar widget complementary contentinfo search alert discussion responses".split()
 )
+# Of these, words of what readers or notices say at length, where much text is no sign of an article; and words of wrappers.
+LONG_WORDS = frozenset("comment comments consent cookie cookies disclaimer discussion disqus replies reply respond responses".split())
+CONTENT_WORDS = frozenset("article body content entry main page post story text wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NUMBER = re.compile(r"\d+")
 
@@ -47,38 +50,68 @@ class Element(NamedTuple):
     path: str
     skipped: bool
     container: int  # number of the nearest container, itself included
+    mark: int  # number of the marked element that it is in, if that alone makes it skipped, else -1
 
 
-def _described(name: str, attributes: str) -> tuple[str, bool]:
-    """The element's step of a path, classes generalised, and whether it is boilerplate."""
+def _described(name: str, attributes: str) -> tuple[str, bool, set[str]]:
+    """The element's step of a path, classes generalised, whether it is never main text, and the words that mark it."""
     skipped = name in BOILERPLATE_TAGS
     step = name
+    words: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = next(filter(None, values), "")
         key = key.lower()
         if key == "class":
             step += "".join(f".{c}" for c in sorted({_NUMBER.sub("#", c) for c in value.lower().split()}))
         if key in ("class", "id", "role"):
-            skipped = skipped or name not in ("body", "html") and any(p.lower() in BOILERPLATE_WORDS for p in _PART.findall(value))
+            words.update(p.lower() for p in _PART.findall(value))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             skipped = skipped or name not in ("body", "html")
-    return step, skipped
+    return step, skipped, words if name not in ("body", "html") and words & BOILERPLATE_WORDS else set()
+
+
+class Mark:
+    """An element with boilerplate words: its text outside and in links, and what speaks for a wrapper of main text."""
+
+    def __init__(self, name: str, words: set[str]):
+        self.good = self.linked = 0
+        self.long = bool(words & LONG_WORDS)
+        self.wrapper = name == "main" or not self.long and (name == "article" or bool(words & CONTENT_WORDS))
+
+    def holds_main_text(self, outside: int) -> bool:
+        """Most of the page's text, few links, and a sign of a wrapper; without a sign nearly all the text."""
+        return self.good > self.linked and self.good > (1 if self.wrapper else 4) * outside and (self.wrapper or not self.long)
 
 
 class Page(NamedTuple):
-    """Containers in the order in which they open: path, parent, own text and skipped text; blocks of text by container."""
+    """Containers in the order in which they open: path, parent, own text and skipped text; blocks of text by container;
+    marked elements by number."""
 
     paths: list[str]
     parents: list[int]
     good: list[int]
     bad: list[int]
     blocks: list[tuple[int, str]]
+    marks: dict[int, Mark]
+
+
+def parse(source: str, winner: str | None = None) -> Page:
+    """A page without its boilerplate. Marked elements are left out, but for those on the winning path and those that
+    hold the main text; the one with most text is let in first, then the others are judged by what is left outside."""
+    kept: set[int] = set()
+    while True:
+        page = parse_once(source, kept, winner)
+        outside = sum(page.good)
+        found = [(m.good, -i) for i, m in page.marks.items() if m.holds_main_text(outside)]
+        if not found:
+            return page
+        kept.add(-max(found)[1])
 
 
-def parse(source: str) -> Page:
+def parse_once(source: str, kept: set[int], winner: str | None) -> Page:
     """One pass over a page's tags. Missing end tags are closed by the end tag of whatever is around them."""
-    page = Page([""], [-1], [0], [0], [])
-    stack = [Element("", "", False, 0)]
+    page = Page([""], [-1], [0], [0], [], {})
+    stack = [Element("", "", False, 0, -1)]
     parts: list[str] = []
     at_container = 0
     link_depth = 0
@@ -95,6 +128,9 @@ def parse(source: str) -> Page:
         top = stack[-1]
         if top.skipped:
             page.bad[top.container] += len(text.strip())
+            if top.mark >= 0:
+                mark = page.marks[top.mark]
+                mark.good, mark.linked = mark.good + (not link_depth) * len(text.strip()), mark.linked + (link_depth > 0) * len(text.strip())
             return
         if top.container != at_container:
             flush()
@@ -153,8 +189,14 @@ def parse(source: str) -> Page:
             if depth is not None:
                 close(depth)
         top = stack[-1]
-        step, skipped = _described(name, token["attributes"])
+        step, skipped, words = _described(name, token["attributes"])
         path = top.path if name in ("html", "body") else f"{top.path}/{step}"  # both tags may be left out
+        mark = -1 if skipped else top.mark
+        if mark >= 0 and not words and name in ("h1", "main", "article"):
+            page.marks[mark].wrapper = True
+        elif words and not skipped and not top.skipped and token.start() not in kept and not f"{winner}/".startswith(f"{path}/"):
+            mark, skipped = token.start(), True
+            page.marks[mark] = Mark(name, words)
         container = top.container
         if name in CONTAINERS and not skipped and not top.skipped:
             container = len(page.paths)
@@ -163,7 +205,7 @@ def parse(source: str) -> Page:
             page.good.append(0)
             page.bad.append(0)
         link_depth += name == "a"
-        stack.append(Element(name, path, skipped or top.skipped, container))
+        stack.append(Element(name, path, skipped or top.skipped, container, mark))
     if last < len(source):
         rest = source[last:]
         hear(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
@@ -215,7 +257,9 @@ def host_paths(votes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Every row of ``pages`` as page_id, url, text, n_chars.
 
-    The text is that of the containers on the host's winning path, without what is boilerplate inside them; on a page
+    The text is that of the containers on the host's winning path, without what is boilerplate inside them: elements that
+    never hold main text, hidden ones, and those whose class, id or role has a boilerplate word, unless most of the page's
+    text is in them, outside links. On a page
     without such a container, that of the page's own best one. Character references are decoded, white space inside a
     block becomes one space, blocks are joined by one space. A null html is empty, its text the empty string; pages
     with a null url share the empty host; repeated rows get the same result. Other columns are ignored.
@@ -230,7 +274,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, winner in zip(batch.column("html"), batch.column("winner").to_pylist(), strict=True):
-                page = parse(source.as_py())
+                page = parse(source.as_py(), winner)
                 wanted = {i for i, path in enumerate(page.paths) if path == winner}
                 texts.append(inner_text(page, wanted or {best_container(page)[0]}))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
