@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.months import day_number
 from tallybook.operators.prefix import asc, parts, running_totals
 
 NEVER = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -111,8 +110,7 @@ def news_feed(t, viewer=None, ordered: bool = True) -> DataFrame:
 def comment_threads(t, part_size: int = THREAD_PART) -> DataFrame:
     """Comments of every post with their authors, oldest first, as nested parts of bounded size."""
     rows = t.news_comments.select("id", "news_id", "user_id", "body", "created_at")
-    days = rows.withColumn("_day", day_number("created_at"))
-    placed = running_totals(days, ["news_id"], asc("_day"), [asc("created_at"), asc("id")], row_no="position")
+    placed = running_totals(rows, ["news_id"], [asc("created_at"), asc("id")], row_no="position")
     authors = _authors(t).withColumnRenamed("created_by", "user_id")
     named = placed.join(authors, "user_id")
     return parts(named, ["news_id"], "position", ["id", "user_id", "author_name", "body", "created_at"], part_size)

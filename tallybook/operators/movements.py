@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import AMOUNT, TOTAL
-from tallybook.functions.months import day_number
 from tallybook.functions.text import NO_CATEGORY
-from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
+from tallybook.operators.prefix import asc, desc, running_totals
 from tallybook.sources.tables import month_rows
 
 EARLY_CUT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
@@ -136,7 +135,7 @@ def low_balance_warning(balance: str = "balance") -> Column:
     return F.when(F.col(balance) <= LOW_BALANCE, WARNING)
 
 
-def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def running_balance(t, mode: str = "current", pieces: int | None = None) -> DataFrame:
     """Balance after each movement and the low-balance warning.
 
     ``current`` leaves deleted purchases out; ``as_booked`` counts them until a reversing movement
@@ -144,53 +143,47 @@ def running_balance(t, mode: str = "current", heavy_rows: int = HEAVY_ROWS) -> D
     """
     rows = {"current": narrow_movements, "as_booked": booked_movements}[mode](t)
     rows = rows.select("id", "user_id", "created_at", "kind", "amount")
-    result = running_totals(
-        rows.withColumn("_day", day_number("created_at")), ["user_id"], asc("_day"), MOVEMENT_ORDER,
-        sums={"balance": "amount"}, heavy_rows=heavy_rows,
-    )
-    return result.drop("_day").withColumn("balance", F.col("balance").cast(TOTAL)).withColumn(
-        "warning", low_balance_warning()
-    )
+    result = running_totals(rows, ["user_id"], MOVEMENT_ORDER, sums={"balance": "amount"}, pieces=pieces)
+    return result.withColumn("balance", F.col("balance").cast(TOTAL)).withColumn("warning", low_balance_warning())
 
 
-def _newest(rows: DataFrame, n: int | None, ties: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def _newest(rows: DataFrame, n: int | None, ties: list[str], pieces: int | None = None) -> DataFrame:
     """The newest n rows per member with their ``row_no``; ``None`` keeps and numbers the full history.
 
     Spark keeps at most n rows per member and task before the shuffle, up to a limit on n; beyond it
-    rows are numbered in blocks, so that a heavy member never has to fit into one task.
+    rows are numbered by ranges, so that a heavy member never has to fit into one task.
     """
     if n is not None and n <= EARLY_CUT:
         order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), *ties)
         return rows.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= n)
-    days = rows.withColumn("_day", day_number("created_at"))
     order = [desc("created_at"), *(asc(name) for name in ties)]
-    numbered = running_totals(days, ["user_id"], desc("_day"), order, row_no="row_no", heavy_rows=heavy_rows).drop("_day")
+    numbered = running_totals(rows, ["user_id"], order, row_no="row_no", pieces=pieces)
     kept = numbered if n is None else numbered.where(F.col("row_no") <= n)
     return kept.withColumn("row_no", F.col("row_no").cast("int"))
 
 
-def recent_entries(t, n: int | None = 80, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def recent_entries(t, n: int | None = 80, pieces: int | None = None) -> DataFrame:
     """Newest purchases per member; labels are joined after the cut."""
     entries = t.entries.select(
         F.col("id").cast("string").alias("id"), "user_id", "product_id", "quantity", "total", "paid",
         "deleted_at", "created_at",
     )
-    return _newest(entries, n, ["id"], heavy_rows).join(product_labels(t), "product_id").drop("product_id")
+    return _newest(entries, n, ["id"], pieces).join(product_labels(t), "product_id").drop("product_id")
 
 
-def _recent_amounts(rows: DataFrame, n: int | None, heavy_rows: int) -> DataFrame:
+def _recent_amounts(rows: DataFrame, n: int | None, pieces: int | None) -> DataFrame:
     rows = rows.select(F.col("id").cast("string").alias("id"), "user_id", "created_at", "amount", "note")
-    return _newest(rows, n, ["id"], heavy_rows)
+    return _newest(rows, n, ["id"], pieces)
 
 
-def recent_payments(t, n: int | None = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    return _recent_amounts(t.payments, n, heavy_rows)
+def recent_payments(t, n: int | None = 30, pieces: int | None = None) -> DataFrame:
+    return _recent_amounts(t.payments, n, pieces)
 
 
-def recent_adjustments(t, n: int | None = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    return _recent_amounts(t.adjustments, n, heavy_rows)
+def recent_adjustments(t, n: int | None = 30, pieces: int | None = None) -> DataFrame:
+    return _recent_amounts(t.adjustments, n, pieces)
 
 
-def recent_movements(t, n: int | None = 250, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def recent_movements(t, n: int | None = 250, pieces: int | None = None) -> DataFrame:
     """Newest movements per member, labelled after the cut."""
-    return label_movements(_newest(narrow_movements(t), n, ["kind", "id"], heavy_rows), t)
+    return label_movements(_newest(narrow_movements(t), n, ["kind", "id"], pieces), t)

@@ -1,30 +1,33 @@
-"""Running totals per key that never need a heavy key in one task.
+"""Running totals per key in which a heavy key is spread over many tasks.
 
-A running window puts all rows of a key into one task. That is the best plan for ordinary members,
-but a member (or a news post) with a third of all rows would break it. So keys are counted first,
-with a partial aggregate, and only the heavy ones are treated differently:
+A running window puts all rows of a key into one task. Here rows are dealt out by ranges of (key, order) instead, so that
+every task gets about as many rows whatever the keys are, and a key may span any number of tasks:
 
-1. their rows are cut into blocks by a coarse order column, usually the day;
-2. a window over the block totals of a key gives what came before each block;
-3. a window per (key, block) gives the position inside the block.
+1. the rows are written once, and cut into ranges at sampled rows;
+2. each task walks its sorted range and gives every row its total within the range (its *piece*);
+3. the last row of a piece holds what its key brings into the next one. These few rows, two a piece, are summed per key
+   and added to the first key of the pieces that follow.
 
-A block that is still too large (many rows of one key on one day) is cut further at sampled rows.
-The result is exact wherever the cuts fall; sampling only decides how even the pieces are.
+Nothing is counted beforehand, and no key and no order value has to fit into one task. The result is exact wherever the
+cuts fall; sampling only decides how even the pieces are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.session import stage
 
-HEAVY_ROWS = 1_000_000  # a key with more rows than this is cut into blocks
-PIECES = 1024  # a block above that limit is cut into at most about this many pieces
-STEP = 32
-
 
 @dataclass(frozen=True)
 class Key:
@@ -45,123 +48,108 @@ def desc(name: str) -> Key:
     return Key(name, True)
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``heavy_rows`` rows, from (keys, _rows): at most all rows / heavy_rows."""
-    sums = counts.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
-    return stage(sums.where(F.col("_rows") > heavy_rows).select(*keys), "heavy-keys")
-
-
 def running_totals(
-    rows: DataFrame,
-    keys: list[str],
-    block: Key,
-    order: list[Key],
-    sums: dict[str, str] | None = None,
-    row_no: str | None = None,
-    heavy_rows: int = HEAVY_ROWS,
-    heavy: DataFrame | None = None,
+    rows: DataFrame, keys: list[str], order: list[Key], sums: dict[str, str] | None = None, row_no: str | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Add running sums and a row number per key.
 
-    ``order`` must be a total order inside a block and agree with ``block``: a row of an earlier
-    block never comes after a row of a later one. ``sums`` maps result column to summed column.
-    ``heavy`` are the heavy keys if the caller knows them; else the rows are counted here.
+    ``order`` must be a total order inside a key. ``sums`` maps result column to summed column, a decimal or whole number
+    whose running sum, in units of its last place, fits into 64 bits (beyond that it wraps); nulls count as 0. ``pieces``
+    is the number of ranges, by default that of the session's shuffle partitions. Rows with a null key form one key.
     """
     sums = sums or {}
-    if heavy is None:
-        heavy = heavy_keys(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, heavy_rows)
-    if heavy.isEmpty():
-        return _scan(rows, keys, [block, *order], sums, row_no)
-    light = _scan(rows.join(heavy, keys, "left_anti"), keys, [block, *order], sums, row_no)
-    cut = _scan_blocks(rows.join(heavy, keys, "left_semi"), keys, block, order, sums, row_no, heavy_rows)
-    return light.unionByName(cut)
-
-
-def _scan(rows: DataFrame, groups: list[str], order: list[Key], sums: dict[str, str], row_no: str | None) -> DataFrame:
-    """Running sums and row numbers inside each group."""
-    inside = Window.partitionBy(*groups).orderBy(*(k.column() for k in order))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = [F.sum(source).over(so_far).alias(target) for target, source in sums.items()]
+    kinds = {target: rows.schema[source].dataType for target, source in sums.items()}
+    units = {f"_units_{target}": _units(F.col(source), kinds[target]) for target, source in sums.items()}
+    source = stage(rows.withColumns(units) if units else rows, "scan-rows")  # the cuts are sampled from these
+    sort = [*(F.col(k).asc() for k in keys), *(k.column() for k in order)]
+    ranged = source.repartitionByRange(pieces, *sort) if pieces else source.repartitionByRange(*sort)
+    counted = {name: f"_upto{name}" for name in [*units, *(["_row"] if row_no else [])]}
+    schema = T.StructType([f for f in source.schema if f.name not in units])
+    kept = list(schema.names)
+    for name in counted.values():
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("_piece", T.IntegerType())
+    for name in ("_first", "_begins", "_ends"):
+        schema = schema.add(name, T.BooleanType())
+    # written down, so that the numbers of the pieces stay what they are when an executor is lost
+    local = stage(ranged.sortWithinPartitions(*sort).mapInArrow(_walk(keys, counted, schema.names), schema), "scan-pieces")
+    whole = local.join(F.broadcast(_carried(local, keys, counted)), "_piece", "left")  # one row a piece at most
+
+    def total(name: str) -> Column:
+        return F.col(counted[name]) + F.when(F.col("_first"), F.coalesce(f"_before{name}", F.lit(0))).otherwise(0)
+
+    out = [_scaled(total(f"_units_{target}"), kind).alias(target) for target, kind in kinds.items()]
     if row_no:
-        added.append(F.row_number().over(inside).cast("bigint").alias(row_no))
-    return rows.select(*rows.columns, *added)
-
-
-def _scan_blocks(rows, keys, block: Key, order, sums, row_no, block_rows: int) -> DataFrame:
-    """The same, with each key cut into blocks and large blocks cut into pieces."""
-    columns = rows.columns
-    blocks = [block]
-    totals = stage(_totals(rows, [*keys, block.name], sums), "block-totals")
-    large = totals.where(F.col("_rows") > block_rows)
-    if not large.isEmpty():
-        rows = _cut(rows, large, [*keys, block.name], order, block_rows)
-        blocks = [block, asc("_piece")]
-        totals = _totals(rows, [*keys, block.name, "_piece"], sums)
-    groups = [*keys, *(b.name for b in blocks)]
-    earlier = (
-        Window.partitionBy(*keys).orderBy(*(b.column() for b in blocks))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *groups,
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        *(F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums),
-    )
-    # The window sorts by group and order; the join after it needs no further sort of the rows.
-    inside = _scan(rows, groups, order, sums, row_no).join(offsets, groups)
-    total = {name: F.col(f"_before_{name}") + F.col(name) for name in sums}
-    if row_no:
-        total[row_no] = F.col("_rows_before") + F.col(row_no)
-    return inside.select(*columns, *(value.alias(name) for name, value in total.items()))
-
-
-def _totals(rows: DataFrame, groups: list[str], sums: dict[str, str]) -> DataFrame:
-    added = [F.sum(source).alias(f"_sum_{target}") for target, source in sums.items()]
-    return rows.groupBy(*groups).agg(F.count("*").alias("_rows"), *added)
-
-
-def _cut(rows: DataFrame, large: DataFrame, groups: list[str], order: list[Key], block_rows: int) -> DataFrame:
-    """Add ``_piece``: the number of cut rows of the block that come at or before the row.
-
-    Cut rows are picked by a hash of their own content, so a re-run picks the same ones. There are
-    about PIECES of them per large block at most (equal rows count once), and large blocks are at
-    most rows / block_rows. A row is compared with every STEP-th cut first, then with one step.
-    """
-    names = [k.name for k in order]
-    stride = F.ceil(F.greatest(F.col("_rows") / PIECES, F.lit(block_rows / 2)))
-    cuts = (
-        rows.join(large.select(*groups, "_rows"), groups)
-        .where(F.pmod(F.xxhash64(*names), stride) == 0)
-        .select(*groups, *names)
-        .distinct()
-        .groupBy(*groups)
-        .agg(F.array_sort(F.collect_list(F.struct(*names)), lambda a, b: _compared(a, b, order)).alias("_cuts"))
-        .withColumn("_steps", F.filter("_cuts", lambda cut, place: place % STEP == 0))
-    )
-
-    def passed(candidates: Column) -> Column:
-        """How many of the cuts come at or before the row; none without cuts."""
-        found = F.filter(candidates, lambda cut: _compared(cut, {k: F.col(k) for k in names}, order) <= 0)
-        return F.coalesce(F.size(found), F.lit(0))
-
-    steps = F.col("_step")
-    inside = passed(F.slice("_cuts", F.greatest((steps - 1) * STEP + 1, F.lit(1)), F.lit(STEP)))
-    return (
-        rows.join(cuts, groups, "left")
-        .withColumn("_step", F.when(F.col("_steps").isNull(), 0).otherwise(passed(F.col("_steps"))))
-        .withColumn("_piece", F.when(steps == 0, 0).otherwise((steps - 1) * STEP + inside))
-        .drop("_cuts", "_steps", "_step")
-    )
-
-
-def _compared(a, b, order: list[Key]) -> Column:
-    """−1, 0 or 1 as ``a`` comes before, with or after ``b``."""
-    result = F.lit(0)
-    for key in reversed(order):
-        first, second = (b, a) if key.descending else (a, b)
-        lower, higher = first[key.name] < second[key.name], first[key.name] > second[key.name]
-        result = F.when(lower, -1).when(higher, 1).otherwise(result)
-    return result
+        out.append(total("_row").alias(row_no))
+    return whole.select(*kept, *out)
+
+
+def _units(value: Column, kind: T.DataType) -> Column:
+    """A decimal in units of its last place, as a whole number."""
+    whole = value * F.lit(10**kind.scale) if isinstance(kind, T.DecimalType) else value
+    return F.coalesce(whole.cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _scaled(units: Column, kind: T.DataType) -> Column:
+    """The way back; a sum has ten more digits, as Spark's own sums have."""
+    if not isinstance(kind, T.DecimalType):
+        return units
+    return (units.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-kind.scale))).cast(T.DecimalType(min(38, kind.precision + 10), kind.scale))
+
+
+def _carried(local: DataFrame, keys: list[str], counted: dict[str, str]) -> DataFrame:
+    """(_piece, what the first key of the piece has before it), from the last rows of earlier pieces."""
+    sides = F.filter(F.array(F.when(F.col("_begins"), 0), F.when(F.col("_ends"), 1)), lambda side: side.isNotNull())
+    edges = local.where("_begins or _ends").select(*keys, "_piece", *counted.values(), F.explode(sides).alias("_side"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.sum(F.when(F.col("_side") == 1, F.col(upto))).over(earlier).alias(f"_before{name}") for name, upto in counted.items()]
+    return edges.select("_piece", "_side", *before).where("_side = 0").drop("_side")
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    differ = pc.fill_null(pc.not_equal(here, before), False)
+    return pc.or_(differ, pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
+
+def _walk(keys: list[str], counted: dict[str, str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Totals within a sorted range, batch by batch. A batch is handed on when it is known whether it is the last."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, waiting = TaskContext.get().partitionId(), None
+        key, first, so_far = None, True, dict.fromkeys(counted, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = waiting is None
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                new[1:] |= _changes(batch[k])
+            new[0] = not begins and key != tuple(batch[k][0].as_py() for k in keys)
+            run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))  # the row with which each row's key begins
+            goes_on = ~np.logical_or.accumulate(new)
+            columns = {name: batch[name] for name in names if name in batch.schema.names}
+            for name, target in counted.items():
+                values = np.ones(len(new), np.int64) if name == "_row" else batch[name].to_numpy()
+                upto = np.cumsum(values)
+                upto = upto - (upto - values)[run] + np.where(goes_on, so_far[name], 0)
+                so_far[name] = upto[-1]
+                columns[target] = pa.array(upto)
+            in_first = goes_on & first
+            first = bool(in_first[-1])
+            key = tuple(batch[k][-1].as_py() for k in keys)
+            columns |= {"_piece": pa.array(np.full(len(new), piece, np.int32)), "_first": pa.array(in_first)}
+            columns |= {"_begins": pa.array(np.arange(len(new)) == (0 if begins else -1)), "_ends": pa.array(np.zeros(len(new), bool))}
+            if waiting is not None:
+                yield pa.RecordBatch.from_arrays([waiting[n] for n in names], names)
+            waiting = columns
+        if waiting is not None:
+            last = len(waiting["_ends"]) - 1
+            waiting["_ends"] = pa.array(np.arange(last + 1) == last)
+            yield pa.RecordBatch.from_arrays([waiting[n] for n in names], names)
+
+    return walk
 
 
 def parts(rows: DataFrame, keys: list[str], position: str, fields: list[str], size: int) -> DataFrame:

@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import AMOUNT, TOTAL, money_sum, or_zero
-from tallybook.functions.months import day_number, in_month, month_label
+from tallybook.functions.months import in_month, month_label
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.catalog import setting
 from tallybook.operators.movements import entries_enriched, live, other_movements, product_labels, type_label, with_product
-from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, parts, running_totals
-from tallybook.session import stage
+from tallybook.operators.prefix import asc, desc, parts, running_totals
 from tallybook.sources.tables import month_rows
 
 # Fixed value: the text below the dashboard.
@@ -64,21 +63,20 @@ def account_month_dashboard(t, as_of: dt.date) -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, keys: list[str], ties: list[str], heavy_rows: int, heavy: DataFrame | None = None) -> DataFrame:
+def _positions(rows: DataFrame, keys: list[str], ties: list[str], pieces: int | None) -> DataFrame:
     """Newest-first position per key."""
     order = [desc("created_at"), *(asc(name) for name in ties)]
-    days = rows.withColumn("_day", day_number("created_at"))
-    return running_totals(days, keys, desc("_day"), order, row_no="position", heavy_rows=heavy_rows, heavy=heavy).drop("_day")
+    return running_totals(rows, keys, order, row_no="position", pieces=pieces)
 
 
-def account_month_items(t, as_of: dt.date, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def account_month_items(t, as_of: dt.date, part_size: int = PART_SIZE, pieces: int | None = None) -> DataFrame:
     """The month's live purchases per member, newest first, as nested parts; names and icons are joined after sorting."""
     rows = month_rows(t.entries, as_of).where(live()).select(
         "id", "user_id", "product_id", "quantity", "total", "created_at"
     )
     icons = t.products.select(F.col("id").alias("product_id"), "icon_data_url")
     labels = product_labels(t).join(icons, "product_id")
-    labelled = _positions(rows, ["user_id"], ["id"], heavy_rows).join(labels, "product_id")
+    labelled = _positions(rows, ["user_id"], ["id"], pieces).join(labels, "product_id")
     return parts(labelled, ["user_id"], "position", ITEM_FIELDS, part_size)
 
 
@@ -98,11 +96,11 @@ def user_month_detail(t, as_of: dt.date) -> DataFrame:
 
 
 def _ledger_totals(t) -> DataFrame:
-    """Rows over all three ledgers and balance of every member, from one aggregate."""
+    """Balance of every member over all three ledgers, from one aggregate."""
     rows = t.entries.select("user_id", F.when(live(), -F.col("total")).cast(AMOUNT).alias("amount"))
     for ledger in (t.payments, t.adjustments):
         rows = rows.unionByName(ledger.select("user_id", F.col("amount").cast(AMOUNT).alias("amount")))
-    return rows.groupBy("user_id").agg(F.count("*").alias("_rows"), money_sum("amount").alias("balance"))
+    return rows.groupBy("user_id").agg(money_sum("amount").alias("balance"))
 
 
 def _list_rows(t) -> DataFrame:
@@ -126,16 +124,13 @@ def _list_rows(t) -> DataFrame:
     return bought.unionByName(others)
 
 
-def account_document(t, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def account_document(t, part_size: int = PART_SIZE, pieces: int | None = None) -> DataFrame:
     """One document per member with the full history, in parts.
 
     Purchases include deleted ones, flagged; movements leave them out. Missing lists are empty. The rows of all lists
     are numbered together, per member and list, and gathered in one aggregate with the member's head as a further row.
     """
-    totals = stage(_ledger_totals(t), "ledger-totals")
-    names = F.array(*(F.lit(name) for name in LISTS))
-    heavy = heavy_keys(totals, ["user_id"], heavy_rows).select("user_id", F.explode(names).alias("list"))
-    numbered = _positions(_list_rows(t), ["user_id", "list"], ["kind", "id"], heavy_rows, heavy)
+    numbered = _positions(_list_rows(t), ["user_id", "list"], ["kind", "id"], pieces)
     bought = F.col("kind") == "entry"
     labelled = with_product(numbered, t).withColumns({
         "total": F.col("amount"), "type_label": type_label(), "title": F.when(bought, F.col("product_name")).otherwise(type_label()),
@@ -147,7 +142,7 @@ def account_document(t, part_size: int = PART_SIZE, heavy_rows: int = HEAVY_ROWS
         "user_id", "part_no", *(F.when(F.col("list") == name, F.struct("position", *fields)).alias(name) for name, fields in LISTS.items()),
     )
     members = t.users.select(F.col("id").alias("user_id"), "user_key", "name", "role", "active")
-    head = members.join(totals, "user_id", "left").select(
+    head = members.join(_ledger_totals(t), "user_id", "left").select(
         "user_id", F.lit(0).alias("part_no"),
         F.struct("user_key", "name", "role", "active", or_zero("balance").alias("balance")).alias("user"),
     )

@@ -17,7 +17,7 @@ from tallybook.functions.money import AMOUNT, euro_text, money_sum, or_zero
 from tallybook.functions.months import date_time_text, day_number
 from tallybook.functions.text import NO_CATEGORY
 from tallybook.operators.movements import live, other_movements, with_product
-from tallybook.operators.prefix import HEAVY_ROWS, asc, desc, heavy_keys, running_totals
+from tallybook.operators.prefix import asc, desc, running_totals
 from tallybook.session import stage
 
 # Fixed values.
@@ -34,7 +34,7 @@ DELETED_MARK = " | geloescht"
 # takes day 99 and so comes before its rows.
 _SECTION = 1_000_000_000
 _HEADER_LINES = 6
-_LINE_ORDER = [asc("rank"), desc("created_at"), asc("kind"), asc("id")]
+_LINE_ORDER = [asc("block"), asc("rank"), desc("created_at"), asc("kind"), asc("id")]
 _FIELDS = {
     "user_id": None, "block": "bigint", "rank": "int", "created_at": "timestamp_ntz", "kind": "string",
     "id": "string", "product_id": None, "quantity": "int", "amount": "decimal(10,2)", "label": "string",
@@ -116,13 +116,10 @@ def _sections(t, months: DataFrame) -> DataFrame:
     return members.na.fill(0, ["rows_1", "months_1", "rows_2", "months_2"])
 
 
-def statement_lines(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS, months: DataFrame | None = None) -> DataFrame:
+def statement_lines(t, as_of: dt.datetime, pieces: int | None = None, months: DataFrame | None = None) -> DataFrame:
     """(user_id, line_no, line) for every member; ``as_of`` is the time printed in the header."""
     months = stage(month_counts(t), "statement-months") if months is None else months
-    numbered = running_totals(
-        _body_rows(t, months), ["user_id"], asc("block"), _LINE_ORDER, row_no="line_no", heavy_rows=heavy_rows,
-        heavy=heavy_keys(months, ["user_id"], heavy_rows),
-    )
+    numbered = running_totals(_body_rows(t, months), ["user_id"], _LINE_ORDER, row_no="line_no", pieces=pieces)
     labelled = with_product(numbered, t)
     when = date_time_text("created_at")
     purchase = F.concat_ws(
@@ -153,14 +150,14 @@ def _header(t, as_of: dt.datetime, months: DataFrame) -> DataFrame:
     return lines.select("user_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("col").alias("line"))
 
 
-def statement_pages(t, as_of: dt.datetime, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def statement_pages(t, as_of: dt.datetime, pieces: int | None = None) -> DataFrame:
     """Statement lines with page, line on the page and number of pages ("page i of n").
 
     42 lines fit on the first page and 48 on each later one. The number of lines of a member follows
     from the month counts, so the lines are not counted again.
     """
     months = stage(month_counts(t), "statement-months")
-    lines = statement_lines(t, as_of, heavy_rows, months)
+    lines = statement_lines(t, as_of, pieces, months)
     last = F.lit(_HEADER_LINES + 2)
     for section in (1, 2):
         rows = F.col(f"rows_{section}")
