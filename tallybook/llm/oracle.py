@@ -110,10 +110,85 @@ _NOTICES = """
     select doc_id, whole, coalesce(n_lines, 0) as n_lines, coalesce(licences, '') as licences from documents left join named using (doc_id)
 """
 
+_HOSTS = """
+    with lists as (
+        select doc_id, coalesce(source, '') as host, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+    ), windows as (
+        select doc_id, s, array_to_string(words[s:s + 4], ' ') as w
+        from (select doc_id, words, unnest(range(1, len(words) - 3)) as s from lists where len(words) >= 5)
+    ), often as (
+        select doc_id, w from windows group by all having count(*) > 1
+    ), covered as (
+        select doc_id, count(distinct p) as n_repeat_words
+        from (select doc_id, unnest(range(s, s + 5)) as p from windows semi join often using (doc_id, w)) group by doc_id
+    ), lines as (
+        select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+        from (select doc_id, unnest(string_split(body, chr(10))) as line from lists) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id
+    ), measured as (
+        select doc_id, host, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+            cast(len(regexp_extract_all(body, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+            coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines
+        from lists left join covered using (doc_id) left join lines using (doc_id)
+    ), failures as (
+        select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measured
+    ), by_rule as (
+        select host, rule, count(*) as n, sum(cast(failed as int)) as k
+        from (select host, unnest(['base', 'symbols', 'lines', 'lengths']) as rule,
+            unnest([base_failed, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 30 * n_lines, word_chars < 2 * n_words or word_chars > 12 * n_words]) as failed from failures)
+        group by host, rule
+    ), totals as (
+        select rule, count(*) as h, sum(n) as sn, sum(n * n) as snn, sum(k) as sk, sum(cast(k as double) * k / n) as skk, cast(sum(k) as double) / sum(n) as rate from by_rule group by rule
+    ), priors as (
+        select rule, rate, coalesce(least(1, greatest(0, (skk - sk * rate - (h - 1) * rate * (1 - rate)) / nullif(rate * (1 - rate) * (sn - cast(snn as double) / sn - (h - 1)), 0))), 0) as rho
+        from totals
+    ), rejected as (
+        select distinct host from by_rule join priors using (rule) where (rho * k + (1 - rho) * rate) / (rho * n + 1 - rho) > 0.5
+    )
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and host not in (from rejected) as kept, n_lines, host in (from rejected) as host_rejected
+    from failures
+"""
+
+_DIVERGENCE = """
+    with docs as (
+        select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as body from documents
+    ), terms as (
+        select r, lang, source, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs
+    ), kept as (
+        select lang, term, count(*) as lc from terms group by lang, term having count(distinct r) >= 10
+    ), counts as (
+        select lang, source, term, count(*) as gc from terms semi join kept using (lang, term) group by all
+    ), langs as (
+        select lang, count(*) as v, sum(lc) as n_lang from kept group by lang
+    ), groups as (
+        select * from (select distinct lang, source from docs) left join langs using (lang) left join (select lang, source, sum(gc) as n from counts group by all) using (lang, source)
+    ), rated as (
+        select g.lang, g.source, k.term, coalesce(c.gc, 0) as gc, 1 + (1000000000::hugeint * (coalesce(c.gc, 0) + 2)) // (coalesce(n, 0) + 2 * v) as p,
+            1 + (1000000000::hugeint * (lc + 2)) // (n_lang + 2 * v) as q
+        from groups g join kept k using (lang) left join counts c on g.lang = c.lang and g.source = c.source and k.term = c.term
+    ), pairs as (
+        select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+        from rated a join rated b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+    ), all_pairs as (
+        select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+    ), of_terms as (
+        select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from rated where gc > 0 and p > q
+    ), ranked as (
+        select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from all_pairs
+        union all
+        select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from of_terms qualify rank <= 10
+    )
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked
+"""
+
 ORACLE: dict[str, str] = {
     "op2_url_filter": _URL,
     "op3_exact_dedup": _EXACT,
     "op4_decontaminate": _LEAKS,
     "op6_licences": _NOTICES,
     "op10_substring_dedup": _WINDOWS,
+    "op11_host_rules": _HOSTS,
+    "op13_source_divergence": _DIVERGENCE,
 }

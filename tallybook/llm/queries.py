@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.common import read_table
 from tallybook.llm.decontaminate import decontaminate
+from tallybook.llm.divergence import source_divergence
 from tallybook.llm.exact_dedup import exact_dedup
+from tallybook.llm.host_rules import judge_documents
 from tallybook.llm.html_extract import extract
 from tallybook.llm.licences import known_licences, scan_licences
 from tallybook.llm.mixing import mix_sources
@@ -64,10 +66,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_exact_dedup, op4_decontaminate, op5_quality, op6_licences, op7_simhash, op8_suffix_dedup, op9_html_text,
-        op10_substring_dedup,
+        op10_substring_dedup, op11_host_rules, op13_source_divergence,
     )
 }

@@ -206,4 +206,4 @@ def test_pipeline_against_plain_stages(spark):
 
 
 def test_registered_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
