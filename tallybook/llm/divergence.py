@@ -37,6 +37,7 @@ HELD_ROWS = 1 << 18  # counted terms that a task holds before it hands them on
 SCALE = 1_000_000_000
 _LETTER = byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 _KEYS = ["lang", "source", "term"]
+_SUMS = "lang string, source string, item string, value long, summed long, terms long, neither long"
 
 
 def _chunk_counts(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, source: pa.Array) -> pa.Table:
@@ -140,7 +141,11 @@ def ranked_terms(counted: Counted, top: int = TOP_TERMS) -> DataFrame:
 
 
 def _pair_sums(table: pa.Table, tile_sources: int) -> pa.Table:
-    """Sums over one block of terms for the pairs of two tiles of sources; a row without a term names a source."""
+    """Sums over one block of terms for the pairs of two tiles of sources; a row without a term names a source.
+
+    Terms that none of these sources has are not among the rows: with each pair comes the number of terms summed, the
+    number of all terms and the value of a term in neither source.
+    """
     sources = table.filter(pc.is_null(table["term"])).sort_by("place").to_pydict()
     found = table.filter(pc.is_valid(table["term"]))
     place = np.array(sources["place"], np.int64)
@@ -151,8 +156,9 @@ def _pair_sums(table: pa.Table, tile_sources: int) -> pa.Table:
     counts[code, np.searchsorted(place, found["place"].to_numpy())] = found["n"].to_numpy()
     total = np.array([n + 2 * v for n, v in zip(sources["total"], sources["v"], strict=True)], kind)
     rates = 1 + SCALE * (counts + 2) // np.maximum(total, 1)
+    absent = 1 + SCALE * 2 // np.maximum(total, 1)
     tile = place // tile_sources
-    out: dict[str, list] = {"lang": [], "source": [], "item": [], "value": []}
+    out: dict[str, list] = {"lang": [], "source": [], "item": [], "value": [], "summed": [], "terms": [], "neither": []}
     for i in range(len(place)):
         others = np.arange(i + 1, len(place))
         if tile[0] != tile[-1]:  # two tiles: pairs within one of them are another task's
@@ -163,7 +169,10 @@ def _pair_sums(table: pa.Table, tile_sources: int) -> pa.Table:
         out["source"] += [sources["source"][i]] * len(others)
         out["item"] += [sources["source"][j] for j in others]
         out["value"] += [int(x) for x in sums]
-    return pa.table(out, pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())]))
+        out["summed"] += [len(counts)] * len(others)
+        out["terms"] += [sources["v"][i]] * len(others)
+        out["neither"] += [int(x) for x in (absent[i] - absent[others]) ** 2 // (absent[i] + absent[others])]
+    return pa.table(out, pa.schema([(c, pa.string() if c in ("lang", "source", "item") else pa.int64()) for c in out]))
 
 
 def ranked_pairs(counted: Counted, block_terms: int = BLOCK_TERMS, tile_sources: int = TILE_SOURCES) -> DataFrame:
@@ -179,8 +188,9 @@ def ranked_pairs(counted: Counted, block_terms: int = BLOCK_TERMS, tile_sources:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "tiles")))
     # with several tiles, a tile alone is the pair of the tile with itself
     rows = rows.withColumns({"low": F.least(own, "other"), "high": F.greatest(own, "other")}).drop("tiles", "other")
-    sums = rows.groupBy("lang", "block", "low", "high").applyInArrow(lambda table: _pair_sums(table, tile_sources), "lang string, source string, item string, value long")
-    pairs = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    sums = rows.groupBy("lang", "block", "low", "high").applyInArrow(lambda table: _pair_sums(table, tile_sources), _SUMS)
+    unseen = (F.max("terms") - F.sum("summed")) * F.max("neither")
+    pairs = sums.groupBy("lang", "source", "item").agg((F.sum("value") + unseen).alias("value"))
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("pair")
     pairs = pairs.select("lang", both, "value").select("lang", "pair.source", "pair.item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
