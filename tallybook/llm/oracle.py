@@ -183,6 +183,46 @@ _DIVERGENCE = """
     select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked
 """
 
+# crc32 bit by bit: every character enters with its first bit
+_TRIE = """
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+    ), numbered as (
+        select conv_id, role, text, row_number() over (
+            partition by conv_id order by turn nulls first, substr(sha256(length(role) || ':' || role || text), 1, 32)) as place from turns
+    ), owned as (
+        select conv_id, count(*) as own, (xor(list_reduce(list_prepend(4294967295::bigint,
+            flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: [ord(ch)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1))), 4294967295)) % 6 as h
+        from numbered group by conv_id
+    ), convs as (
+        select c.conv_id, c.h, c.conv_id - c.conv_id % 100 as base, least(c.h, coalesce(b.own, 0)) as given from owned c left join owned b on b.conv_id = c.conv_id - c.conv_id % 100
+    ), rebuilt as (
+        select conv_id, given + place - h as depth, role, text from convs join numbered using (conv_id) where place > h
+        union all select c.conv_id, place, role, text from convs c join numbered n on n.conv_id = base where place <= given
+    ), paths as (
+        select conv_id, depth, length(text) as chars,
+            string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by depth) as key from rebuilt
+        union all select conv_id, 0, 0, '' from convs
+    ), linked as (
+        select *, lag(key) over (partition by conv_id order by depth) as parent, depth = max(depth) over (partition by conv_id) as ends from paths
+    ), nodes as (
+        select depth, key, min(conv_id) as conv_id, count(*) as n_convs, min(chars) as chars, min(parent) as parent,
+            coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as listed from linked group by depth, key
+    ), children as (
+        select depth - 1 as depth, parent as key, count(*) as n_children from nodes where depth > 0 group by all
+    ), counted as (
+        select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (depth, key)
+    ), under as (
+        select distinct a.depth, a.key, b.depth as low, b.key as below from paths a join paths b on a.conv_id = b.conv_id and b.depth >= a.depth
+    ), sums as (
+        select u.depth, u.key, count(*) filter (n_children = 0) as n_leaves, cast(sum((n_convs - 1) * chars) as bigint) as saved_tokens
+        from under u join counted c on c.depth = low and c.key = below group by u.depth, u.key
+    )
+    select cast(c.conv_id as bigint) as conv_id, cast(c.depth as bigint) as depth, cast(p.conv_id as bigint) as parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(c.listed) as ends_sha256
+    from counted c join sums using (depth, key) left join nodes p on p.depth = c.depth - 1 and p.key = c.parent
+"""
+
 ORACLE: dict[str, str] = {
     "op2_url_filter": _URL,
     "op3_exact_dedup": _EXACT,
@@ -190,5 +230,6 @@ ORACLE: dict[str, str] = {
     "op6_licences": _NOTICES,
     "op10_substring_dedup": _WINDOWS,
     "op11_host_rules": _HOSTS,
+    "op12_conversation_trie": _TRIE,
     "op13_source_divergence": _DIVERGENCE,
 }

@@ -14,6 +14,7 @@ from tallybook.llm.host_rules import judge_documents
 from tallybook.llm.html_extract import extract
 from tallybook.llm.licences import known_licences, scan_licences
 from tallybook.llm.mixing import mix_sources
+from tallybook.llm.prefix_trie import conversation_trie
 from tallybook.llm.quality import quality_scores
 from tallybook.llm.simhash import simhash_dedup
 from tallybook.llm.substring_dedup import substring_dedup
@@ -70,6 +71,10 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_exact_dedup, op4_decontaminate, op5_quality, op6_licences, op7_simhash, op8_suffix_dedup, op9_html_text,
-        op10_substring_dedup, op11_host_rules, op13_source_divergence,
+        op10_substring_dedup, op11_host_rules, op12_conversation_trie, op13_source_divergence,
     )
 }
