@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.operators.prefix import asc, running_totals
 from tallybook.session import configure, stage
 
 CHUNK_BYTES = 1 << 20  # texts are handled in groups of about this size, so that arrays stay small
@@ -41,6 +42,21 @@ def keyed(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` and ``copy``: 0 where the id is one row's alone, else the number of the text under its id.
+
+    Rows that repeat an id and its text have the same number. With no repeated id this costs one count per id.
+    """
+    several = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")), "repeated-ids")
+    none = F.lit(0).cast("long")
+    if several.isEmpty():
+        return docs.withColumn("copy", none)
+    marked = docs.join(several, "doc_id", "left").withColumn("digest", F.when(F.col("several"), F.sha2("text", 256)))
+    numbers = running_totals(marked.where("several").select("doc_id", "digest").distinct(), ["doc_id"], [asc("digest")], row_no="copy")
+    found = marked.join(numbers, ["doc_id", "digest"], "left")
+    return stage(found.select("doc_id", "text", F.coalesce("copy", none).alias("copy")), "numbered")
+
+
 def original_id(column: str = "doc_id") -> Column:
     """The id as it was before ``keyed``."""
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)

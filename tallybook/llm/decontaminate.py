@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import LOWER, NO_ID, bitmap, byte_class, chunks, in_bitmap, join_texts, keyed, original_id, run_hashes, span_hashes, word_spans
+from tallybook.llm.common import LOWER, NO_ID, bitmap, byte_class, chunks, in_bitmap, join_texts, keyed, numbered, original_id, run_hashes, span_hashes, word_spans
 from tallybook.session import stage
 
 WORD = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+TEXT = ["doc_id", "copy"]  # the key of a row
 SHINGLE = 3  # words in a shingle; a window of fewer words is one shingle
 FILTER_BITS = 22  # size of the bitmap of benchmark shingles, fixed
 
@@ -72,7 +73,7 @@ def shingle_counts(docs: DataFrame, known: np.ndarray, longest: int) -> DataFram
 
 
 def document_hits(docs: DataFrame, known: np.ndarray, longest: int, window: int) -> DataFrame:
-    """(doc_id, n_words, hits): where prefix shingles may occur, with the words around that a window can reach."""
+    """(doc_id, copy, n_words, hits): where prefix shingles may occur, with the words around that a window can reach."""
     table = docs.sparkSession.sparkContext.broadcast(known)
     hit = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("begin", pa.int32()), ("around", pa.string())])
 
@@ -91,14 +92,14 @@ def document_hits(docs: DataFrame, known: np.ndarray, longest: int, window: int)
                         a, b = max(first[row], i - window + 1), min(first[row + 1], i + window)
                         around = " ".join(text[s:e].decode() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
                         hits[chunk.rows[row]].append({"h": hashes[i].astype(np.int64), "at": i - first[row], "begin": a - first[row], "around": around})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(hits, pa.list_(hit))], ["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(counts), pa.array(hits, pa.list_(hit))], ["doc_id", "copy", "n_words", "hits"])
 
-    kind = "doc_id long, n_words long, hits array<struct<h: long, at: int, begin: int, around: string>>"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    kind = "doc_id long, copy long, n_words long, hits array<struct<h: long, at: int, begin: int, around: string>>"
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, kind)
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Word counts (doc_id, n_words) and all occurrences (doc_id, item_id, start, n) of item windows.
+    """Word counts (doc_id, copy, n_words) and all occurrences (doc_id, copy, item_id, start, n) of item windows.
 
     Containment is exact, so the prefix of a window is one shingle: the one that is rarest in all documents. A window
     with a shingle that no document has is dropped there. Candidates must fit before and behind the shingle within
@@ -113,11 +114,11 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[Da
     prefix = rated.groupBy("item_id", "words", F.col("n").alias("size")).agg(F.min(F.struct("count", "h", "at")).alias("rarest")).filter("rarest.count > 0")
     prefix = stage(prefix.select("item_id", "words", "size", "rarest.h", F.col("rarest.at").alias("offset")), "prefix")
     hits = stage(document_hits(docs, bitmap(prefix.select("h").distinct(), FILTER_BITS), longest, window), "hits")
-    found = hits.filter(F.size("hits") > 0).select("doc_id", "n_words", F.explode("hits").alias("hit")).select("doc_id", "n_words", "hit.*")
+    found = hits.filter(F.size("hits") > 0).select(*TEXT, "n_words", F.explode("hits").alias("hit")).select(*TEXT, "n_words", "hit.*")
     start = F.col("at") - F.col("offset")
     fits = found.join(prefix, "h").withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
     text = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("begin") + 1, F.col("size")), " ")
-    return hits.select("doc_id", "n_words"), fits.filter(text == F.col("words")).select("doc_id", "item_id", "start", F.col("size").alias("n"))
+    return hits.select(*TEXT, "n_words"), fits.filter(text == F.col("words")).select(*TEXT, "item_id", "start", F.col("size").alias("n"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -126,21 +127,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     Words are runs of 0-9, a-z (A-Z lower-cased) and all characters beyond ASCII. An item window is ``window``
     consecutive words, or all words of a shorter item; a document word inside any occurrence is hit. A null text has
     no words; an item without words has no window. Null ids count as one id of their own and print as an empty
-    string in items_sha256. Repeated rows get the same result. Other columns are ignored.
+    string in items_sha256. Rows that share an id or have none are judged by their own texts. Other columns are ignored.
     """
-    docs, items = keyed(documents), keyed(benchmark, "item_id")
+    docs, items = numbered(keyed(documents)), keyed(benchmark, "item_id")
     words, found = occurrences(docs, items, window)
     found = stage(found, "occurrences")
     name = F.when(F.col("item_id") == NO_ID, F.lit("")).otherwise(F.col("item_id").cast("string"))
-    named = found.groupBy("doc_id").agg(F.collect_set(name).alias("items"))
+    named = found.groupBy(*TEXT).agg(F.collect_set(name).alias("items"))
     # words hit: each interval counts from where the earlier ones end
-    order = Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*TEXT).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.col("start") + F.col("n")).over(order), F.lit(0))
-    spans = found.select("doc_id", "start", "n").distinct()
+    spans = found.select(*TEXT, "start", "n").distinct()
     spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", reach)))
-    hit = spans.groupBy("doc_id").agg(F.sum("new").cast("long").alias("n_hit"))
-    per_document = named.join(hit, "doc_id")
-    joined = words.join(per_document, "doc_id", "left")
+    hit = spans.groupBy(*TEXT).agg(F.sum("new").cast("long").alias("n_hit"))
+    per_document = named.join(hit, TEXT)
+    joined = words.join(per_document, TEXT, "left")
     listed = F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit(""))
     return joined.select(
         original_id(), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),

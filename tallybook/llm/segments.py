@@ -21,6 +21,7 @@ SLICE_BITS = 18  # bits of the bitmap in each bucket
 FLUSH_KEYS = 4 << 20
 HOT_LEAST = 64  # a minimiser is hot if it makes up 1 / HOT_SHARE of the keys that a task sends, and this many at least
 HOT_SHARE = 1024
+PLACE_BITS = 31  # a text has fewer tokens
 HOT_KEYS = 16  # hot minimisers that a bucket names, the most frequent ones; the others go the ordinary way
 SALTS = 1024
 COUNTED = np.dtype([("key", "<u4"), ("count", "<u4")])
@@ -197,13 +198,14 @@ def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int,
     """(key, salt, body, doc_id, first): each run with a repeated minimiser as one string, for the bucket of its key.
 
     The key is 4 bytes of the minimiser's hash: minimisers that share them only share a bucket. Windows of a hot
-    minimiser go by a longer one and are dealt out by a salt above zero; all others have salt zero.
+    minimiser go by a longer one and are dealt out by a salt above zero; all others have salt zero. Texts under one id
+    keep apart by their places: those of the n-th begin at n times 2^31.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, copies = batch.column("doc_id").to_numpy(), batch.column("copy").to_numpy()
             for chunk in chunks(batch.column("text")):
                 values, offsets, body = tokens(chunk)
                 runs, _ = window_runs(values, offsets, window, length)
@@ -214,8 +216,9 @@ def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int,
                 rarer = rarer_runs(values, Runs(*(x[hot] for x in runs)), window)
                 salted = np.arange(len(plain.key) + len(rarer.key)) >= len(plain.key)
                 runs = Runs(*(np.concatenate(x) for x in zip(plain, rarer, strict=True)))
-                owners = ids[np.asarray(chunk.rows)[runs.owner]]
-                first = runs.first - offsets[runs.owner]
+                rows = np.asarray(chunk.rows)[runs.owner]
+                owners = ids[rows]
+                first = runs.first - offsets[runs.owner] + (copies[rows] << PLACE_BITS)
                 spread = mix(owners.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)) % np.uint64(SALTS) + np.uint64(1)
                 salt = np.where(salted, spread, np.uint64(0)).astype(np.int32)
                 bodies = [body(a, b) for a, b in zip(runs.first.tolist(), runs.end.tolist(), strict=True)]
@@ -223,7 +226,7 @@ def travelling_runs(docs: DataFrame, tokens: Callable, window: int, length: int,
                 columns = [pa.array(key), pa.array(salt), pa.array(bodies, pa.binary()), pa.array(owners), pa.array(first)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "salt", "body", "doc_id", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key int, salt int, body binary, doc_id long, first long")
+    return docs.select("doc_id", "text", "copy").mapInArrow(run, "key int, salt int, body binary, doc_id long, first long")
 
 
 class Bodies(NamedTuple):
@@ -338,15 +341,15 @@ def all_spans(runs: DataFrame, decide: Callable, size_of: Callable, size: Column
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): the texts compressed, for a join that has to send them."""
+    """(doc_id, copy, packed): the texts compressed, for a join that has to send them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = [press.compress(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(packed, pa.binary())], ["doc_id", "copy", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, packed binary")
 
 
 def unpacked(packed: pa.Array) -> pa.Array:
@@ -355,8 +358,10 @@ def unpacked(packed: pa.Array) -> pa.Array:
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans): the sorted spans of each text; a text's spans are no more than its tokens."""
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("spans"))
+    """(doc_id, copy, spans): the sorted spans of each text; a text's spans are no more than its tokens."""
+    place = F.col("first").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("first")
+    texts = spans.select("doc_id", F.shiftright("first", PLACE_BITS).alias("copy"), place, "size")
+    return texts.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("spans"))
 
 
 def covered(spans: list[dict] | None, size: int) -> np.ndarray:

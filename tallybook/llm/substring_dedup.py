@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import NOT_SPACE, Chunk, chunks, keyed, original_id, run_hashes, span_hashes, word_spans
+from tallybook.llm.common import NOT_SPACE, Chunk, chunks, keyed, numbered, original_id, run_hashes, span_hashes, word_spans
 from tallybook.llm.segments import (
     Bodies, all_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, travelling_runs, unpacked,
 )
@@ -106,10 +106,10 @@ def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = S
 
     Words are runs of other than white space (space, U+0009 to U+000D). Every word is removed that is covered by
     ``window`` consecutive words of one document whose sequence also starts anywhere else, also in the same document.
-    A null text has no words; texts shorter than a window keep all. doc_id names a text: rows that repeat an id with
-    the same text are copies of each other, a null doc_id is an id of its own. Other columns are ignored.
+    A null text has no words; texts shorter than a window keep all. Every row is a text of its own, also where rows
+    share an id or have none. Other columns are ignored.
     """
-    docs = keyed(documents)
+    docs = numbered(keyed(documents))
     spans = merged_spans(repeated_spans(docs, window, shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +129,6 @@ def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = S
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = packed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+    joined = packed_texts(docs).join(spans, ["doc_id", "copy"], "left").select("doc_id", "packed", "spans")
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.withColumn("doc_id", original_id())

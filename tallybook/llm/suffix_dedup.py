@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import Chunk, chunks, keyed, mix, original_id
+from tallybook.llm.common import Chunk, chunks, keyed, mix, numbered, original_id
 from tallybook.llm.segments import (
     Bodies, all_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, travelling_runs, unpacked,
 )
@@ -188,10 +188,10 @@ def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHAR
 
     A text is its UTF-8 bytes, null the empty text. Every byte is removed that is covered by a ``window``-byte string
     that also starts in a document with a smaller doc_id; a string may begin or end inside a character. Texts shorter
-    than a window keep all. Rows that repeat a doc_id are one document: they keep what they share. A null doc_id is
-    the smallest. Other columns are ignored.
+    than a window keep all. Rows with one doc_id, or with none, are judged one by one; as none of their ids is smaller,
+    they keep what only they share. A null doc_id is the smallest. Other columns are ignored.
     """
-    docs = keyed(documents)
+    docs = numbered(keyed(documents))
     spans = merged_spans(repeated_spans(docs, window, shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +208,6 @@ def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHAR
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = packed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+    joined = packed_texts(docs).join(spans, ["doc_id", "copy"], "left").select("doc_id", "packed", "spans")
     out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumn("doc_id", original_id())

@@ -3,7 +3,7 @@
 import pytest
 
 from tallybook.llm import segments, simhash
-from tallybook.llm.common import keyed, prepare
+from tallybook.llm.common import keyed, numbered, prepare
 from tallybook.llm.decontaminate import decontaminate
 from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.simhash import simhash_dedup
@@ -97,7 +97,7 @@ def test_hot_minimisers_are_dealt_out(docs, texts, rows_of, monkeypatch):
     monkeypatch.setattr(segments, "HOT_LEAST", 3)
     monkeypatch.setattr(segments, "HOT_SHARE", 10_000)
     for tokens, window, gram, count in ((byte_tokens, 50, 16, segments.occurrences_across), (word_tokens, 35, 8, segments.occurrences_anywhere)):
-        rows = keyed(docs)
+        rows = numbered(keyed(docs))
         table = segments.repeated_keys(rows, tokens, window, gram, count)
         assert 0 < len(table.hot) <= segments.HOT_KEYS << segments.BUCKET_BITS
         salted = segments.travelling_runs(rows, tokens, window, gram, table).groupBy("salt").count().collect()
