@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import near_dedup
 from tallybook.llm.common import join_texts, prepare, read_table
 from tallybook.llm.decontaminate import decontaminate
 from tallybook.llm.exact_dedup import exact_dedup, normalised
 from tallybook.llm.mixing import mix_sources, repeat_documents
 from tallybook.llm.quality import quality_scores
+from tallybook.llm.simhash import simhash_dedup
 from tallybook.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,10 +59,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by five-word shingles at a Jaccard similarity of 0.8, the document with the smallest id."""
+    """Of each group of near copies, by fingerprints of four-word shingles that differ in at most four bits, the document
+    with the smallest id; of those without an id, or under one id, the one with the smallest number."""
     prepare(spark)
-    rows = docs.select(*COLUMNS).withColumn("node", near_dedup.node_of(F.col("doc_id").cast("long"), F.col("text")))
-    return join_texts(rows, near_dedup.near_copies(docs), ["node"], "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    return _keep(rows, simhash_dedup(_as_documents(rows), words=4, distance=4).filter("doc_id = component_id"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
