@@ -32,7 +32,7 @@ LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 BLOCK_TERMS = 512  # kept terms in a block of the pair sums
 TILE_SOURCES = 256  # sources whose counts a task holds, twice
-HELD_ROWS = 1 << 18  # counted terms that a task holds before it hands them on
+HELD_ROWS = 1 << 19  # counted terms that a task holds before it hands them on
 
 SCALE = 1_000_000_000
 _LETTER = byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -93,9 +93,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term. Copies are summed where they are read."""
+    """(lang, source, term, n, docs): occurrences, and documents with the term, dealt by language and term.
+
+    A task sums what it reads, so that a term comes at most once from each task and source.
+    """
     found = _named(docs).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return found.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.repartition("lang", "term").groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _rate(count: str, total: str) -> Column:
@@ -111,10 +114,11 @@ class Counted:
     source, place, total, n_lang, v): every group with its place among the language's sources and its sums."""
 
     def __init__(self, docs: DataFrame, least_documents: int = LEAST_DOCUMENTS):
-        counts = stage(term_counts(docs), "term-counts")
-        kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_documents).drop("docs")
-        self.terms = stage(counts.select(*_KEYS, "n").join(kept, ["lang", "term"]), "kept-terms")
+        of_term = Window.partitionBy("lang", "term")  # a row per source; the rows lie where they were dealt
+        found = term_counts(docs).withColumns({"n_lang": F.sum("n").over(of_term), "in_lang": F.sum("docs").over(of_term)})
+        self.terms = stage(found.where(F.col("in_lang") >= least_documents).select(*_KEYS, "n", "n_lang"), "kept-terms")
         totals = self.terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+        kept = self.terms.groupBy("lang", "term").agg(F.max("n_lang").alias("n_lang"))
         langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
         found = _named(docs).select("lang", "source").distinct()
         place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place")
