@@ -38,10 +38,11 @@ class Applied:
 
 @dataclass(frozen=True)
 class Toggled:
-    """Set after a batch of toggles, and toggles of unknown items."""
+    """Set after a batch of toggles, toggles of unknown items, and where a stream keeps them the set's numbers per item."""
 
     state: DataFrame
     rejected: DataFrame
+    counts: DataFrame | None = None
 
 
 def split(batch: DataFrame, reason: Column) -> Applied:

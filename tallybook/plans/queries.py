@@ -91,9 +91,16 @@ def _stream_bookings(t: BoundTables) -> DataFrame:
     return jobs.stream_bookings(movement, balance.account_balance(t), fresh_dir(t.spark, "stream-bookings"))
 
 
-def _stream_toggles(t: BoundTables, parents: DataFrame) -> changes.Toggled:
+def _with_strays(toggles: DataFrame, t: BoundTables, stream: bool = False) -> DataFrame:
+    """Toggles and, from other events, some of items that were never posted (negative ids)."""
+    strays = t.events("view", stream=stream).selectExpr("-1 - k as item", "user_id", "ts as created_at")
+    return toggles.unionByName(strays.withColumnRenamed("item", toggles.columns[0]))
+
+
+def _stream_toggles(t: BoundTables, strays: bool = False) -> changes.Toggled:
     source = t.events("click", stream=True).selectExpr("k as news_id", "user_id", "ts as created_at")
-    return jobs.stream_toggles(source, "news_id", parents, fresh_dir(t.spark, "stream-toggles"))
+    source = _with_strays(source, t, stream=True) if strays else source
+    return jobs.stream_toggles(source, "news_id", t.news, fresh_dir(t.spark, "stream-toggles"))
 
 
 def _stream_unread(t: BoundTables) -> DataFrame:
@@ -111,11 +118,6 @@ def _deactivated(t: BoundTables) -> changes.Applied:
     return changes.deactivate_users(t.users, requests, balance.account_balance(t), EVENT_ORDER)
 
 
-def _few(frame: DataFrame) -> DataFrame:
-    """Every other post: the rest counts as unknown."""
-    return frame.where("id % 2 = 0")
-
-
 QUERIES: dict[str, Query] = {
     **{f"scan_{table}": _scan(table) for table in SCHEMAS},
     "setting_value": catalog.setting_value,
@@ -216,7 +218,7 @@ QUERIES: dict[str, Query] = {
     "clean_setting_changes_rejected": lambda t: changes.clean_setting_changes(t.setting_changes).rejected,
     "toggle_state": lambda t: t.news_likes,
     "toggle_state_rejected": lambda t: changes.toggle_state(
-        t.vote_toggles, "suggestion_id", _few(t.suggestions)
+        _with_strays(t.vote_toggles, t), "suggestion_id", t.suggestions
     ).rejected,
     "set_status": lambda t: _columns(_status(t).accepted, "id", "title", "status", "updated_at"),
     "set_status_rejected": lambda t: _columns(_status(t).rejected, "id", "event_id", "status", "reason"),
@@ -231,8 +233,9 @@ QUERIES: dict[str, Query] = {
     "schema_evolution": lambda t: changes.evolve_products(t.first_version_products, t.categories),
     "stream_bookings": _stream_bookings,
     "stream_bookings_rejected": lambda t: jobs.stream_rows(_booking_stream(t).rejected, fresh_dir(t.spark, "stream-rejected")),
-    "stream_toggles": lambda t: _stream_toggles(t, t.news).state,
-    "stream_toggles_rejected": lambda t: _stream_toggles(t, _few(t.news)).rejected,
+    "stream_toggles": lambda t: _stream_toggles(t).state,
+    "stream_toggles_rejected": lambda t: _stream_toggles(t, strays=True).rejected,
+    "stream_toggles_counts": lambda t: _stream_toggles(t).counts,
     "deactivate_users": lambda t: _columns(_deactivated(t).accepted, "id", "role", "active", "updated_at"),
     "deactivate_users_rejected": lambda t: _columns(_deactivated(t).rejected, "id", "event_id", "reason"),
     "deactivate_products": lambda t: _columns(

@@ -68,8 +68,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path, none if it is not there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(found) if f.isDirectory()) if system.exists(found) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete the staged folders of this process; call it when the results that read them are done with."""
     while _staged:
-        found = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        delete(spark, _staged.pop())

@@ -2,9 +2,11 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.operators import balance, changes, community, movements
-from tallybook.session import fresh_dir
+from tallybook.session import folders, fresh_dir
+from tallybook.streaming import jobs
 from tallybook.streaming.jobs import stream_bookings, stream_rows, stream_toggles, stream_unread
 
 
@@ -78,6 +80,65 @@ def test_toggles(spark, bound, files):
         assert got.exceptAll(want.select(*got.columns)).isEmpty()
 
 
+def test_replayed_bookings_count_once(spark, bound):
+    """The same movements again, in their own batch and in a later one; one member has all rows of a batch."""
+    log = movements.booked_movements(bound).where("user_id % 5 = 2").withColumn("user_id", F.lit(2).cast(bound.users.schema["id"].dataType))
+    zero = bound.users.select(F.col("id").alias("user_id"), F.lit(0).cast("decimal(28,2)").alias("balance"))
+    home = fresh_dir(spark, "bookings")
+    source = Source(spark, log, "created_at, kind, id", 2)
+    stream_bookings(source.add(1), zero, home)
+    source.sliced.where("_slice = 1").drop("_slice").unionByName(source.sliced.drop("_slice")).coalesce(1).write.mode("append").parquet(source.path)
+    stream_bookings(source.stream(), zero, home)
+    source.sliced.drop("_slice").coalesce(1).write.mode("append").parquet(source.path)
+    result = stream_bookings(source.stream(), zero, home)
+    assert result.count() == result.select("kind", "id").distinct().count() == log.count() > 500
+    last = result.agg(F.max_by("balance", F.struct("created_at", "kind", "id"))).first()[0]
+    assert last == log.agg(F.sum("amount")).first()[0]
+
+
+def test_kept_tables_are_put_together(spark, monkeypatch):
+    """Whole tables every few batches, and a batch that is tried again, give the last row of every key."""
+    monkeypatch.setattr(jobs, "WHOLE_EVERY", 3)
+    kept = jobs.Kept(spark, fresh_dir(spark, "kept"), T.StructType().add("k", "long").add("v", "long"), ["k"])
+    assert kept.rows().isEmpty()
+    for n in range(8):
+        for _ in range(2):
+            assert {r.k: r.v for r in kept.rows(n).collect()} == {k: max(m for m in range(n) if k in (m % 3, 7)) for k in (0, 1, 2, 7) if any(k in (m % 3, 7) for m in range(n))}
+            kept.put(spark.createDataFrame([(n % 3, n), (7, n)], kept.schema), n)
+    assert {name for name in folders(spark, kept.path) if name.startswith("whole")} == {"whole=2", "whole=5"}
+
+
+def test_numbers_after_every_batch(spark, bound):
+    home = fresh_dir(spark, "toggles")
+    source = Source(spark, bound.like_toggles, "created_at", 3)
+    for _ in range(3):
+        got = stream_toggles(source.add(1), "news_id", bound.news, home)
+        so_far = source.sliced.where(F.col("_slice") <= source.at).drop("_slice")
+        expected = changes.toggle_state(so_far, "news_id", bound.news)
+        counted = expected.state.groupBy("news_id").agg(F.count("*").alias("n"))
+        assert got.counts.exceptAll(counted).isEmpty() and counted.count() == got.counts.count() > 0
+        assert got.state.exceptAll(expected.state.select(*got.state.columns)).isEmpty() and got.state.count() == expected.state.count()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_flags_after_every_batch(spark, bound, batches):
+    reads = bound.read_marks.select(F.lit("read").alias("kind"), "user_id", F.col("last_seen_at").alias("created_at"))
+    posts = bound.news.select(F.lit("news").alias("kind"), F.col("created_by").alias("user_id"), "created_at")
+    members = bound.users.select(F.col("id").alias("user_id"))
+    home = fresh_dir(spark, "unread")
+    source = Source(spark, reads.unionByName(posts), "created_at", batches)
+    steps = range(batches) if batches < 7 else [0, 2, 6]
+    for step in steps:
+        got = stream_unread(source.add(step + 1 - source.at), members, home)
+        so_far = source.sliced.where(F.col("_slice") <= source.at)
+        marks = so_far.where("kind = 'read'").groupBy("user_id").agg(F.max("created_at").alias("last_seen_at"))
+        newest = community.newest_authors(so_far.where("kind = 'news'").select(F.col("user_id").alias("created_by"), "created_at"))
+        expected = community.unread_flags(members, marks, newest)
+        written = spark.read.parquet(f"{home}/out").count()
+        assert got.count() == expected.count() and got.exceptAll(expected).isEmpty()
+    assert written < members.count() * batches or batches == 1
+
+
 @pytest.mark.parametrize("files", [1, 4])
 def test_unread(spark, bound, files):
     reads = bound.read_marks.select(F.lit("read").alias("kind"), "user_id", F.col("last_seen_at").alias("created_at"))
