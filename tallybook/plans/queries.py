@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tallybook.operators import (
     balance, catalog, changes, community, members, movements, profile, revenue, rules, statement,
 )
+from tallybook.operators import rolled
+from tallybook.operators.evolve import evolve_products
 from tallybook.session import fresh_dir
 from tallybook.sources.bind import AS_OF, BoundTables, post_time
+from tallybook.sources.rollups import close_months, touched_months
 from tallybook.sources.schemas import SCHEMAS
 from tallybook.streaming import jobs
 
@@ -118,6 +121,14 @@ def _deactivated(t: BoundTables) -> changes.Applied:
     return changes.deactivate_users(t.users, requests, balance.account_balance(t), EVENT_ORDER)
 
 
+def _closed(t: BoundTables) -> str:
+    """A folder in which every month of the ledgers before the current one is closed."""
+    times = t.entries.select("created_at").unionByName(t.payments.select("created_at")).unionByName(t.adjustments.select("created_at"))
+    root = fresh_dir(t.spark, "closed")
+    close_months(t, root, [month for month in touched_months(times) if month < AS_OF.replace(day=1)])
+    return root
+
+
 QUERIES: dict[str, Query] = {
     **{f"scan_{table}": _scan(table) for table in SCHEMAS},
     "setting_value": catalog.setting_value,
@@ -230,7 +241,7 @@ QUERIES: dict[str, Query] = {
     "add_comments_rejected": lambda t: _columns(_comment_posts(t).rejected, "id", "news_id", "reason"),
     "moderate_comments": lambda t: _columns(_moderated(t).accepted, "id", "news_id", "user_id", "created_at"),
     "moderate_comments_rejected": lambda t: _moderated(t).rejected,
-    "schema_evolution": lambda t: changes.evolve_products(t.first_version_products, t.categories),
+    "schema_evolution": lambda t: evolve_products(t.first_version_products, t.categories),
     "stream_bookings": _stream_bookings,
     "stream_bookings_rejected": lambda t: jobs.stream_rows(_booking_stream(t).rejected, fresh_dir(t.spark, "stream-rejected")),
     "stream_toggles": lambda t: _stream_toggles(t).state,
@@ -253,4 +264,6 @@ QUERIES: dict[str, Query] = {
     "recent_payments_last2": lambda t: movements.recent_payments(t, 2),
     "recent_movements_last10": lambda t: movements.recent_movements(t, 10),
     "stream_unread": _stream_unread,
+    "account_balance_closed": lambda t: rolled.account_balance(t, _closed(t)),
+    "revenue_summary_closed": lambda t: rolled.revenue_summary(t, _closed(t), AS_OF),
 }

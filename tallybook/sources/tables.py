@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.months import in_month, month_bounds
+from tallybook.operators.evolve import evolve_products
 from tallybook.session import stage
+from tallybook.sources.rollups import close_months, closed_months, month_of, touched_months
 from tallybook.sources.schemas import MONTHLY, SCHEMAS
 
 
@@ -27,24 +30,42 @@ def read_tables(spark: SparkSession, root: str) -> Tables:
     """All tables under ``root`` with their declared schemas; nothing is inferred."""
     frames = {}
     for name, schema in SCHEMAS.items():
-        if name in MONTHLY:
-            schema = T.StructType([*schema.fields, T.StructField("month", T.DateType())])
-        frames[name] = spark.read.schema(schema).parquet(f"{root}/{name}")
+        frames[name] = _read(spark, root, name, schema)
     return Tables(**frames)
 
 
-def append_ledger(rows: DataFrame, root: str, table: str) -> None:
-    """Append ledger rows, stored by month and sorted by member inside each file.
+def _read(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table with its declared schema; a ledger's month is a column, its batches are not."""
+    if name not in MONTHLY:
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    stored = T.StructType([*schema.fields, T.StructField("month", T.DateType()), T.StructField("batch", T.StringType())])
+    return spark.read.schema(stored).parquet(f"{root}/{name}").drop("batch")
 
-    The rebalance hint lets AQE cut a large month into several files and put small ones together,
-    so neither a month in one task nor a file per task and month results.
+
+def read_products(spark: SparkSession, root: str) -> DataFrame:
+    """Stored products of every version: files without the later columns get them when they are read, filled as new products are."""
+    categories = _read(spark, root, "categories", SCHEMAS["categories"])
+    return evolve_products(_read(spark, root, "products", SCHEMAS["products"]), categories).select(*SCHEMAS["products"].names)
+
+
+def append_ledger(rows: DataFrame, root: str, table: str, batch: str | None = None) -> None:
+    """Append ledger rows, stored by month and batch and sorted by member inside each file.
+
+    ``batch`` names the rows: appending under a name again replaces what the name stands for in the months of the rows,
+    so that a retried job leaves them once. Without a name each call is a batch of its own. The rebalance hint lets AQE
+    cut a large month into several files and put small ones together, so neither a month in one task nor a file per task
+    and month results. Closed months that get rows are closed again.
     """
-    columns = SCHEMAS[table].names
-    stored = rows.select(*columns, F.trunc("created_at", "MM").alias("month"))
+    spark, columns = rows.sparkSession, SCHEMAS[table].names
+    named = F.lit(batch or uuid.uuid4().hex)
+    stored = rows.select(*columns, month_of().alias("month"), named.alias("batch"))
     (
         stored.hint("rebalance", "month").sortWithinPartitions("month", "user_id", "created_at")
-        .write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{root}/{table}")
     )
+    closed = closed_months(spark, root)
+    if closed:
+        close_months(read_tables(spark, root), root, [m for m in touched_months(rows) if m in set(closed)])
 
 
 def write_snapshot(rows: DataFrame, root: str, table: str) -> None:

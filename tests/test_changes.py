@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.operators import balance, changes, rules
+from tallybook.operators.evolve import evolve_products
 from tests.ledger import START, at, by_key, frame, money
 
 ORDER = ["changed_at", "seq"]
@@ -292,9 +293,9 @@ def test_cascade_and_insert_if_absent(spark, ledger):
 def test_schema_evolution_backfills_default_category(spark, ledger):
     old = ledger.products.select("id", "name", "price", "active", "created_at")
     default = frame(spark, "categories", [dict(id="c0", title="Allgemein", active=True)])
-    rows = changes.evolve_products(old, ledger.categories.unionByName(default))
+    rows = evolve_products(old, ledger.categories.unionByName(default))
     assert {r.category_id for r in rows.collect()} == {"c0"}
-    kept = changes.evolve_products(ledger.products, ledger.categories.unionByName(default))
+    kept = evolve_products(ledger.products, ledger.categories.unionByName(default))
     assert by_key(kept, "id", "category_id") == {"p1": "c1", "p2": "c1", "p3": "c2", "p4": "c0", "p5": "c1"}
 
 
