@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.money import AMOUNT, money_sum
 from tallybook.functions.text import pay_handle
 from tallybook.operators import rules as R
+from tallybook.operators.claims import settle
 from tallybook.session import stage
 
 # Fixed values.
@@ -149,37 +150,12 @@ def apply_user_changes(users: DataFrame, changes: DataFrame, order: list[str], s
 
 
 def _settle_keys(users: DataFrame, claims: DataFrame, order: list[str]) -> DataFrame:
-    """The claims with a flag ``_ok``: did nobody else hold the key when the claim was made?
-
-    Who holds a key depends on which earlier claims were valid. The rounds start with all claims valid; each one
-    counts, for every claim, the other members that took its key before and did not give it up. What a round finds
-    for a claim is final once all earlier ones are, so the flags stop changing, and they stop at the one solution.
-    """
-    at = F.struct(*order)
-    claims = claims.withColumn("_at", at)
+    """The claims with a flag ``_ok``: did nobody else hold the key when the claim was made?"""
+    claims = claims.withColumn("_at", F.struct(*order))
     keys, members = claims.select("_key").distinct(), claims.select("id").distinct()
     stored = users.select("id", F.lower("user_key").alias("_key"))
     stored = stored.join(keys, "_key", "left_semi").unionByName(stored.join(members, "id", "left_semi")).distinct()
-    start = stored.select("id", "_key", F.lit(None).cast(claims.schema["_at"].dataType).alias("_at"))
-    flags = stage(claims.select("id", "_key", "_at").distinct().withColumn("_ok", F.lit(True)), "claims")
-    while True:
-        held = flags.where("_ok").select("id", "_key", "_at").unionByName(start)
-        turns = Window.partitionBy("id").orderBy(F.col("_at").asc_nulls_first())
-        given_up = held.select("id", F.lag("_key").over(turns).alias("_key"), "_at").where("_key is not null")
-        events = (
-            start.select("id", "_key", "_at", F.lit(1).alias("_step"), F.lit(None).cast("boolean").alias("_ok"))
-            .unionByName(given_up.select("id", "_key", "_at", F.lit(-1).alias("_step"), F.lit(None).cast("boolean").alias("_ok")))
-            .unionByName(flags.select("id", "_key", "_at", F.col("_ok").cast("int").alias("_step"), "_ok"))
-        )
-        earlier = [F.col("_at").asc_nulls_first(), F.col("_ok").asc_nulls_first()]
-        by_key = Window.partitionBy("_key").orderBy(*earlier).rowsBetween(Window.unboundedPreceding, -1)
-        own = Window.partitionBy("_key", "id").orderBy(*earlier).rowsBetween(Window.unboundedPreceding, -1)
-        others = F.coalesce(F.sum("_step").over(by_key), F.lit(0)) - F.coalesce(F.sum("_step").over(own), F.lit(0))
-        judged = events.withColumn("_now", others == 0).where("_ok is not null")
-        judged = stage(judged.select("id", "_key", "_at", F.col("_ok").alias("_was"), F.col("_now").alias("_ok")), "claims")
-        if judged.where("_was != _ok").isEmpty():
-            return claims.join(judged.select("id", "_key", "_at", "_ok"), ["id", "_key", "_at"])
-        flags = judged.drop("_was")
+    return claims.join(settle(stored, claims), ["id", "_key", "_at"])
 
 
 def deactivate_users(users: DataFrame, requests: DataFrame, balances: DataFrame, order: list[str]) -> Applied:
