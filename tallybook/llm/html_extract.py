@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,12 +18,12 @@ from tallybook.session import stage
 
 # Fixed values of HTML: elements without content, with raw text, that break lines, and that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-BOILERPLATE_TAGS = frozenset("head nav header footer aside form menu button select option input label dialog object audio video canvas".split()) | RAW
+BOILERPLATE_TAGS = frozenset("head nav header footer aside form menu button select option input label dialog object audio video canvas annotation annotation-xml".split()) | RAW
 CONTAINERS = frozenset("main article section div td center blockquote".split())
 # An element closes an open paragraph when it starts; these close an open one of their own kind.
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -35,19 +36,22 @@ BOILERPLATE_WORDS = frozenset(
 LONG_WORDS = frozenset("comment comments consent cookie cookies disclaimer discussion disqus replies reply respond responses".split())
 CONTENT_WORDS = frozenset("article body content entry main page post story text wrapper".split())
 
+# A quote opens a value only right after its equals sign; anywhere else it is a character. Without its end it doesn't count.
+_INSIDE = r"""(?>=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)|[^>])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + rf")(?=[\s/>]){_INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>{_INSIDE})>|<[!?/][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NUMBER = re.compile(r"\d+")
 
 
 class Element(NamedTuple):
     name: str
-    path: str
+    number: int  # among all elements of the page
+    along: int  # how far into the winning path the element's own path leads, -1 off it
     skipped: bool
     container: int  # number of the nearest container, itself included
     mark: int  # number of the marked element that it is in, if that alone makes it skipped, else -1
@@ -84,16 +88,26 @@ class Mark:
 
 
 class Page(NamedTuple):
-    """Containers in the order in which they open: path, parent, own text and skipped text; blocks of text by container;
-    marked elements by number."""
+    """Elements as their parent's number and step of the path; containers in the order in which they open: element, whether on
+    the winning path, parent, own text and skipped text; blocks of text by container; marked elements by number."""
 
-    paths: list[str]
+    elements: list[tuple[int, str]]
+    containers: list[int]
+    winning: list[bool]
     parents: list[int]
     good: list[int]
     bad: list[int]
     blocks: list[tuple[int, str]]
     marks: dict[int, Mark]
 
+    def path(self, container: int) -> str:
+        """Steps from the page to a container. Paths are not kept, as those of deep nesting would take quadratic room."""
+        steps, number = [], self.containers[container]
+        while number:
+            number, step = self.elements[number]
+            steps.append(step)
+        return "".join(f"/{step}" for step in reversed(steps) if step)
+
 
 def parse(source: str, winner: str | None = None) -> Page:
     """A page without its boilerplate. Marked elements are left out, but for those on the winning path and those that
@@ -110,8 +124,9 @@ def parse(source: str, winner: str | None = None) -> Page:
 
 def parse_once(source: str, kept: set[int], winner: str | None) -> Page:
     """One pass over a page's tags. Missing end tags are closed by the end tag of whatever is around them."""
-    page = Page([""], [-1], [0], [0], [], {})
-    stack = [Element("", "", False, 0, -1)]
+    page = Page([(0, "")], [0], [winner == ""], [-1], [0], [0], [], {})
+    stack = [Element("", 0, -1 if winner is None else 0, False, 0, -1)]
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     at_container = 0
     link_depth = 0
@@ -143,11 +158,14 @@ def parse_once(source: str, kept: set[int], winner: str | None) -> Page:
         nonlocal link_depth
         for gone in stack[depth:]:
             link_depth -= gone.name == "a"
+            open_names[gone.name] -= 1
             if gone.name in BLOCKS:
                 flush()
         del stack[depth:]
 
     def opened(name: str, inside: tuple[str, ...]) -> int | None:
+        if not open_names[name]:  # the stack of a badly closed page is long
+            return None
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].name == name:
                 return depth
@@ -190,22 +208,29 @@ def parse_once(source: str, kept: set[int], winner: str | None) -> Page:
                 close(depth)
         top = stack[-1]
         step, skipped, words = _described(name, token["attributes"])
-        path = top.path if name in ("html", "body") else f"{top.path}/{step}"  # both tags may be left out
+        step = "" if name in ("html", "body") else step  # both tags may be left out
+        along = top.along
+        if step and along >= 0:
+            along = along + len(step) + 1 if winner.startswith(f"/{step}", along) and winner[along + len(step) + 1 : along + len(step) + 2] in ("", "/") else -1
+        number = len(page.elements)
+        page.elements.append((top.number, step))
         mark = -1 if skipped else top.mark
         if mark >= 0 and not words and name in ("h1", "main", "article"):
             page.marks[mark].wrapper = True
-        elif words and not skipped and not top.skipped and token.start() not in kept and not f"{winner}/".startswith(f"{path}/"):
+        elif words and not skipped and not top.skipped and token.start() not in kept and along < 0:
             mark, skipped = token.start(), True
             page.marks[mark] = Mark(name, words)
         container = top.container
         if name in CONTAINERS and not skipped and not top.skipped:
-            container = len(page.paths)
-            page.paths.append(path)
+            container = len(page.containers)
+            page.containers.append(number)
+            page.winning.append(winner is not None and along == len(winner))
             page.parents.append(top.container)
             page.good.append(0)
             page.bad.append(0)
         link_depth += name == "a"
-        stack.append(Element(name, path, skipped or top.skipped, container, mark))
+        open_names[name] += 1
+        stack.append(Element(name, number, along, skipped or top.skipped, container, mark))
     if last < len(source):
         rest = source[last:]
         hear(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
@@ -216,17 +241,17 @@ def parse_once(source: str, kept: set[int], winner: str | None) -> Page:
 def best_container(page: Page) -> tuple[int, float]:
     """The container with the most text over twice its skipped text and links, parts of containers included."""
     good, bad = list(page.good), list(page.bad)
-    for child in range(len(page.paths) - 1, 0, -1):
+    for child in range(len(page.containers) - 1, 0, -1):
         good[page.parents[child]] += good[child]
         bad[page.parents[child]] += bad[child]
     # of equal scores the innermost: without a loss of text the tighter container is the better one
-    score, best = max((good[i] - 2 * bad[i], i) for i in range(len(page.paths)))
+    score, best = max((good[i] - 2 * bad[i], i) for i in range(len(page.containers)))
     return best, float(score)
 
 
 def inner_text(page: Page, wanted: set[int]) -> str:
     """All blocks inside the wanted containers, in page order, joined by one space."""
-    inside = [False] * len(page.paths)
+    inside = [False] * len(page.containers)
     for i, parent in enumerate(page.parents):
         inside[i] = i in wanted or parent >= 0 and inside[parent]
     return " ".join(text for container, text in page.blocks if inside[container])
@@ -242,7 +267,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
                 page = parse(text.as_py())
                 best, score = best_container(page)
                 if page.blocks:
-                    hosts.append(host), paths.append(page.paths[best]), scores.append(score)
+                    hosts.append(host), paths.append(page.path(best)), scores.append(score)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
 
     return pages.select("host", "html").mapInArrow(run, "host string, path string, score double")
@@ -275,7 +300,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for source, winner in zip(batch.column("html"), batch.column("winner").to_pylist(), strict=True):
                 page = parse(source.as_py(), winner)
-                wanted = {i for i, path in enumerate(page.paths) if path == winner}
+                wanted = {i for i, on in enumerate(page.winning) if on}
                 texts.append(inner_text(page, wanted or {best_container(page)[0]}))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
