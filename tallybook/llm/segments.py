@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,15 +275,24 @@ def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Cal
             held = sum(map(len, shard.body))
             mark = 0
 
+        def spare() -> None:
+            """With ``across``, forget the open key's strings if one doc_id is the smallest of each: it keeps them all."""
+            nonlocal held
+            if across and len(set(shard.doc_id[mark:])) == 1:
+                held -= sum(map(len, shard.body[mark:]))
+                for x in (*shard, places):
+                    del x[mark:]
+
         for batch in batches:
             salted = batch.column("salt").to_numpy() > 0
             if salted.any():
                 hot, batch = batch.filter(pa.array(salted)), batch.filter(pa.array(~salted))
                 ends = [pa.array(np.full(len(hot), value, kind)) for value, kind in ((HOT, np.int32), (0, np.int64))]
                 yield pa.RecordBatch.from_arrays([ends[0], *(hot.column(n) for n in ("key", "body", "doc_id", "first")), ends[1]], [c.split()[0] for c in SPANS.split(", ")])
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "body", "doc_id", "first")), strict=True):
+            for row in zip(*(batch.column(n).to_numpy(zero_copy_only=False).tolist() for n in ("key", "body", "doc_id", "first")), strict=True):
                 new_key, new_body, doc_id, first = row
                 if new_key != key:
+                    spare()
                     if held > shard_bytes:
                         settle(len(shard.body))
                     key, body, deferring, mark = new_key, None, False, len(shard.body)
@@ -314,6 +324,7 @@ def bucket_spans(runs: DataFrame, decide: Callable[[Bodies], list], size_of: Cal
                         shard.body.append(body), shard.copies.append(1), shard.doc_id.append(doc_id), places.append([(doc_id, first)])
                         held += len(body)
                 yield from emit(20_000)
+        spare()
         settle(len(shard.body))
         yield from emit()
 
@@ -364,12 +375,18 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return texts.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("spans"))
 
 
-def covered(spans: list[dict] | None, size: int) -> np.ndarray:
-    """Flags of the tokens in any span."""
-    steps = np.zeros(size + 1, np.int64)
-    for s in spans or ():
-        steps[min(s["first"], size)] += 1
-        steps[min(s["first"] + s["size"], size)] -= 1
-    return np.cumsum(steps[:size]) > 0
+def span_arrays(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of ``merged_spans`` the firsts and sizes of its spans; a null has none."""
+    begin = column.offsets.to_numpy()[:-1].tolist()
+    count = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    first, size = (column.values.field(n).to_numpy(zero_copy_only=False) for n in ("first", "size"))
+    return [(first[a : a + n], size[a : a + n]) for a, n in zip(begin, count, strict=True)]
 
 
+def covered(spans: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Flags of the tokens in any span."""
+    first, sizes = spans
+    if not len(first):
+        return np.zeros(size, bool)
+    begins, ends = (np.bincount(np.minimum(x, size).astype(np.int64), minlength=size + 1) for x in (first, first + sizes))
+    return np.cumsum(begins - ends)[:size] > 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import NOT_SPACE, Chunk, chunks, keyed, numbered, original_id, run_hashes, span_hashes, word_spans
 from tallybook.llm.segments import (
-    Bodies, all_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, travelling_runs, unpacked,
+    Bodies, all_spans, covered, merged_spans, occurrences_anywhere, packed_texts, repeated_keys, span_arrays, travelling_runs, unpacked,
 )
 from tallybook.llm.simhash import _spaced
 
@@ -115,13 +115,13 @@ def substring_dedup(documents: DataFrame, window: int = 35, shard_bytes: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            spans_of = batch.column("spans")
+            spans_of = span_arrays(batch.column("spans"))
             for chunk in chunks(unpacked(batch.column("packed"))):
                 starts, ends, owner = word_spans(chunk.data, chunk.offsets, NOT_SPACE)
                 text = chunk.data.tobytes()
                 first = np.searchsorted(owner, np.arange(len(chunk.rows) + 1)).tolist()
                 for row, a, b in zip(chunk.rows, first[:-1], first[1:], strict=True):
-                    gone = covered(spans_of[row].as_py(), b - a)
+                    gone = covered(spans_of[row], b - a)
                     left = np.flatnonzero(~gone) + a
                     kept = b" ".join(text[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True))
                     rows.append((b - a, int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import Chunk, chunks, keyed, mix, numbered, original_id
 from tallybook.llm.segments import (
-    Bodies, all_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, travelling_runs, unpacked,
+    Bodies, all_spans, covered, merged_spans, occurrences_across, packed_texts, repeated_keys, span_arrays, travelling_runs, unpacked,
 )
 from tallybook.llm.substring_dedup import same_bytes
 
@@ -116,7 +116,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     while rank.max() + 1 < len(rank) and covers < depth:
         following = np.append(rank[span:] + 1, np.zeros(min(span, len(rank)), np.int64))
         pair = rank * (len(rank) + 1) + following
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)  # equal pairs get one name, whatever their order
         new = np.zeros(len(rank), np.int64)
         new[order[1:]] = np.cumsum(pair[order[1:]] != pair[order[:-1]])
         rank, span, covers = new, 2 * span, 2 * covers
@@ -197,10 +197,10 @@ def suffix_dedup(documents: DataFrame, window: int = 50, shard_bytes: int = SHAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            spans_of = batch.column("spans")
+            spans_of = span_arrays(batch.column("spans"))
             for chunk in chunks(unpacked(batch.column("packed"))):
                 for row, a, b in zip(chunk.rows, chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
-                    gone = covered(spans_of[row].as_py(), b - a)
+                    gone = covered(spans_of[row], b - a)
                     kept = chunk.data[a:b][~gone].tobytes()
                     spans_left = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     rows.append((b - a, int(gone.sum()), spans_left, kept, hashlib.sha256(kept).hexdigest()))

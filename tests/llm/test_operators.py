@@ -1,5 +1,7 @@
 """Operators against plain versions of their definitions."""
 
+import random
+
 import pytest
 
 from tallybook.llm import segments, simhash
@@ -52,8 +54,6 @@ def test_substring_dedup(docs, texts, rows_of, shard_bytes):
 
 def test_links_of_close_fingerprints(spark):
     """Chains of fingerprints a few bits apart, and a dense group, against all pairs."""
-    import random
-
     rng = random.Random(3)
     prints = [0, (1 << 64) - 1, 1 << 63]
     for _ in range(60):
@@ -105,3 +105,13 @@ def test_hot_minimisers_are_dealt_out(docs, texts, rows_of, monkeypatch):
     for shard_bytes in (1 << 20, 60):
         assert rows_of(suffix_dedup(docs, shard_bytes=shard_bytes), *BYTES) == brute.suffixes(texts)
         assert rows_of(substring_dedup(docs, shard_bytes=shard_bytes), *WORDS) == brute.windows(texts)
+
+
+def test_strings_that_one_text_owns(frame, rows_of):
+    """The smallest doc_id keeps what it repeats itself; all others lose it, wherever their rows come."""
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(9, passage), (4, f"{passage}!{passage}"), (6, f"x{passage}{passage[:60]}"), (4, passage), (11, f"{passage[20:]}?{passage}")]
+    got = rows_of(suffix_dedup(frame(rows), shard_bytes=64), *BYTES)
+    assert got == brute.suffixes(rows)
+    assert {r[2] for r in got if r[0] == 4} == {0}
