@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import HANDLE_PATTERN, IMAGE_PATTERN, PAY_KEY
-from tallybook.operators.members import duplicate_user_keys
+from tallybook.operators.members import duplicate_user_keys, shared_keys
 from tallybook.session import stage
 
 # Fixed values.
@@ -197,5 +197,51 @@ def rule_violations(t) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _counters(rules: list[Rule]) -> list[Column]:
+    return [F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in rules]
+
+
+def _listed(table: str, sums: DataFrame) -> DataFrame:
+    """(table_name, rule, rows) from one row with a counter per rule; rules that no row breaks are left out."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).cast("long").alias("rows")) for name in sums.columns))
+    return sums.select(F.inline(pairs)).where("rows > 0").select(F.lit(table).alias("table_name"), "rule", "rows")
+
+
+def _summed(keyed: DataFrame, reference: Reference, t) -> DataFrame:
+    """One row: the sums of all counters over rows with one row per key, and the ``rows`` of keys that the parent lacks.
+
+    Counters are summed per key before they meet the parent, so a key that holds a third of all rows is one row there.
+    """
+    known = getattr(t, reference.parent).select(F.col("id").alias("_id")).distinct()
+    met = keyed.join(known, F.col(reference.column) == F.col("_id"), "left")
+    lost = F.col("_id").isNull() & F.col(reference.column).isNotNull()
+    counters = [F.sum(c).alias(c) for c in keyed.columns if c not in (reference.column, "rows")]
+    return met.agg(*counters, F.sum(F.when(lost, F.col("rows"))).alias(reference.rule))
+
+
 def rule_violation_counts(t) -> DataFrame:
-    return rule_violations(t).groupBy("table_name", "rule").agg(F.count("*").alias("rows"))
+    """(table_name, rule, rows): how many rows break each rule, for the rules that any breaks.
+
+    Rules are counted in one read of their table, in the aggregate that counts the rows per referenced key. A second
+    reference of a table reads its column once more. No rows are listed: ``rule_violations`` names them.
+    """
+    checked = {
+        "users": user_rules(), "categories": category_rules(), "products": product_rules(), "entries": entry_rules(),
+        "payments": payment_rules(), "adjustments": adjustment_rules(), "settings": setting_rules(),
+        "suggestions": suggestion_rules(), "news": news_rules(), "news_comments": comment_rules(),
+    }
+    rows = F.count("*").alias("rows")
+    found = [_listed("users", shared_keys(t.users).agg(F.sum("holders").alias("user_key_not_unique")))]
+    for table, rules in checked.items():
+        first, *others = REFERENCES.get(table, (None,))
+        frame = getattr(t, table)
+        if first is None:
+            found.append(_listed(table, frame.agg(*_counters(rules))))
+        else:
+            found.append(_listed(table, _summed(frame.groupBy(first.column).agg(*_counters(rules), rows), first, t)))
+        found += [_listed(table, _summed(frame.groupBy(r.column).agg(rows), r, t)) for r in others]
+    for table, item in (("suggestion_votes", "suggestion_id"), ("news_likes", "news_id")):
+        pairs = getattr(t, table).groupBy(item, "user_id").agg(rows)
+        items = pairs.groupBy(item).agg(F.count_if(F.col("rows") > 1).alias("pair_not_unique"), F.sum("rows").alias("rows"))
+        found.append(_listed(table, _summed(items, REFERENCES[table][0], t)))
+    return reduce(DataFrame.unionByName, found)

@@ -318,6 +318,41 @@ def test_rule_violations(spark, ledger):
     }
 
 
+def test_rule_violation_counts(spark, ledger):
+    """Every rule of every table fires, and the counts equal those of the listed rows."""
+    assert rules.rule_violation_counts(ledger).isEmpty()
+    long_text, one = "x" * 3001, money("1.00")
+    broken = dict(
+        users=[dict(id="v1", user_key="A", name=" ", role="guest"), dict(id="v2", user_key="a", name=None, role=None)],
+        categories=[dict(id="v1", title=" a ")],
+        products=[dict(id="v1", name="", price=None), dict(id="v2", name="ok", price=-one)],
+        entries=[
+            dict(id="v1", user_id="nobody", product_id="p1", quantity=0, unit_price=one, total=one, created_at=START),
+            dict(id="v2", user_id="u001", product_id="zz", quantity=None, unit_price=-one, total=None, created_at=START),
+            dict(id="v3", user_id=None, product_id=None, quantity=1, unit_price=one, total=one, created_at=START),
+        ],
+        payments=[dict(id="v1", user_id="nobody", amount=None), dict(id="v2", user_id="nobody", amount=money("0.00"))],
+        adjustments=[dict(id="v1", user_id="nobody", amount=money("0.00"))],
+        settings=[dict(key=rules.PAY_KEY, value="?")],
+        suggestions=[dict(id="v1", title="", status=None)],
+        news=[dict(id="v1", title="x" * 121, body="", image_data_url="y" * 2_200_001), dict(id="v2", title="", body=long_text)],
+        news_comments=[dict(id="v1", news_id="none", body=" "), dict(id="v2", news_id=None, body=long_text)],
+        suggestion_votes=[dict(suggestion_id="none", user_id="u001")] * 3,
+        news_likes=[dict(news_id="none", user_id="u001")] * 2 + [dict(news_id=None, user_id=None)] * 2,
+    )
+    worse = ledger.replace(**{name: getattr(ledger, name).unionByName(frame(spark, name, rows)) for name, rows in broken.items()})
+    listed = rules.rule_violations(worse).groupBy("table_name", "rule").agg(F.count("*").alias("rows"))
+    want, got = ({tuple(r) for r in f.select("table_name", "rule", "rows").collect()} for f in (listed, rules.rule_violation_counts(worse)))
+    assert got == want
+    assert {"user_key_not_unique", "pair_not_unique", "parent_unknown", "news_unknown", "user_unknown", "product_unknown"} <= {r for _, r, _ in got}
+    tables = dict(
+        users=rules.user_rules(), categories=rules.category_rules(), products=rules.product_rules(), entries=rules.entry_rules(),
+        payments=rules.payment_rules(), adjustments=rules.adjustment_rules(), settings=rules.setting_rules(),
+        suggestions=rules.suggestion_rules(), news=rules.news_rules(), news_comments=rules.comment_rules(),
+    )
+    assert {(table, name) for table, checks in tables.items() for name, _ in checks} <= {(table, name) for table, name, _ in got}
+
+
 def test_overflow_raises(spark, ledger):
     requests = spark.createDataFrame([("b", "u001", "p1", 2_000_000_000)], "id string, user_id string, product_id string, quantity int")
     with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|out of range|overflow"):
