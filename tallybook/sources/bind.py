@@ -121,18 +121,19 @@ class BoundTables:
     def entries(self) -> DataFrame:
         """Line items; the price at booking time is two cents per whole unit of the extended price."""
         orders = self.raw("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey as user_id")
+        # only plain columns go through the join: ids and times of deletion are long and follow from them
         lines = self.raw("lineitem").selectExpr(
-            "l_orderkey",
-            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int),"
-            " unix_date(cast(l_shipdate as date))) as id",
-            "l_partkey as product_id", "cast(l_quantity as int) as quantity",
-            "cast(floor(l_extendedprice) * 0.02BD as decimal(10,2)) as unit_price",
-            "l_linestatus = 'F' as paid", "cast(null as timestamp_ntz) as paid_at",
-            "if(l_returnflag = 'R', l_shipdate + interval 7 days, null) as deleted_at",
-            "cast(null as bigint) as deleted_by", "if(l_returnflag = 'R', 'Fehlbuchung', null) as deleted_reason",
-            "l_shipdate as created_at", "l_linestatus as line_status", "l_tax as tax",
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(l_quantity as int) as quantity",
+            "cast(floor(l_extendedprice) * 0.02BD as decimal(10,2)) as unit_price", "l_linestatus = 'F' as paid",
+            "l_returnflag = 'R' as returned", "l_shipdate", "l_linestatus", "l_tax",
         )
-        return lines.join(orders, "l_orderkey").drop("l_orderkey").withColumn("total", booked_total())
+        return lines.join(orders, "l_orderkey").selectExpr(
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, quantity, unix_date(cast(l_shipdate as date))) as id",
+            "l_partkey as product_id", "quantity", "unit_price", "paid", "cast(null as timestamp_ntz) as paid_at",
+            "if(returned, l_shipdate + interval 7 days, null) as deleted_at",
+            "cast(null as bigint) as deleted_by", "if(returned, 'Fehlbuchung', null) as deleted_reason",
+            "l_shipdate as created_at", "l_linestatus as line_status", "l_tax as tax", "user_id",
+        ).withColumn("total", booked_total())
 
     @cached_property
     def payments(self) -> DataFrame:
