@@ -50,21 +50,27 @@ def desc(name: str) -> Key:
 
 def running_totals(
     rows: DataFrame, keys: list[str], order: list[Key], sums: dict[str, str] | None = None, row_no: str | None = None, pieces: int | None = None,
+    kept: list[str] | None = None, written: bool = False,
 ) -> DataFrame:
     """Add running sums and a row number per key.
 
     ``order`` must be a total order inside a key. ``sums`` maps result column to summed column, a decimal or whole number
     whose running sum, in units of its last place, fits into 64 bits (beyond that it wraps); nulls count as 0. ``pieces``
     is the number of ranges, by default that of the session's shuffle partitions. Rows with a null key form one key.
+    ``kept`` names the columns of the result besides the totals, the keys among them, by default all. ``written`` says that
+    the rows are cheap to read twice, as those of ``write_rows`` are, and need not be written again.
     """
     sums = sums or {}
     kinds = {target: rows.schema[source].dataType for target, source in sums.items()}
     units = {f"_units_{target}": _units(F.col(source), kinds[target]) for target, source in sums.items()}
-    source = stage(rows.withColumns(units) if units else rows, "scan-rows")  # the cuts are sampled from these
+    source = rows.withColumns(units) if units else rows
+    if kept is not None:  # a summed column goes on as its units alone
+        source = source.drop(*(set(sums.values()) - {*kept, *keys, *(k.name for k in order)}))
+    source = source if written else write_rows(source)  # the cuts are sampled from these
     sort = [*(F.col(k).asc() for k in keys), *(k.column() for k in order)]
     ranged = source.repartitionByRange(pieces, *sort) if pieces else source.repartitionByRange(*sort)
     counted = {name: f"_upto{name}" for name in [*units, *(["_row"] if row_no else [])]}
-    schema = T.StructType([f for f in source.schema if f.name not in units])
+    schema = T.StructType([f for f in source.schema if (f.name not in units if kept is None else f.name in kept)])
     kept = list(schema.names)
     for name in counted.values():
         schema = schema.add(name, T.LongType())
@@ -84,6 +90,11 @@ def running_totals(
     return whole.select(*kept, *out)
 
 
+def write_rows(rows: DataFrame) -> DataFrame:
+    """Rows that are read more than once, as for sampled cuts."""
+    return stage(rows, "scan-rows")
+
+
 def _units(value: Column, kind: T.DataType) -> Column:
     """A decimal in units of its last place, as a whole number."""
     whole = value * F.lit(10**kind.scale) if isinstance(kind, T.DecimalType) else value

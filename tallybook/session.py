@@ -57,7 +57,7 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     costs a re-read instead of the whole lineage.
     """
     path = fresh_dir(frame.sparkSession, label)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     _staged.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
