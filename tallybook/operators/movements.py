@@ -93,9 +93,9 @@ def _credits(t, product_type) -> DataFrame:
     return rows(t.payments, "payment").unionByName(rows(t.adjustments, "adjustment"))
 
 
-def type_label() -> Column:
+def type_label(kind: Column | None = None) -> Column:
     """A movement's kind in words (fixed values)."""
-    kind = F.col("kind")
+    kind = F.col("kind") if kind is None else kind
     return F.when(kind == "entry", "Kauf").when(kind == "payment", "Zahlung").otherwise("Korrektur")
 
 

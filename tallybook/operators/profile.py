@@ -28,6 +28,7 @@ ENTRY_FIELDS = ["id", "created_at", "product_name", "category_title", "quantity"
 LEDGER_FIELDS = ["id", "created_at", "amount", "note"]
 MOVEMENT_FIELDS = ["id", "created_at", "kind", "type_label", "title", "note", "amount"]
 LISTS = {"entries": ENTRY_FIELDS, "payments": LEDGER_FIELDS, "adjustments": LEDGER_FIELDS, "movements": MOVEMENT_FIELDS}
+KIND_LISTS = {"entry": "entries", "payment": "payments", "adjustment": "adjustments"}
 ITEM_FIELDS = ["id", "created_at", "product_name", "category_title", "quantity", "total", "icon_data_url"]
 
 
@@ -103,53 +104,78 @@ def _ledger_totals(t) -> DataFrame:
     return rows.groupBy("user_id").agg(money_sum("amount").alias("balance"))
 
 
-def _list_rows(t) -> DataFrame:
-    """Rows of all four lists, unlabelled; every ledger is read once, a row that is in two lists is two rows."""
-    def item(name: str, amount: Column) -> Column:
-        return F.struct(F.lit(name).alias("list"), amount.cast(AMOUNT).alias("amount"))
-
-    entry, debit = item("entries", F.col("total")), item("movements", -F.col("total"))
+def _booked_rows(t) -> DataFrame:
+    """Purchases, payments and corrections, unlabelled, one row each, with what they add to the lists' positions."""
     bought = t.entries.select(
         F.col("id").cast("string").alias("id"), "user_id", "created_at", F.lit("entry").alias("kind"), "product_id", "quantity",
-        "deleted_at", F.lit(None).cast("string").alias("note"),
-        F.inline(F.when(live(), F.array(entry, debit)).otherwise(F.array(entry))),
+        "deleted_at", F.lit(None).cast("string").alias("note"), F.col("total").cast(AMOUNT).alias("amount"),
     )
     kinds = bought.schema
-    own = F.when(F.col("kind") == "payment", "payments").otherwise("adjustments")
     others = other_movements(t).select(
         "id", "user_id", "created_at", "kind",
-        *(F.lit(None).cast(kinds[name].dataType).alias(name) for name in ("product_id", "quantity", "deleted_at")), "note",
-        F.explode(F.array(own, F.lit("movements"))).alias("list"), "amount",
+        *(F.lit(None).cast(kinds[name].dataType).alias(name) for name in ("product_id", "quantity", "deleted_at")), "note", "amount",
     )
-    return bought.unionByName(others)
+    one = {f"_{kind}": (F.col("kind") == kind).cast("int") for kind in KIND_LISTS} | {"_moves": live().cast("int")}
+    return bought.unionByName(others).withColumns(one)
 
 
 def account_document(t, part_size: int = PART_SIZE, pieces: int | None = None) -> DataFrame:
     """One document per member with the full history, in parts.
 
-    Purchases include deleted ones, flagged; movements leave them out. Missing lists are empty. The rows of all lists
-    are numbered together, per member and list, and gathered in one aggregate with the member's head as a further row.
+    Purchases include deleted ones, flagged; movements leave them out. Missing lists are empty. A booking is numbered and
+    gathered once, with its positions in the list of its kind and in the movements, as both have the same order; the lists
+    are taken from what was gathered. Only where the positions fall into different parts it is two rows. The member's head
+    is a further row.
     """
-    numbered = _positions(_list_rows(t), ["user_id", "list"], ["kind", "id"], pieces)
-    bought = F.col("kind") == "entry"
-    labelled = with_product(numbered, t).withColumns({
-        "total": F.col("amount"), "type_label": type_label(), "title": F.when(bought, F.col("product_name")).otherwise(type_label()),
-        "note": F.when(bought, F.coalesce("category_title", F.lit(NO_CATEGORY))).otherwise(F.col("note")),
-        "part_no": F.floor((F.col("position") - 1) / part_size).cast("int"),
-    })
+    booked = _booked_rows(t)
+    order = [desc("created_at"), asc("kind"), asc("id")]
+    counts = {f"{name}_no": name for name in booked.columns if name.startswith("_")}
+    kept = [name for name in booked.columns if not name.startswith("_")]
+    numbered = running_totals(booked, ["user_id"], order, sums=counts, pieces=pieces, kept=kept)
+    own = F.coalesce(*(F.when(F.col("kind") == kind, F.col(f"_{kind}_no")) for kind in KIND_LISTS))
+    numbered = numbered.select(*kept, own.alias("_own"), F.when(live(), F.col("_moves_no")).alias("_moved"))
+    # payments and corrections have no product to be joined, purchases need neither kind nor note on the way to it
+    bought = with_product(numbered.where("kind = 'entry'").drop("kind", "note"), t).drop("product_id")
     # as in every list of purchases, one whose product is unknown is left out; its movement stays
-    items = labelled.where((F.col("list") != "entries") | F.col("product_name").isNotNull()).select(
-        "user_id", "part_no", *(F.when(F.col("list") == name, F.struct("position", *fields)).alias(name) for name, fields in LISTS.items()),
+    bought = bought.withColumns({"_own": F.when(F.col("product_name").isNotNull(), F.col("_own")), "kind": F.lit("entry")})
+    placed = bought.unionByName(numbered.where("kind <> 'entry'").drop("product_id"), allowMissingColumns=True)
+
+    def part(position: str) -> Column:
+        return F.floor((F.col(position) - 1) / part_size).cast("int")
+
+    dealt = placed.withColumns({"_own_part": part("_own"), "_moved_part": part("_moved")}).withColumn(
+        "part_no", F.explode(F.array_distinct(F.array_compact(F.array("_own_part", "_moved_part"))))
     )
+    positions = (F.when(F.col(f"{p}_part") == F.col("part_no"), F.col(p)).alias(p) for p in ("_own", "_moved"))
+    fields = ["kind", "id", "created_at", "product_name", "category_title", "quantity", "amount", "deleted_at", "note"]
+    # dealt out as plain rows, which are smaller than lists of structs
+    items = dealt.select("user_id", "part_no", *positions, *fields)
     members = t.users.select(F.col("id").alias("user_id"), "user_key", "name", "role", "active")
     head = members.join(_ledger_totals(t), "user_id", "left").select(
         "user_id", F.lit(0).alias("part_no"),
         F.struct("user_key", "name", "role", "active", or_zero("balance").alias("balance")).alias("user"),
     )
-    rows = items.unionByName(head, allowMissingColumns=True)
-    return rows.groupBy("user_id", "part_no").agg(
-        F.max("user").alias("user"), *(F.array_sort(F.collect_list(name)).alias(name) for name in LISTS)
-    )
+    rows = items.unionByName(head, allowMissingColumns=True).repartition("user_id", "part_no")
+    item = F.when(F.col("kind").isNotNull(), F.struct("_own", "_moved", *fields))
+    gathered = rows.groupBy("user_id", "part_no").agg(F.max("user").alias("user"), F.collect_list(item).alias("_items"))
+    return gathered.select("user_id", "part_no", "user", *(_list(name, kind) for kind, name in KIND_LISTS.items()), _list("movements"))
+
+
+def _list(name: str, kind: str | None = None) -> Column:
+    """A list of a document in order, from the bookings gathered for its part: those of one kind, or all movements."""
+    def fields(item: Column) -> list[Column]:
+        bought = item["kind"] == "entry"
+        label = F.coalesce(item["category_title"], F.lit(NO_CATEGORY))
+        own = {"total": item["amount"], "position": item["_own" if kind else "_moved"]}
+        if not kind:
+            own |= {
+                "type_label": type_label(item["kind"]), "title": F.when(bought, item["product_name"]).otherwise(type_label(item["kind"])),
+                "note": F.when(bought, label).otherwise(item["note"]), "amount": F.when(bought, -item["amount"]).otherwise(item["amount"]).cast(AMOUNT),
+            }
+        return [(own[field] if field in own else item[field]).alias(field) for field in ("position", *LISTS[name])]
+
+    mine = F.filter("_items", lambda item: item["_own"].isNotNull() & (item["kind"] == kind) if kind else item["_moved"].isNotNull())
+    return F.array_sort(F.transform(mine, lambda item: F.struct(*fields(item)))).alias(name)
 
 
 def document_items(document: DataFrame) -> DataFrame:

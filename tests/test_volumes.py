@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallybook.operators import prefix, statement
+from tallybook.operators import prefix, profile, statement
 from tallybook.plans.queries import PRINTED_AT
 from tallybook.session import stage
 
@@ -32,6 +32,21 @@ def test_purchases_meet_orders_as_plain_columns(bound):
     assert "concat_ws" in above and "concat_ws" not in below and "INTERVAL" not in below
 
 
+def test_a_document_numbers_a_booking_once(bound, monkeypatch):
+    written = staged_frames(monkeypatch)
+    profile.account_document(bound)
+    bookings = sum(frame.count() for frame in (bound.entries, bound.payments, bound.adjustments))
+    assert [frame.count() for frames in written.values() for frame in frames] == [bookings, bookings]
+
+
+def test_positions_in_different_parts(ledger):
+    """With parts of one or two items the two positions of a booking lie in different parts; both lists stay whole."""
+    whole = profile.document_items(profile.account_document(ledger))
+    for size in (1, 2):
+        cut = profile.document_items(profile.account_document(ledger, size))
+        assert cut.exceptAll(whole).isEmpty() and whole.exceptAll(cut).isEmpty()
+
+
 def test_statement_months_come_from_written_rows(bound, monkeypatch):
     months = []
     monkeypatch.setattr(statement, "stage", lambda rows, label: (months.append(optimized(rows)), stage(rows, label))[1])
