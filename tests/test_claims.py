@@ -71,3 +71,40 @@ def test_repeated_and_no_claims(spark):
     rows = spark.createDataFrame([("b", "k", 1), ("b", "k", 1), ("b", "k", 2)], "id string, _key string, _at int")
     assert sorted((r._at, r._ok) for r in C.settle(stored, rows).collect()) == [(1, False), (2, False)]
     assert C.settle(stored, rows.limit(0)).isEmpty()
+
+
+def test_members_who_claim_taken_keys_again_and_again(spark, steps):
+    """Each claim hangs on several open ones; the rounds don't grow with the number of claims a member makes."""
+    rng = random.Random(7)
+    rows = [(f"m{rng.randint(0, 39)}", f"k{rng.randint(0, 9)}") for _ in range(2000)]
+    assert settled(spark, [], rows) == in_order([], rows) and len(steps) < 20
+
+
+def test_failed_claims_leave_the_rounds(spark, monkeypatch):
+    written = []
+    plain = C.stage
+    monkeypatch.setattr(C, "stage", lambda frame, label: (written.append(plain(frame, label)), written[-1])[1])
+    rng = random.Random(11)
+    rows = [(f"m{rng.randint(0, 99)}", f"k{rng.randint(0, 19)}") for _ in range(400)]
+    assert settled(spark, [], rows) == in_order([], rows)
+    sizes = [frame.count() for frame in written]
+    assert len(sizes) > 3 and sizes[-1] < 400
+
+
+def test_keys_shared_from_the_start(spark):
+    """A claim waits for all other holders, and each of them may claim the key again when the others are gone."""
+    stored = [(f"m{i}", "k") for i in range(4)]
+    rows = [row for i in (2, 0, 3) for row in (("x", "k"), ("m1", "k"), (f"m{i}", f"own{i}"))] + [("x", "k"), ("m1", "k"), ("m1", "free"), ("x", "k"), ("m1", "k")]
+    got = settled(spark, stored, rows)
+    assert got == in_order(stored, rows) and got[-5:] == [False, True, True, True, False]
+
+
+def test_numbers_follow_the_order_of_claims(spark, monkeypatch):
+    written = []
+    plain = C.stage
+    monkeypatch.setattr(C, "stage", lambda frame, label: (written.append(plain(frame, label)), written[-1])[1])
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(rng.randint(0, 50), "k", rng.randint(0, 5000)) for _ in range(3000)], "id int, _key string, _at int").repartition(16)
+    C.settle(frame.select("id", "_key").limit(0), frame)
+    rows = [(r._at, r.id) for r in written[0].orderBy("_n").collect()]
+    assert rows == sorted(rows)
